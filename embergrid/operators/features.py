@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from embergrid import fixed_values as fixed
 from embergrid.functions.numbers import finite_number
+from embergrid.functions.once import with_once
 from embergrid.functions.text import first_text
 
 POLYGON_TYPES = ("Polygon", "MultiPolygon")
@@ -52,18 +53,17 @@ def point_columns(df: DataFrame, geometry: str = "geometry") -> DataFrame:
     ``geometry`` is a VARIANT holding a GeoJSON geometry. Positions may hold quoted numbers;
     other geometry types give NULL.
     """
-
-    def position(index: int) -> Column:
-        kind = F.try_variant_get(geometry, "$.type", "string")
-        text = F.when(
-            kind == "Point", F.try_variant_get(geometry, f"$.coordinates[{index}]", "string")
-        ).when(
-            kind == "MultiPoint",
-            F.try_variant_get(geometry, f"$.coordinates[0][{index}]", "string"),
-        )
-        return finite_number(text)
-
-    return df.withColumns({"lon": position(0), "lat": position(1)})
+    kind = F.try_variant_get(geometry, "$.type", "string")
+    first = F.when(
+        kind == "Point", F.try_variant_get(geometry, "$.coordinates", "variant")
+    ).when(kind == "MultiPoint", F.try_variant_get(geometry, "$.coordinates[0]", "variant"))
+    texts = with_once(
+        with_once(df, _first=first),
+        _lon=F.try_variant_get("_first", "$[0]", "string"),
+        _lat=F.try_variant_get("_first", "$[1]", "string"),
+    )
+    points = with_once(texts, lon=finite_number(F.col("_lon")), lat=finite_number(F.col("_lat")))
+    return points.drop("_first", "_lon", "_lat")
 
 
 def in_bounds(

@@ -202,18 +202,18 @@ def camera_payloads(spark: SparkSession, sf_dir: str, records: int = 100) -> Dat
 def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Perimeter polygons as arrays of rings."""
 
-    def ring(outline: tuple[tuple[int, int], ...]):
+    def place(at):
         return F.array(
             *[
-                F.array(
-                    (F.col("cx") + F.col("k") * dx).cast("double") / 1000,
-                    (F.col("cy") + F.col("k") * dy).cast("double") / 1000,
-                )
-                for dx, dy in outline
+                (F.col(centre) + F.col("k") * at[axis]).cast("double") / 1000
+                for axis, centre in enumerate(("cx", "cy"))
             ]
         )
 
-    rings = F.array(ring(OUTER), ring(HOLE)).alias("rings")
+    outlines = F.array(
+        *[F.array(*[F.array(F.lit(dx), F.lit(dy)) for dx, dy in ring]) for ring in (OUTER, HOLE)]
+    )
+    rings = F.transform(outlines, lambda ring: F.transform(ring, place)).alias("rings")
     return derived(spark, sf_dir, "fx_centres").select("geom_id", rings)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from embergrid import fixed_values as fixed
 from embergrid.functions.numbers import finite_number
+from embergrid.functions.once import with_once
 from embergrid.functions.text import body_preview, first_text
 from embergrid.schemas import LANDED_PAGE
 
@@ -23,40 +24,51 @@ def read_landed_pages(spark: SparkSession, path: str, file_format: str = "parque
 
 
 def _part(path: str, kind: str = "variant") -> Column:
-    """A part of the page document; the body sits in a one-item array, see ``parse_pages``."""
+    """A part of the page document; the body sits in a one-item array, see ``_documents``."""
     return F.try_variant_get("doc", f"$[0]{path}", kind)
 
 
-def _kind(value: Column) -> Column:
+def _kind(value: Column | str) -> Column:
     return F.schema_of_variant(value)
 
 
-def parse_pages(pages: DataFrame) -> DataFrame:
-    """Adds ``doc`` and ``is_json``.
+def _documents(pages: DataFrame) -> DataFrame:
+    """Adds ``doc`` and ``is_json``; the body is parsed once.
 
     The JSON reader stops after the first value, so the body is put in brackets: text after the
     document then makes it invalid, or a second item.
     """
-    wrapped = pages.withColumn(
-        "doc", F.try_parse_json(F.concat(F.lit("["), F.col("body"), F.lit("]")))
-    )
-    return wrapped.withColumn(
-        "is_json", _part("").isNotNull() & F.try_variant_get("doc", "$[1]", "variant").isNull()
+    wrapped = F.concat(F.lit("["), F.col("body"), F.lit("]"))
+    second = F.try_variant_get("doc", "$[1]", "variant")
+    return with_once(
+        with_once(pages, doc=F.try_parse_json(wrapped)),
+        is_json=_part("").isNotNull() & second.isNull(),
     )
 
 
-def _error_present() -> Column:
-    """An error part that is not null, false, zero or empty counts."""
-    value, text = _part(".error"), _part(".error", "string")
-    kind = _kind(value)
+def _errors(documents: DataFrame) -> DataFrame:
+    """Adds ``has_error`` and the error's code and message.
+
+    An error part that is not null, false, zero or empty counts. ``code_kind`` is NULL without a
+    code.
+    """
+    parts = with_once(
+        documents,
+        error_kind=_kind(_part(".error")),
+        error_text=_part(".error", "string"),
+        code_kind=F.nullif(_kind(_part(".error.code")), F.lit("VOID")),
+        error_code=finite_number(_part(".error.code", "string")),
+        error_message=_part(".error.message", "string"),
+    )
+    kind, text = F.col("error_kind"), F.col("error_text")
     absent = (
-        value.isNull()
-        | (kind == "VOID")
+        (kind == "VOID")
         | ((kind == "BOOLEAN") & (text == "false"))
         | ((kind == "STRING") & (text == ""))
         | (kind.rlike(NUMBER_KIND) & (finite_number(text) == 0))
     )
-    return ~F.coalesce(absent, F.lit(False))
+    has_error = F.col("is_json") & kind.isNotNull() & ~F.coalesce(absent, F.lit(False))
+    return parts.withColumn("has_error", has_error).drop("error_kind", "error_text")
 
 
 def page_outcomes(pages: DataFrame) -> DataFrame:
@@ -66,31 +78,31 @@ def page_outcomes(pages: DataFrame) -> DataFrame:
     is one the body reports, under any HTTP status, or a status outside 200-299. ``retryable`` is
     NULL for good pages.
     """
-    code = _part(".error.code")
-    code_given = F.coalesce(~_kind(code).isin("VOID"), F.lit(False))
-    code_number = finite_number(_part(".error.code", "string"))
-    status = F.col("http_status")
-    preview = body_preview(F.col("body"))
+    status, outcome = F.col("http_status"), F.col("outcome")
+    status_text = status.cast("string")
     failing = (status == 429) | (status >= 500)
-    error_retry = F.when(
-        code_given, (code_number >= 500) | ((code_number == 429) & _kind(code).rlike(NUMBER_KIND))
-    ).otherwise(failing)
-
-    outcome = F.col("outcome")
+    # A code counts by value from 500 up, but 429 only when sent as a number.
+    code, code_kind = F.col("error_code"), F.col("code_kind")
+    code_failing = (code >= 500) | ((code == 429) & code_kind.rlike(NUMBER_KIND))
+    triaged = with_once(
+        _errors(_documents(pages)),
+        outcome=F.when(status.isNull(), "no_response")
+        .when(~F.coalesce("is_json", F.lit(False)), "invalid_json")
+        .when(F.col("has_error") | ~status.between(200, 299), "service_error")
+        .otherwise("ok"),
+        preview=F.when(
+            status.isNotNull() & ~F.coalesce("is_json", F.lit(False)), body_preview(F.col("body"))
+        ),
+    )
     return (
-        parse_pages(pages)
-        .withColumn("has_error", F.col("is_json") & _error_present())
-        .withColumn(
-            "outcome",
-            F.when(status.isNull(), "no_response")
-            .when(~F.col("is_json") | F.col("body").isNull(), "invalid_json")
-            .when(F.col("has_error") | ~status.between(200, 299), "service_error")
-            .otherwise("ok"),
-        )
-        .withColumn("error_code", F.when(F.col("has_error"), code_number))
-        .withColumn(
+        triaged.withColumn(
             "retryable",
-            F.when(outcome == "service_error", F.coalesce(error_retry, F.lit(False)))
+            F.when(
+                outcome == "service_error",
+                F.coalesce(
+                    F.when(code_kind.isNotNull(), code_failing).otherwise(failing), F.lit(False)
+                ),
+            )
             .when(outcome == "invalid_json", status.isin(400, 408) | failing)
             .when(outcome == "no_response", True),
         )
@@ -98,22 +110,21 @@ def page_outcomes(pages: DataFrame) -> DataFrame:
             "message",
             F.when(
                 outcome == "service_error",
-                F.coalesce(
-                    first_text(_part(".error.message", "string")),
-                    F.concat(F.lit(fixed.QUERY_ERROR_PREFIX), status.cast("string")),
+                first_text(
+                    F.col("error_message"),
+                    F.concat(F.lit(fixed.QUERY_ERROR_PREFIX), status_text),
                 ),
             ).when(
                 outcome == "invalid_json",
                 F.concat(
                     F.lit(fixed.INVALID_JSON_PREFIX),
-                    status.cast("string"),
+                    status_text,
                     F.lit(")"),
-                    F.coalesce(F.concat(F.lit(": "), preview), F.lit("")),
+                    F.coalesce(F.concat(F.lit(": "), F.col("preview")), F.lit("")),
                 ),
             ),
         )
-        .withColumn("preview", F.when(outcome == "invalid_json", preview))
-        .drop("has_error", "is_json")
+        .drop("has_error", "is_json", "code_kind", "error_message")
     )
 
 
@@ -123,16 +134,19 @@ def page_facts(pages: DataFrame) -> DataFrame:
     The flag is the root one, or the one under ``properties`` when the root one is missing or
     null; only a true boolean counts.
     """
+    good = page_outcomes(pages).where(F.col("outcome") == "ok")
     root = _part(".exceededTransferLimit")
     nested = _part(".properties.exceededTransferLimit")
-    flag = F.when(root.isNull() | (_kind(root) == "VOID"), nested).otherwise(root)
-    is_set = (_kind(flag) == "BOOLEAN") & F.try_variant_get(flag, "$", "boolean")
+    parts = with_once(
+        good,
+        flag=F.when(root.isNull() | (_kind(root) == "VOID"), nested).otherwise(root),
+        items=_part(".features", "array<variant>"),
+    )
+    is_set = (_kind("flag") == "BOOLEAN") & F.try_variant_get("flag", "$", "boolean")
     return (
-        page_outcomes(pages)
-        .where(F.col("outcome") == "ok")
-        .withColumn("items", _part(".features", "array<variant>"))
-        .withColumn("page_len", F.coalesce(F.size("items"), F.lit(0)).cast("bigint"))
+        parts.withColumn("page_len", F.coalesce(F.size("items"), F.lit(0)).cast("bigint"))
         .withColumn("exceeded", F.coalesce(is_set, F.lit(False)))
+        .drop("flag")
     )
 
 
