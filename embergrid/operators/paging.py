@@ -68,7 +68,8 @@ def page_status(pages: DataFrame, page_size: int = fixed.PAGE_SIZE) -> DataFrame
     shorter than ``page_size``.
 
     * ``not_advanced``: a flagged page is empty, so the scan could not go on;
-    * ``gap``: a page before the stop does not start where the pages before it end;
+    * ``gap``: a page up to the stop does not start where the pages before it end, or two filled
+      pages start at one offset;
     * ``complete``: the pages run from 0 to a stop page;
     * ``unfinished``: no gap, but no stop page either.
 
@@ -108,8 +109,9 @@ def page_status(pages: DataFrame, page_size: int = fixed.PAGE_SIZE) -> DataFrame
         F.bool_or("stuck").alias("stuck"),
         F.sum("pages").alias("pages"),
     )
-    meets = (F.col("starts") == F.col("ends")) | (
-        F.col("empty_stop") & (F.col("starts") == 0) & (F.col("ends") == 1)
+    # An empty stop page has no end of its own; it must sit where another page ends.
+    meets = F.when(F.col("empty_stop"), F.col("ends") == 1).otherwise(
+        F.col("starts") == F.col("ends")
     )
     layers = offsets.groupBy("layer").agg(
         F.min(F.when(~meets, F.col("at"))).alias("break_at"),
