@@ -53,6 +53,7 @@ BOUNDARY_PRECISION = 5
 BOUNDARY_MAX_OFFSET = 0.002
 PREVIEW_LENGTH = 160
 QUERY_ERROR_PREFIX = "ArcGIS query HTTP "
+NOT_ADVANCED_ERROR = "ArcGIS pagination did not advance"
 INVALID_JSON_PREFIX = "ArcGIS returned invalid JSON (HTTP "
 
 # Card texts

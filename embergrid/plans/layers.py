@@ -59,27 +59,26 @@ class IncompletePages(Exception):
     """The landed pages of a layer are not a whole layer."""
 
 
-def require_complete(pages: DataFrame, page_size: int = fixed.PAGE_SIZE) -> None:
-    """Raises when a layer's landed pages have a failed page, a gap or no end.
+def require_complete(pages: DataFrame, page_size: int = fixed.PAGE_SIZE) -> int:
+    """Offset of the last page of one layer; raises when its landed pages are not a whole layer.
 
-    One row comes back to the driver. A page that failed and was fetched again later is fine.
+    The reason is the first page that failed and was not fetched again, if there is one. One row
+    comes back to the driver.
     """
-    outcomes = page_outcomes(pages).select("layer", "result_offset", "outcome", "message")
+    state = page_status(page_facts(pages), page_size).first()
+    if state is not None and state["status"] == "complete":
+        return state["stop_at"]
     failed = (
-        outcomes.groupBy("layer", "result_offset")
-        .agg(F.bool_or(F.col("outcome") == "ok").alias("ok"), F.min("message").alias("message"))
+        page_outcomes(pages)
+        .groupBy("result_offset")
+        .agg(F.bool_or(F.col("outcome") == "ok").alias("ok"), F.max("message").alias("message"))
         .where(~F.col("ok"))
         .agg(F.min_by("message", "result_offset"))
         .first()[0]
     )
-    if failed is not None:
-        raise IncompletePages(failed)
-    statuses = page_status(page_facts(pages), page_size).where("status <> 'complete'")
-    bad = statuses.agg(F.min(F.struct("layer", "status")).alias("bad")).first()["bad"]
-    if bad is not None:
-        raise IncompletePages(f"{bad['layer']}: {bad['status']}")
-    if pages.isEmpty():
-        raise IncompletePages("no landed pages")
+    if failed is None and state is not None and state["status"] == "not_advanced":
+        failed = fixed.NOT_ADVANCED_ERROR
+    raise IncompletePages(failed or f"pages: {state['status'] if state else 'none landed'}")
 
 
 def _texts(fields: tuple[str, ...], columns: tuple[str, ...]) -> list[Column]:
@@ -167,9 +166,7 @@ def edges_of(
     return edges if decimals is None else round_edges(edges, decimals)
 
 
-def loaders(
-    spark: SparkSession, camera_path: str, pages: DataFrame
-) -> dict[str, Loader]:
+def loaders(spark: SparkSession, camera_path: str, pages: DataFrame) -> dict[str, Loader]:
     """A loader per layer. ``pages`` is the landed page table of all paged layers."""
 
     def paged(
@@ -177,8 +174,8 @@ def loaders(
     ) -> Loader:
         def load() -> DataFrame:
             own = pages.where(F.col("layer") == layer)
-            require_complete(own, page_size)
-            return build(own)
+            last = require_complete(own, page_size)
+            return build(own.where(F.col("result_offset") <= last))
 
         return load
 
@@ -218,8 +215,10 @@ def publish_layers(
 
 def read_layers(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Published layers, by name."""
-    return {name: spark.read.schema(schema).parquet(f"{path}/{name}")
-            for name, schema in LAYERS.items()}
+    return {
+        name: spark.read.schema(schema).parquet(f"{path}/{name}")
+        for name, schema in LAYERS.items()
+    }
 
 
 def as_features(
