@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from embergrid import fixed_values as fixed
 from embergrid.functions.text import class_id
+from embergrid.operators.skew import lookup_join
 
 
 def step_class(number: Column, breaks: Sequence[tuple[float, int]]) -> Column:
@@ -66,7 +67,7 @@ def label_focus(
         labelled = polygons.withColumn("focus_order", focus)
     else:
         focus = polygons.groupBy(set_id).agg(F.min(F.when(match, F.col(order))).alias("focus_order"))
-        labelled = polygons.join(focus, set_id)
+        labelled = lookup_join(polygons, focus, [set_id], F.col(order))
     is_focus = F.col(order) == F.col("focus_order")
     kind = (
         F.when(F.col("focus_order").isNull(), missing)

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 # A key with more than this part of all rows is hot.
 HOT_SHARES = 512
 
+# A side with more rows than this is shuffled, not broadcast. At about 100 bytes per row the
+# default is some 100 MB of rows.
+BROADCAST_ROWS = 1_000_000
+
 
 def hot_keys(counts: DataFrame, total: int, n: str = "n", shares: int = HOT_SHARES) -> DataFrame:
     """Keys above ``1/shares`` of all rows, with the number of ``splits`` each needs.
@@ -42,3 +46,21 @@ def join_split(
         .drop("hot_splits")
     )
     return spread.join(copies.hint("merge"), [*keys, "split"]).drop("split")
+
+
+def lookup_join(
+    many: DataFrame,
+    few: DataFrame,
+    keys: list[str],
+    spread_by: Column,
+    broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """Inner join of many rows with a table that has one row per key.
+
+    The table is counted first and broadcast only within ``broadcast_rows``. A larger one is
+    shuffled with the hot keys split, at the price of counting the keys of ``many``.
+    """
+    if few.count() <= broadcast_rows:
+        return many.join(F.broadcast(few), keys)
+    counts = many.groupBy(*keys).agg(F.count("*").alias("n"))
+    return join_split(many, few, keys, hot_keys(counts, many.count()), spread_by)

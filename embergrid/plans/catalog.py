@@ -28,6 +28,7 @@ from embergrid.operators.features import (
 from embergrid.operators.geometry import boxes_overlapping, edge_boxes, round_edges, thin_edges
 from embergrid.operators.paging import assign_pages, page_slice, page_status
 from embergrid.operators.query import feature_query
+from embergrid.operators.skew import lookup_join
 from embergrid.operators.spatial import clip_points, points_in_polygons, top_polygon
 from embergrid.plans import inputs
 from embergrid.plans.layers import as_features, edges_of, layer_groups, visible_features
@@ -262,7 +263,8 @@ def perimeter_hit_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every fire point, the card of the perimeter on top at its place."""
     hits = top_perimeter_per_fire(spark, sf_dir)
     cards = fire_cards(inputs.derived(spark, sf_dir, "fx_perimeters"), keep=["geom_id"])
-    return hits.join(cards, "geom_id").select("objectid", *cards.columns)
+    joined = lookup_join(hits, cards, ["geom_id"], spread_by=F.col("objectid"))
+    return joined.select("objectid", *cards.columns)
 
 
 QUERIES: dict[str, Query] = {
