@@ -33,18 +33,17 @@ def number_text(number: Column, digits: int) -> Column:
 
 def plain_text(number: Column) -> Column:
     """Shortest plain text of a double: ``90`` for 90.0, no exponent from 1e-6 up to 1e21."""
-    text = finite(number).cast("string")
+    text = number.cast("string")
     size = F.abs(number)
     decimal = F.when(size < 1, text.try_cast("decimal(38,30)").cast("string")).otherwise(
         text.try_cast("decimal(38,16)").cast("string")
     )
-    expanded = F.regexp_replace(decimal, r"\.?0+$", "")
-    exponent = F.regexp_replace(
-        F.regexp_replace(F.lower(text), r"\.0(e|$)", "$1"), r"e([0-9])", "e+$1"
-    )
+    short = F.replace(F.lower(text), F.lit(".0e"), F.lit("e"))
+    exponent = F.regexp_replace(short, "e([0-9])", "e+$1")
     return (
-        F.when(number == 0, F.lit("0"))
+        F.when(number == 0, "0")
+        .when(~(size < F.lit(INFINITY)), None)
         .when(~F.contains(text, F.lit("E")), F.regexp_replace(text, r"\.0$", ""))
-        .when((size >= 1e-6) & (size < 1e21), F.coalesce(expanded, exponent))
+        .when((size >= 1e-6) & (size < 1e21), F.regexp_replace(decimal, r"\.?0+$", ""))
         .otherwise(exponent)
     )

@@ -11,6 +11,7 @@ from embergrid import fixed_values as fixed
 from embergrid.functions.dates import date_text
 from embergrid.functions.links import https_url, id_link
 from embergrid.functions.numbers import finite_number, number_text, plain_text
+from embergrid.functions.once import with_once
 from embergrid.functions.text import first_text, joined_text, state_code
 
 
@@ -21,9 +22,10 @@ def camera_previews(cameras: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 
 def camera_cards(cameras: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Title, location, pan, image and feed link of each camera."""
-    pan = plain_text(finite_number(F.col("pan").cast("string")))
-    pan_text = F.coalesce(F.concat(pan, F.lit(fixed.DEGREE)), F.lit(fixed.NO_VALUE))
-    return cameras.select(
+    numbers = with_once(cameras, _pan=finite_number(F.col("pan").cast("string")))
+    texts = with_once(numbers, _pan=F.concat(plain_text(F.col("_pan")), F.lit(fixed.DEGREE)))
+    pan_text = F.coalesce(F.col("_pan"), F.lit(fixed.NO_VALUE))
+    return texts.select(
         *keep,
         *_camera_heading(),
         F.concat(F.lit("Pan: "), pan_text).alias("pan_text"),

@@ -20,20 +20,22 @@ def camera_features(records: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 
     The state is compared without case and kept as sent.
     """
-    return (
-        records.where(F.upper("site.state") == fixed.CAMERA_STATE)
-        .select(
-            *keep,
-            F.col("site.id").alias("id"),
-            first_text(F.col("name"), F.col("source"), F.lit(fixed.CAMERA_TITLE)).alias("name"),
-            F.col("position.pan").alias("pan"),
-            F.col("image.url").alias("image"),
-            F.col("site.state").alias("state"),
-            F.col("site.county").alias("county"),
-            finite_number(F.col("site.longitude")).alias("lon"),
-            finite_number(F.col("site.latitude")).alias("lat"),
-        )
-        .where("lon IS NOT NULL AND lat IS NOT NULL")
+    in_state = records.where(F.upper("site.state") == fixed.CAMERA_STATE)
+    placed = with_once(
+        in_state,
+        lon=finite_number(F.col("site.longitude")),
+        lat=finite_number(F.col("site.latitude")),
+    )
+    return placed.where("lon IS NOT NULL AND lat IS NOT NULL").select(
+        *keep,
+        F.col("site.id").alias("id"),
+        first_text(F.col("name"), F.col("source"), F.lit(fixed.CAMERA_TITLE)).alias("name"),
+        F.col("position.pan").alias("pan"),
+        F.col("image.url").alias("image"),
+        F.col("site.state").alias("state"),
+        F.col("site.county").alias("county"),
+        "lon",
+        "lat",
     )
 
 
