@@ -36,13 +36,13 @@ def _documents(pages: DataFrame) -> DataFrame:
     """Adds ``doc`` and ``is_json``; the body is parsed once.
 
     The JSON reader stops after the first value, so the body is put in brackets: text after the
-    document then makes it invalid, or a second item.
+    document then makes it invalid, or a second item, and a blank body leaves no item.
     """
     wrapped = F.concat(F.lit("["), F.col("body"), F.lit("]"))
     second = F.try_variant_get("doc", "$[1]", "variant")
     return with_once(
         with_once(pages, doc=F.try_parse_json(wrapped)),
-        is_json=_part("").isNotNull() & second.isNull(),
+        is_json=F.col("doc").isNotNull() & F.col("body").rlike(r"\S") & second.isNull(),
     )
 
 
