@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from embergrid import fixed_values as fixed
 
 
+# Most buckets cut by default; more than one per partition evens out the hashing of buckets.
+MAX_BUCKETS = 10_000
+
 # Rows looked at per bucket when choosing cuts; a hundred keep buckets within about a third of even.
 SAMPLES_PER_BUCKET = 100
 
@@ -32,7 +35,8 @@ def rank_rows(
     A sample only chooses where to cut: any cuts give the same ranks. The cuts are driver values,
     so a recomputed task cuts the same way. ``order`` must be a number, unique within a group.
     """
-    buckets = buckets or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or min(4 * partitions, MAX_BUCKETS)
     cuts = _cuts(df, order, buckets)
     bucketed = Bucketizer(
         splits=[float("-inf"), *cuts, float("inf")],
@@ -40,6 +44,7 @@ def rank_rows(
         outputCol="_bucket",
         handleInvalid="keep",
     ).transform(df.withColumn("_order", F.col(order).cast("double")))
+    bucketed = bucketed.withColumn("_bucket", F.col("_bucket").cast("int"))
 
     keys = [*by, "_bucket"]
     sizes = bucketed.groupBy(*keys).agg(F.count("*").alias("_size"))
@@ -49,7 +54,8 @@ def rank_rows(
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1
     return (
         bucketed.withColumn("_place", place)
-        .join(starts, keys)
+        # The window has partitioned and sorted by these keys; only the few starts move.
+        .join(starts.hint("merge"), keys)
         .withColumn("rank", (F.col("_start") + F.col("_place")).cast("bigint"))
         .drop("_order", "_bucket", "_place", "_start")
     )

@@ -276,6 +276,10 @@ def layer_groups(spark: SparkSession, visible: Mapping[str, bool] | None = None)
 
 
 def visible_features(features: DataFrame, groups: DataFrame) -> DataFrame:
-    """Features of the layers whose group is on."""
-    shown = groups.where("visible").select(F.col("source").alias("layer"))
-    return features.join(F.broadcast(shown), "layer", "left_semi")
+    """Features of the layers whose group is on.
+
+    The semi-join with the few rows of the group table is planned as a value list, so that hidden
+    layers' partitions, or their whole branches of a union, are not read.
+    """
+    shown = [row[0] for row in groups.where("visible").select("source").distinct().collect()]
+    return features.where(F.col("layer").isin(*shown))
