@@ -66,7 +66,8 @@ def label_focus(
         focus = polygons.where(match).agg(F.min(order)).scalar()
         labelled = polygons.withColumn("focus_order", focus)
     else:
-        focus = polygons.groupBy(set_id).agg(F.min(F.when(match, F.col(order))).alias("focus_order"))
+        first = F.min(F.when(match, F.col(order))).alias("focus_order")
+        focus = polygons.groupBy(set_id).agg(first)
         labelled = lookup_join(polygons, focus, [set_id], F.col(order))
     is_focus = F.col(order) == F.col("focus_order")
     kind = (

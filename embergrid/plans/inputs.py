@@ -225,7 +225,9 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def polygon_geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Perimeter polygons as GeoJSON text, every third one as a MultiPolygon."""
     shapes = polygons(spark, sf_dir)
-    single = F.to_json(F.struct(F.lit("Polygon").alias("type"), F.col("rings").alias("coordinates")))
+    single = F.to_json(
+        F.struct(F.lit("Polygon").alias("type"), F.col("rings").alias("coordinates"))
+    )
     multi = F.to_json(
         F.struct(F.lit("MultiPolygon").alias("type"), F.array("rings").alias("coordinates"))
     )

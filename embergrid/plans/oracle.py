@@ -19,7 +19,8 @@ def _derived_sql(name: str) -> str:
     return f"SELECT {items} FROM {base}"
 
 
-def _edges_sql() -> str:
+def _edges_sql() -> tuple[str, str]:
+    """SQL of the edge table and of the polygon corners it pairs up."""
     corners = ", ".join(
         f"({ring},{seq},{dx},{dy})"
         for ring, outline in enumerate((inputs.OUTER, inputs.HOLE))
@@ -58,8 +59,8 @@ def _number(text: str) -> str:
 
 
 def _acres(number: str, suffix: str) -> str:
-    trimmed = f"regexp_replace(regexp_replace(format('{{:,.2f}}', {number}), '0+$', ''), '\\.$', '')"
-    return f"{trimmed} || '{suffix}'"
+    decimals = f"regexp_replace(format('{{:,.2f}}', {number}), '0+$', '')"
+    return f"regexp_replace({decimals}, '\\.$', '') || '{suffix}'"
 
 
 def _snap(column: str, steps: int) -> str:

@@ -143,8 +143,9 @@ def page_facts(pages: DataFrame) -> DataFrame:
         items=_part(".features", "array<variant>"),
     )
     is_set = (_kind("flag") == "BOOLEAN") & F.try_variant_get("flag", "$", "boolean")
+    length = F.when(F.col("items").isNull(), 0).otherwise(F.size("items"))
     return (
-        parts.withColumn("page_len", F.coalesce(F.size("items"), F.lit(0)).cast("bigint"))
+        parts.withColumn("page_len", length.cast("bigint"))
         .withColumn("exceeded", F.coalesce(is_set, F.lit(False)))
         .drop("flag")
     )

@@ -136,7 +136,8 @@ def test_thinning_joins_up_and_drops_collapsed_rings(spark):
     ring = [[0, 0], [0.001, 0.001], [1, 0], [1.002, 0.0], [1, 1], [0, 0]]
     speck = [[5, 5], [5.001, 5], [5.001, 5.001], [5, 5]]
     sliver = [[7, 7], [7.2, 7], [7.2, 7.001], [7, 7]]
-    frame = polygon_edges(_geometry(spark, {"type": "Polygon", "coordinates": [ring, speck, sliver]}))
+    polygon = {"type": "Polygon", "coordinates": [ring, speck, sliver]}
+    frame = polygon_edges(_geometry(spark, polygon))
     rows = thin_edges(frame, 0.01).orderBy("ring", "seq").collect()
     assert {r.ring for r in rows} == {0}
     ends = [(r.x1, r.y1, r.x2, r.y2) for r in rows]

@@ -165,7 +165,8 @@ def test_https_url(spark):
         "https://a.example/a b[1].jpg?q=ü",
         "https://a.example:8443/x",
     ]
-    dropped = ["http://a.example", "", None, "a.example", "https://", "ftp://a.example", "https://a b/"]
+    dropped = ["http://a.example", "", None, "a.example", "https://", "ftp://a.example"]
+    dropped.append("https://a b/")
     found = values(spark, kept + dropped, "STRING", https_url(F.col("v")))
     assert found == kept + [None] * len(dropped)
 

@@ -144,8 +144,8 @@ def test_publish_reads_and_classifies_every_layer(spark, landed):
     assert kinds == {0: "outside", 1: "oregon"}
 
     edges = edges_of(layers["perimeters"], "feature_id", 3, 0.01)
-    hits = points_in_polygons(layers["fires"].withColumnRenamed("feature_id", "fire"), edges, "fire",
-                              geom_id="feature_id")
+    fires = layers["fires"].withColumnRenamed("feature_id", "fire")
+    hits = points_in_polygons(fires, edges, "fire", geom_id="feature_id")
     assert [tuple(row) for row in hits.collect()] == [("1", "1")]
     outside = edges_of(layers["boundary"].where("kind = 'outside'"), "oid", 5, 0.002)
     kept = clip_points(layers["fires"], outside, "feature_id", geom_id="oid")
@@ -184,7 +184,8 @@ def test_one_broken_layer_leaves_the_others(spark, landed, layer, tmp_path):
 def test_publish_replaces_the_whole_layer(spark, tmp_path):
     out = str(tmp_path / "layers")
     burns = empty_frame(spark, LAYERS["burns"])
-    full = spark.createDataFrame([("1", "a", None, None, None, None, -120.0, 43.0)], LAYERS["burns"])
+    row = ("1", "a", None, None, None, None, -120.0, 43.0)
+    full = spark.createDataFrame([row], LAYERS["burns"])
     assert publish_layers(spark, {"burns": lambda: full}, out).first().rows == 1
     assert publish_layers(spark, {"burns": lambda: burns}, out).first().rows == 0
     assert spark.read.parquet(f"{out}/burns").count() == 0

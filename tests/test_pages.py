@@ -195,7 +195,8 @@ def test_page_status_equals_scan_on_random_sets(spark):
         if pages:
             sets[f"layer{number}"] = pages
     rows = [(name, *page) for name, pages in sets.items() for page in pages]
-    found = {r.layer: r.status for r in page_status(spark.createDataFrame(rows, PAGES), 10).collect()}
+    states = page_status(spark.createDataFrame(rows, PAGES), 10).collect()
+    found = {row.layer: row.status for row in states}
     assert found == {name: scan(pages, 10) for name, pages in sets.items()}
     assert len(set(found.values())) == 4
 
