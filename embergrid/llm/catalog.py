@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from embergrid.llm import exact_dedup, sharding
+from embergrid.llm import exact_dedup, mixing, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": sharding.op3,
     "op7_exact_dedup": exact_dedup.op7,
+    "op10_mixing": mixing.op10,
 }
 
 ORACLE: dict[str, str] = {
     "op3_sharding": sharding.ORACLE_SQL,
     "op7_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op10_mixing": mixing.ORACLE_SQL,
 }
