@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -33,10 +34,10 @@ from embergrid.llm.common import read_table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
-# Entries that a worker keeps; a full table starts anew.
-WORDS_KEPT = 1_000_000
-TRANSITIONS_KEPT = 1_000_000
-PAIRS_KEPT = 1_000_000
+# Entries that a worker keeps. A full table starts anew; words of the table before stay at hand.
+WORDS_KEPT = 400_000
+TRANSITIONS_KEPT = 250_000
+PAIRS_KEPT = 400_000
 
 # Tokens that are decoded at a time.
 DECODE_BLOCK = 1 << 16
@@ -52,7 +53,7 @@ class Merges:
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
         self._ends: dict[int, tuple[list, list]] = {}
-        self._apart: dict[tuple[int, int], bool] = {}
+        self._apart: dict[int, bool] = {}
 
     def merge(self, piece: bytes, below: int = _NEVER) -> list[bytes]:
         """Merges by rank, leftmost first, using ranks under ``below`` only."""
@@ -87,7 +88,7 @@ class Merges:
         A merge across the border comes first when its rank is below that which absorbs the part
         on its left, or not above that of the part on its right (of equal ranks the leftmost wins).
         """
-        known = self._apart.get((one, two))
+        known = self._apart.get(one << 32 | two)
         if known is None:
             ranks = self.ranks
             known = True
@@ -101,7 +102,7 @@ class Merges:
                     break
             if len(self._apart) >= PAIRS_KEPT:
                 self._apart.clear()
-            self._apart[one, two] = known
+            self._apart[one << 32 | two] = known
         return known
 
 
@@ -110,17 +111,20 @@ class Transducer:
 
     def __init__(self, merges: Merges) -> None:
         self.merges = merges
-        self._children: list[dict[int, int]] = [{}]
-        self._token_at: list[int] = [-1]
+        # The trie of tokens: ``node << 8 | byte`` to the next node.
+        self._next: dict[int, int] = {}
+        self._token_at = [-1]
+        self._inner = [True]
         for token, rank in merges.ranks.items():
             # A token that its own merges do not give can only be a whole piece.
             if len(token) == 1 or merges.merge(token) == [token]:
                 node = _ROOT
                 for byte in token:
-                    node = self._children[node].setdefault(byte, len(self._children))
+                    self._inner[node] = True
+                    node = self._next.setdefault(node << 8 | byte, len(self._token_at))
                     if node == len(self._token_at):
-                        self._children.append({})
                         self._token_at.append(-1)
+                        self._inner.append(False)
                 self._token_at[node] = rank
         self._restart()
 
@@ -135,36 +139,45 @@ class Transducer:
 
     def _step(self, number: int, byte: int) -> tuple[int, tuple[int, ...]]:
         last, readings = self._states[number]
-        children, token_at, apart = self._children, self._token_at, self.merges.apart
-        after: list[tuple[tuple[int, ...], int]] = []
+        following, token_at, inner = self._next.get, self._token_at, self._inner
+        after = []
         whole = None
+        agreed = _NEVER
         for held, node in readings:
-            child = children[node].get(byte)
+            child = following(node << 8 | byte)
             if child is None:
                 continue
-            if children[child]:
+            if inner[child]:
                 after.append((held, child))
-            token = token_at[child]
-            if token >= 0 and whole is None:
-                before = held[-1] if held else last
-                if before < 0 or apart(before, token):
-                    whole = (*held, token)
+                if len(held) < agreed:
+                    agreed = len(held)
+            if whole is None:
+                token = token_at[child]
+                if token >= 0:
+                    before = held[-1] if held else last
+                    if before < 0 or self.merges.apart(before, token):
+                        whole = (*held, token)
         if whole is None:
             raise ValueError("the vocabulary lacks a byte")
+        # Emit what all readings agree on.
+        agreed = min(agreed, len(whole))
+        for held, _ in after:
+            while held[:agreed] != whole[:agreed]:
+                agreed -= 1
         after.append((whole, _ROOT))
-        agreed = 0
-        shortest = min(len(held) for held, _ in after)
-        while agreed < shortest and len({held[agreed] for held, _ in after}) == 1:
-            agreed += 1
-        out = whole[:agreed]
-        state = (out[-1] if out else last, tuple((held[agreed:], node) for held, node in after))
+        if agreed:
+            out = whole[:agreed]
+            state = (out[-1], tuple([(held[agreed:], node) for held, node in after]))
+        else:
+            out = ()
+            state = (last, tuple(after))
         target = self._numbers.get(state)
         if target is None:
             target = self._numbers[state] = len(self._states)
             self._states.append(state)
             self._finals.append(whole[agreed:])
-        self._steps[number << 8 | byte] = target, out
-        return target, out
+        step = self._steps[number << 8 | byte] = target, out
+        return step
 
     def encode(self, piece: bytes) -> list[int]:
         """Ids of one piece."""
@@ -173,9 +186,9 @@ class Transducer:
             return [exact]
         if len(self._steps) >= TRANSITIONS_KEPT:
             self._restart()
-        steps, number, ids = self._steps, 0, []
+        steps, number, ids = self._steps.get, 0, []
         for byte in piece:
-            step = steps.get(number << 8 | byte)
+            step = steps(number << 8 | byte)
             if step is None:
                 step = self._step(number, byte)
             number, out = step
@@ -195,13 +208,14 @@ class ByteBpe:
         self._pattern = regex.compile(pattern)
         self._size = max(ranks.values()) + 1
         self._tokens = [self.merges.tokens.get(rank) for rank in range(self._size)]
-        self._words: dict[str, bytes | None] = {}
+        self._words: dict[str, bytes] = {}
+        self._words_before: dict[str, bytes] = {}
 
     def _pieces(self, text: str) -> bytes:
         ids: list[int] = []
         for piece in self._pattern.findall(text):
             ids += self._transducer.encode(piece.encode())
-        return np.array(ids, "<u4").tobytes()
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers.
@@ -212,28 +226,28 @@ class ByteBpe:
         if not text:
             return b""
         first, *words = text.split(" ")
-        known = self._words
-        found = list(map(known.get, words))
+        if words and (not first or first[-1].isspace()):
+            return self._pieces(text)
+        found = list(map(self._words.get, words))
         if None in found:
+            last = len(words) - 1
             for at, ids in enumerate(found):
                 if ids is None:
                     word = words[at]
-                    ids = known.get(word)
-                    if ids is None:
-                        if not word or word[-1].isspace():
-                            # What follows this word starts with white space after white space.
-                            if at + 1 < len(words) or not word:
-                                return self._pieces(text)
-                        if len(known) >= WORDS_KEPT:
-                            known.clear()
-                        ids = self._pieces(" " + word)
-                        if not word[-1].isspace():
-                            known[word] = ids
-                    found[at] = ids
-        if words and (not first or first[-1].isspace()):
-            return self._pieces(text)
+                    if not word or (at < last and word[-1].isspace()):
+                        # White space before a space: the words do not fall apart here.
+                        return self._pieces(text)
+                    found[at] = self._new_word(word)
         return self._pieces(first) + b"".join(found)
 
+    def _new_word(self, word: str) -> bytes:
+        ids = self._words.get(word) or self._words_before.get(word) or self._pieces(" " + word)
+        if not word[-1].isspace():
+            if len(self._words) >= WORDS_KEPT:
+                self._words, self._words_before = {}, self._words
+            self._words[word] = ids
+        return ids
+
     def decode_bytes(self, ids: np.ndarray) -> bytes:
         """Bytes of the ids; an id without a token is an error."""
         if ids.size and int(ids.max()) >= self._size:
