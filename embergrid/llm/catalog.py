@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from embergrid.llm import exact_dedup, mixing, sharding
+from embergrid.llm import byte_bpe, exact_dedup, mixing, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": sharding.op3,
+    "op4_byte_bpe": byte_bpe.op4,
     "op7_exact_dedup": exact_dedup.op7,
     "op10_mixing": mixing.op10,
 }
