@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from embergrid.llm import byte_bpe, exact_dedup, language_id, mixing, sharding
+from embergrid.llm import byte_bpe, exact_dedup, language_id, mixing, sharding, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": sharding.op3,
     "op4_byte_bpe": byte_bpe.op4,
     "op6_language_id": language_id.op6,
     "op7_exact_dedup": exact_dedup.op7,
+    "op9_token_files": token_files.op9,
     "op10_mixing": mixing.op10,
 }
 
