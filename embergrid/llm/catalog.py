@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from embergrid.llm import byte_bpe, exact_dedup, language_id, mixing, sharding, token_files, topk_search
+from embergrid.llm import byte_bpe, exact_dedup, language_id, mixing, ngram_join, sharding, token_files, topk_search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk_search": topk_search.op1,
+    "op2_ngram_join": ngram_join.op2,
     "op3_sharding": sharding.op3,
     "op4_byte_bpe": byte_bpe.op4,
     "op6_language_id": language_id.op6,
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE: dict[str, str] = {
     "op1_topk_search": topk_search.ORACLE_SQL,
+    "op2_ngram_join": ngram_join.ORACLE_SQL,
     "op3_sharding": sharding.ORACLE_SQL,
     "op7_exact_dedup": exact_dedup.ORACLE_SQL,
     "op10_mixing": mixing.ORACLE_SQL,
