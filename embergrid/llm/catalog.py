@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from embergrid.llm import byte_bpe, exact_dedup, language_id, mixing, ngram_join, sharding, token_files, topk_search, url_filter
+from embergrid.llm import byte_bpe, exact_dedup, html_extract, language_id, mixing, ngram_join, sharding, token_files, topk_search, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk_search": topk_search.op1,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_url_filter": url_filter.op5,
     "op6_language_id": language_id.op6,
     "op7_exact_dedup": exact_dedup.op7,
+    "op8_html_extract": html_extract.op8,
     "op9_token_files": token_files.op9,
     "op10_mixing": mixing.op10,
 }
