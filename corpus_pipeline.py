@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from embergrid.llm import stages
 from embergrid.llm.common import read_table, staged
-from embergrid.llm.stages import exact_dedup_stage
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 STAGES: list[tuple[str, Stage]] = [
-    ("exact_dedup", exact_dedup_stage),
+    ("language_id", stages.language_stage),
+    ("exact_dedup", stages.exact_dedup_stage),
+    ("ngram_jaccard_join", stages.jaccard_stage),
+    ("source_mixing", stages.mixing_stage),
+    ("byte_bpe", stages.bpe_stage),
 ]
 
 
@@ -24,4 +28,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
+# SQL has no random letter vectors and no byte pair merges; tests compare with plain Python instead.
 ORACLE_SQL = None

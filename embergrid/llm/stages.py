@@ -1,14 +1,60 @@
-"""Pipeline stages: ``(spark, docs, sf_dir)`` to the documents that go on."""
+"""Pipeline stages: ``(spark, docs, sf_dir)`` to the documents that go on.
+
+All but the last return the columns they were given. A document is found again by its id; ids are
+unique from the exact deduplication on, which also drops rows that repeat an id with one text.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from embergrid.llm import byte_bpe, language_id, mixing
+from embergrid.llm.common import staged
 from embergrid.llm.exact_dedup import exact_dedup
+from embergrid.llm.ngram_join import jaccard_components
+
+# Budget of the mix as a part of the tokens that reach it, in hundredths; each document at most once.
+MIX_PERCENT = 80
+
+
+def _only(docs: DataFrame, ids: DataFrame, id_column: str) -> DataFrame:
+    """Documents whose id is listed, with their own columns."""
+    listed = ids.select(F.col(id_column).alias("_listed"))
+    return docs.join(listed, docs["doc_id"].eqNullSafe(listed["_listed"]), "left_semi")
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a language is found stay (operator 6)."""
+    prototypes = language_id.learn(docs.where(~language_id.held_out(F.col("doc_id"))))
+    names = docs.columns
+    judged = language_id.predict(docs, prototypes, keep=tuple(names))
+    return judged.where(F.col("lang_pred") != language_id.UNKNOWN).select(*names)
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays (operator 7)."""
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
+    found = staged(exact_dedup(docs), "stage-dedup")
+    kept = _only(docs, found.where("kept"), "doc_id")
+    if found.where("doc_id <=> keep_id AND NOT kept").isEmpty():
+        return kept
+    # Rows repeated with one id and text: the first by its other columns stays.
+    return kept.dropDuplicates(["doc_id"])
+
+
+def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of linked documents stays (operator 2)."""
+    found = jaccard_components(docs)
+    return _only(docs, found.where("doc_id <=> component_id"), "doc_id")
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the budgets of their leaves take (operator 10)."""
+    chosen = mixing.select_mix(mixing.with_tree(docs), budget_percent=MIX_PERCENT, epochs=1)
+    return _only(docs, chosen, "id")
+
+
+def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of each document and their number, with its other columns (operator 4)."""
+    names = tuple(name for name in docs.columns if name != "text")
+    return byte_bpe.encode(docs, keep=names)
