@@ -138,7 +138,8 @@ class WordCoder:
         found = list(map(self._words.get, words))
         if None in found:
             self._learn_words({word for word, ids in zip(words, found) if ids is None})
-            found = list(map(self._words.get, words))
+            known, before = self._words, self._words_before
+            found = [known[word] if word in known else before[word] for word in words]
         return b"".join(found)
 
 
