@@ -5,7 +5,7 @@ the chance of the next character after up to three others: counts of the longest
 the chance from the next shorter one, by the number of different characters seen there
 (Witten-Bell), down to an even chance. A URL's score is the mean log ratio of the two chances per
 character, so long URLs do not count more. The cut is the one that best separates accepted from
-rejected training URLs, by the mean of both rates.
+rejected training URLs by the mean of both rates, half-way between the URLs on its two sides.
 
 Characters are those of host and path, with what lies outside the alphabet as one symbol, so there
 are at most ``len(ALPHABET) ** 4`` character runs, whatever the data. Log ratios are kept as whole
@@ -123,8 +123,11 @@ def best_cut(labelled: DataFrame) -> int:
     right = F.coalesce(F.sum("block").over(below), F.lit(0))
     # Sum of both rates times both totals, in whole numbers.
     gain = (all_allow - wrong) * F.greatest(all_block, F.lit(1)) + right * F.greatest(all_allow, F.lit(1))
-    row = bins.select("bin", gain.alias("gain")).orderBy(F.desc("gain"), F.abs("bin"), "bin").first()
-    return 0 if row is None else row["bin"]
+    # Half-way to the bin below that holds training URLs.
+    lower = F.coalesce(F.lag("bin").over(Window.orderBy("bin")), F.col("bin"))
+    cut = F.floor((lower + F.col("bin") + 1) / 2)
+    row = bins.select(cut.alias("cut"), gain.alias("gain")).orderBy(F.desc("gain"), F.abs("cut"), "cut").first()
+    return 0 if row is None else row["cut"]
 
 
 def filter_urls(df: DataFrame, id_column: str = "page_id", url_column: str = "url") -> DataFrame:
@@ -237,12 +240,13 @@ bins AS (
   FROM scores WHERE allow > 0 OR block > 0 GROUP BY ALL
 ),
 gains AS (
-  SELECT bin, ((SELECT sum(allow) FROM bins) - coalesce(sum(allow) OVER below, 0))
+  SELECT floor((coalesce(lag(bin) OVER (ORDER BY bin), bin) + bin + 1)::DOUBLE / 2)::BIGINT AS cut,
+    ((SELECT sum(allow) FROM bins) - coalesce(sum(allow) OVER below, 0))
       * greatest((SELECT sum(block) FROM bins), 1)
     + coalesce(sum(block) OVER below, 0) * greatest((SELECT sum(allow) FROM bins), 1) AS gain
   FROM bins WINDOW below AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ),
-cut AS (SELECT coalesce((SELECT bin FROM gains ORDER BY gain DESC, abs(bin), bin LIMIT 1), 0) * {MILLION // BINS} AS cut)
+cut AS (SELECT coalesce((SELECT cut FROM gains ORDER BY gain DESC, abs(cut), cut LIMIT 1), 0) * {MILLION // BINS} AS cut)
 SELECT page_id, host, path, rule,
   coalesce(decided, CASE WHEN score >= (SELECT cut FROM cut) THEN 'allow' ELSE 'block' END) AS verdict, score
 FROM urls JOIN scores USING (symbols)
