@@ -11,7 +11,19 @@ MAX_TIME_MS = 8_640_000_000_000_000
 DAY_MS = 86_400_000
 ISO_PATTERN = r"^\d{4}(-\d{1,2}(-\d{1,2}([T ]\d{1,2}:.*)?)?)?$"
 ZONED_PATTERN = r"[T ].*(Z|[+-]\d{2}:?\d{2})$"
-OTHER_FORMS = ("M/d/y", "MMM d, y", "MMMM d, y", "d MMM y")
+OTHER_FORMS = (
+    "M/d/y",
+    "y/M/d",
+    "MMM d, y",
+    "MMMM d, y",
+    "MMM d y",
+    "MMMM d y",
+    "d MMM y",
+    "d MMMM y",
+)
+CLOCK_PATTERN = r"\s+\d{1,2}:\d{2}(:\d{2})?(\s*[AaPp][Mm])?$"
+WEEKDAY_PATTERN = r"^\s*(Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]*,?\s+"
+ZONE_NAME_PATTERN = r"\s+(GMT|UTC|Z)$"
 
 
 def date_from_ms(ms: Column) -> Column:
@@ -23,14 +35,19 @@ def date_from_ms(ms: Column) -> Column:
 def date_from_text(text: Column) -> Column:
     """UTC day of a date string; bare digits other than a year are NULL.
 
-    Text without a zone is read and printed in the same zone, so the session zone drops out.
+    Text without a zone is read and printed in the same zone, so the session zone drops out. A
+    leading weekday is dropped, and so is a GMT mark at the end, which leaves the day as it is.
     """
     stamp = F.try_to_timestamp(text)
     utc = F.when(
         text.rlike(ZONED_PATTERN), F.to_utc_timestamp(stamp, F.current_timezone())
     ).otherwise(stamp)
     iso = F.when(text.rlike(ISO_PATTERN), utc.cast("date"))
-    others = [F.try_to_timestamp(text, F.lit(form)).cast("date") for form in OTHER_FORMS]
+    plain = F.regexp_replace(F.trim(text), WEEKDAY_PATTERN, "")
+    plain = F.regexp_replace(plain, ZONE_NAME_PATTERN, "")
+    # A time of day after any of the forms; the day alone counts.
+    day = F.regexp_replace(plain, CLOCK_PATTERN, "")
+    others = [F.try_to_timestamp(day, F.lit(form)).cast("date") for form in OTHER_FORMS]
     return F.coalesce(iso, *[F.when(~text.rlike(r"^\s*\d+\s*$"), other) for other in others])
 
 

@@ -55,26 +55,25 @@ def label_focus(
     """Labels the first match in ``order`` as focus, all others as outside.
 
     Adds ``kind`` and ``draw_order``, 0 for outside and 1 for focus, so focus comes last. A set
-    without a match is an error. ``order`` must be unique within a set.
+    without a match is an error, whatever columns are read; a table without rows has no set. NULL set
+    ids form a set of their own. ``order`` must be unique within a set.
 
     One set: the focus row is a scalar subquery, two-phase aggregated, and labelling needs no
     shuffle. Many sets: the focus of each set is joined back on ``set_id``.
     """
     match = matches_focus() if match is None else match
-    missing = F.raise_error(F.lit(fixed.BOUNDARY_MISSING_ERROR)).cast("string")
+    missing = F.raise_error(F.lit(fixed.BOUNDARY_MISSING_ERROR))
     if set_id is None:
         focus = polygons.where(match).agg(F.min(order)).scalar()
         labelled = polygons.withColumn("focus_order", focus)
     else:
         first = F.min(F.when(match, F.col(order))).alias("focus_order")
         focus = polygons.groupBy(set_id).agg(first)
-        labelled = lookup_join(polygons, focus, [set_id], F.col(order))
+        labelled = lookup_join(polygons, focus, [set_id])
+    # The check is a filter, so it runs whatever columns are read later.
+    labelled = labelled.where(F.col("focus_order").isNotNull() | missing.cast("boolean"))
     is_focus = F.col(order) == F.col("focus_order")
-    kind = (
-        F.when(F.col("focus_order").isNull(), missing)
-        .when(is_focus, fixed.FOCUS_KIND)
-        .otherwise(fixed.OUTSIDE_KIND)
-    )
+    kind = F.when(is_focus, fixed.FOCUS_KIND).otherwise(fixed.OUTSIDE_KIND)
     return (
         with_kind(labelled, kind)
         .withColumn("draw_order", F.when(F.col("kind") == fixed.FOCUS_KIND, 1).otherwise(0))

@@ -99,6 +99,35 @@ def thin_edges(edges: DataFrame, max_offset: float, geom_id: str = "geom_id") ->
     return kept.join(collapsed, [geom_id, "ring", "seq"], "left_anti")
 
 
+def shaped_rings(rings: Column, decimals: int, max_offset: float) -> Column:
+    """Rings of one polygon thinned, then rounded, by the rules of ``thin_edges`` and ``round_edges``.
+
+    ``rings`` are arrays of ``[x, y]`` as text. Positions without two finite numbers are left out,
+    and so are rings that the grid leaves with fewer than three edges.
+    """
+    steps, scale = round(1 / max_offset, 9), 10**decimals
+
+    def shaped(ring: Column) -> Column:
+        placed = F.transform(
+            ring,
+            lambda at: F.struct(
+                snapped(finite_number(F.get(at, F.lit(0))), steps).alias("x"),
+                snapped(finite_number(F.get(at, F.lit(1))), steps).alias("y"),
+            ),
+        )
+        whole = F.filter(placed, lambda at: at["x"].isNotNull() & at["y"].isNotNull())
+        # Of neighbours on one spot one stays.
+        following = F.slice(whole, 2, F.greatest(F.size(whole) - 1, F.lit(0)))
+        pairs = F.arrays_zip(whole.alias("at"), following.alias("then"))
+        moved = F.filter(pairs, lambda pair: pair["then"].isNull() | (pair["at"] != pair["then"]))
+        return F.transform(
+            moved,
+            lambda pair: F.array(snapped(pair["at"]["x"], scale), snapped(pair["at"]["y"], scale)),
+        )
+
+    return F.filter(F.transform(rings, shaped), lambda ring: F.size(ring) >= 4)
+
+
 def edge_boxes(edges: DataFrame, geom_id: str = "geom_id") -> DataFrame:
     """Bounding box per polygon, combined before the shuffle."""
     return edges.groupBy(geom_id).agg(

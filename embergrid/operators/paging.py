@@ -10,41 +10,40 @@ from pyspark.sql import functions as F
 
 from embergrid import fixed_values as fixed
 
-
-# Most buckets cut by default; more than one per partition evens out the hashing of buckets.
-MAX_BUCKETS = 10_000
+# Rows that a bucket of ranks should hold.
+BUCKET_ROWS = 250_000
 
 # Rows looked at per bucket when choosing cuts; a hundred keep buckets within about a third of even.
 SAMPLES_PER_BUCKET = 100
 
 
-def page_slice(df: DataFrame, order: str, offset: int, limit: int = fixed.PAGE_SIZE) -> DataFrame:
-    """One page in stable id order (O1, O2)."""
-    return df.orderBy(order).offset(offset).limit(limit)
-
-
 def rank_rows(
-    df: DataFrame, order: str, by: Sequence[str] = (), buckets: int | None = None
+    df: DataFrame, order: str, by: Sequence[str] = (), bucket_rows: int = BUCKET_ROWS
 ) -> DataFrame:
     """Adds ``rank``, the 0-based place in ``order`` within each ``by`` group.
 
     A window over a whole group would put a hot group in one task. Instead rows are cut into
     buckets by value of ``order``; the rank is the size of the group's earlier buckets plus the
-    place in the own bucket. No window then holds much more than ``1/buckets`` of all rows.
+    place in the own bucket. No window then holds much more than ``bucket_rows`` rows.
 
     A sample only chooses where to cut: any cuts give the same ranks. The cuts are driver values,
-    so a recomputed task cuts the same way. ``order`` must be a number, unique within a group.
+    so a recomputed task cuts the same way. ``order`` must be a number, unique within a group; NULL
+    comes first, and NULL groups are a group. Planning runs a count and a sample of ``df``.
     """
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = buckets or min(4 * partitions, MAX_BUCKETS)
-    cuts = _cuts(df, order, buckets)
+    total = df.count()
+    # At least one bucket per task; the cuts are one double per bucket.
+    buckets = max(4 * partitions, -(-total // bucket_rows))
+    cuts = _cuts(df, order, buckets, total)
     bucketed = Bucketizer(
         splits=[float("-inf"), *cuts, float("inf")],
         inputCol="_order",
         outputCol="_bucket",
         handleInvalid="keep",
     ).transform(df.withColumn("_order", F.col(order).cast("double")))
-    bucketed = bucketed.withColumn("_bucket", F.col("_bucket").cast("int"))
+    # NULL has a bucket of its own before all others.
+    number = F.when(F.col("_order").isNull(), -1).otherwise(F.col("_bucket").cast("int"))
+    bucketed = bucketed.withColumn("_bucket", number)
 
     keys = [*by, "_bucket"]
     sizes = bucketed.groupBy(*keys).agg(F.count("*").alias("_size"))
@@ -52,19 +51,19 @@ def rank_rows(
     before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(*keys, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1
-    return (
-        bucketed.withColumn("_place", place)
-        # The window has partitioned and sorted by these keys; only the few starts move.
-        .join(starts.hint("merge"), keys)
-        .withColumn("rank", (F.col("_start") + F.col("_place")).cast("bigint"))
-        .drop("_order", "_bucket", "_place", "_start")
-    )
+    placed = bucketed.withColumn("_place", place).alias("_rows")
+    same = F.lit(True)
+    for key in keys:
+        same &= F.col(f"_rows.`{key}`").eqNullSafe(F.col(f"_starts.`{key}`"))
+    # The few starts move to the rows.
+    joined = placed.join(starts.alias("_starts"), same)
+    rank = (F.col("_starts._start") + F.col("_rows._place")).cast("bigint").alias("rank")
+    return joined.select(*[F.col(f"_rows.`{name}`") for name in df.columns], rank)
 
 
-def _cuts(df: DataFrame, order: str, buckets: int) -> list[float]:
+def _cuts(df: DataFrame, order: str, buckets: int, total: int) -> list[float]:
     """Values that cut the rows into about even buckets: one double per bucket."""
     wanted = SAMPLES_PER_BUCKET * buckets
-    total = df.count()
     keys = df.select(order)
     if total > wanted:
         keys = keys.sample(fraction=wanted / total, seed=0)
@@ -73,6 +72,21 @@ def _cuts(df: DataFrame, order: str, buckets: int) -> list[float]:
     return sorted({float(cut) for cut in found}) or [0.0]
 
 
+def page_slice(
+    df: DataFrame, order: str, offset: int, limit: int | None = fixed.PAGE_SIZE
+) -> DataFrame:
+    """One page in stable id order, or all rows from ``offset`` on (O1, O2).
+
+    Rows are ranked and the range is filtered, so a late page costs no more than an early one and
+    no task holds the rows before it. Rows come in no order of their own; sort by ``order``.
+    """
+    rank = F.col("rank")
+    wanted = rank >= offset if limit is None else (rank >= offset) & (rank < offset + limit)
+    names = [F.col(f"_row.`{name}`") for name in df.columns]
+    rows = df.select(F.col(order).alias("_key"), F.struct("*").alias("_row"))
+    return rank_rows(rows, "_key").where(wanted).select(*names)
+
+
 def assign_pages(
     df: DataFrame, order: str, page_size: int = fixed.PAGE_SIZE, by: Sequence[str] = ()
 ) -> DataFrame:
@@ -88,7 +102,7 @@ def page_status(pages: DataFrame, page_size: int = fixed.PAGE_SIZE) -> DataFrame
     offset is the sum of the lengths so far, and it stops at the first page that is unflagged and
     shorter than ``page_size``.
 
-    * ``not_advanced``: a flagged page is empty, so the scan could not go on;
+    * ``not_advanced``: a flagged page before the stop is empty, so the scan could not go on;
     * ``gap``: a page up to the stop does not start where the pages before it end, or two filled
       pages start at one offset;
     * ``complete``: the pages run from 0 to a stop page;
@@ -138,16 +152,18 @@ def page_status(pages: DataFrame, page_size: int = fixed.PAGE_SIZE) -> DataFrame
         F.min(F.when(~meets, F.col("at"))).alias("break_at"),
         F.min(F.when(F.col("stop"), F.col("at"))).alias("stop_at"),
         F.max("at").alias("end_at"),
-        F.bool_or("stuck").alias("stuck"),
+        F.min(F.when(F.col("stuck"), F.col("at"))).alias("stuck_at"),
         F.sum("pages").alias("pages"),
     )
+    # A scan never asks for what lies after its stop page.
+    stuck = F.coalesce(F.col("stuck_at") <= F.col("stop_at"), F.col("stuck_at").isNotNull())
     # Without a stop page the last end is open and no break.
     broken = F.coalesce(
         F.col("break_at") <= F.col("stop_at"), F.col("break_at") < F.col("end_at"), F.lit(False)
     )
     return layers.select(
         "layer",
-        F.when(F.col("stuck"), "not_advanced")
+        F.when(stuck, "not_advanced")
         .when(broken, "gap")
         .when(F.col("stop_at").isNotNull(), "complete")
         .otherwise("unfinished")

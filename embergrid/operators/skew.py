@@ -16,8 +16,8 @@ BROADCAST_ROWS = 1_000_000
 def hot_keys(counts: DataFrame, total: int, n: str = "n", shares: int = HOT_SHARES) -> DataFrame:
     """Keys above ``1/shares`` of all rows, with the number of ``splits`` each needs.
 
-    ``counts`` has the keys and their row count ``n``. At most ``shares`` keys can be hot, so the
-    result is small enough to broadcast by construction.
+    ``counts`` has the keys and their row count ``n``. If they add up to ``total``, at most
+    ``shares`` keys can be hot, so the result is small enough to broadcast by construction.
     """
     limit = max(1, total // shares)
     splits = F.ceil(F.col(n) / limit).cast("int").alias("splits")
@@ -48,19 +48,22 @@ def join_split(
     return spread.join(copies.hint("merge"), [*keys, "split"]).drop("split")
 
 
-def lookup_join(
-    many: DataFrame,
-    few: DataFrame,
-    keys: list[str],
-    spread_by: Column,
-    broadcast_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
-    """Inner join of many rows with a table that has one row per key.
+def _null_safe(keys: list[str]) -> Column:
+    same = F.lit(True)
+    for key in keys:
+        same &= F.col(f"_many.`{key}`").eqNullSafe(F.col(f"_few.`{key}`"))
+    return same
+
+
+def lookup_join(many: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
+    """Every row of ``many`` that has a key in ``few``, with its columns; NULL keys are equal.
 
-    The table is counted first and broadcast only within ``broadcast_rows``. A larger one is
-    shuffled with the hot keys split, at the price of counting the keys of ``many``.
+    ``few`` has one row per key. The planner broadcasts it when it knows it to be small enough in
+    bytes. Otherwise both sides are shuffled, and partitions of ``many`` that one key fills are
+    split while the query runs, since only rows of the other side are copied for that.
     """
-    if few.count() <= broadcast_rows:
-        return many.join(F.broadcast(few), keys)
-    counts = many.groupBy(*keys).agg(F.count("*").alias("n"))
-    return join_split(many, few, keys, hot_keys(counts, many.count()), spread_by)
+    one, two = many.alias("_many"), few.alias("_few")
+    joined = one.join(two, _null_safe(keys))
+    own = [F.col(f"_many.`{name}`") for name in many.columns]
+    added = [F.col(f"_few.`{name}`") for name in few.columns if name not in keys]
+    return joined.select(*own, *added)

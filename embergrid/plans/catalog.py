@@ -28,11 +28,20 @@ from embergrid.operators.features import (
 from embergrid.operators.geometry import boxes_overlapping, edge_boxes, round_edges, thin_edges
 from embergrid.operators.paging import assign_pages, page_slice, page_status
 from embergrid.operators.query import feature_query
-from embergrid.operators.skew import lookup_join
+from embergrid.operators.skew import BROADCAST_ROWS, lookup_join
 from embergrid.operators.spatial import clip_points, points_in_polygons, top_polygon
 from embergrid.plans import inputs
-from embergrid.plans.layers import as_features, edges_of, layer_groups, visible_features
-from embergrid.sources.camera_feed import camera_records
+from embergrid.plans.layers import (
+    Loader,
+    as_features,
+    edges_of,
+    load_status,
+    require_complete,
+    visible_features,
+    with_shape,
+)
+from embergrid.plans.layers import features_union as union_of_layers
+from embergrid.sources.camera_feed import camera_records, payload_shapes
 from embergrid.sources.landed_pages import (
     page_facts,
     page_features,
@@ -47,6 +56,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 # Box used to show the overlap filter.
 INNER_BOUNDS = (-122.0, 43.0, -119.0, 45.0)
 
+EVENT_LAYERS = ("click", "error", "purchase", "signup", "view")
+
 
 def cameras_in_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return camera_features(inputs.raw_cameras(spark, sf_dir), keep=["cam_key"])
@@ -116,9 +127,7 @@ def burns_in_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def burn_card_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     burns = inputs.derived(spark, sf_dir, "fx_burns")
-    return burn_cards(
-        burns.withColumn("start_text", F.lit(None).cast("string")), keep=["event_id"]
-    )
+    return burn_cards(burns, keep=["event_id"])
 
 
 def boundary_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,46 +196,126 @@ def page_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_pages(orders, "o_orderkey")
 
 
-def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cameras, fires and burns in the common feature shape."""
-    burns = inputs.derived(spark, sf_dir, "fx_burns")
-    parts = (
-        as_features(
-            cameras_in_state(spark, sf_dir), "cameras", "cam_key", ("id", "name", "state"), "Point"
+def page_numbers_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages per customer group; a seventh of the rows has no group, one row no key."""
+    orders = inputs.table(spark, sf_dir, "orders").select(
+        F.expr("CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_custkey % 5 END").alias("grp"),
+        F.expr("CASE WHEN o_orderkey = 7 THEN NULL ELSE o_orderkey END").alias("id"),
+    )
+    return assign_pages(orders, "id", 100, by=["grp"])
+
+
+def boundary_kinds_by_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Focus and outside per set; one set has no id."""
+    polygons = inputs.table(spark, sf_dir, "supplier").select(
+        F.expr("CASE s_nationkey % 4 WHEN 0 THEN NULL ELSE s_nationkey % 4 END").alias("set_id"),
+        F.col("s_suppkey").alias("oid"),
+        F.expr("s_suppkey % 3 = 1").alias("hit"),
+    )
+    labelled = label_focus(polygons, match=F.col("hit"), set_id="set_id")
+    return labelled.select("set_id", "oid", "kind", "draw_order")
+
+
+def feature_query_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A late page of a layer in its default order."""
+    fires = inputs.derived(spark, sf_dir, "fx_fires").select("objectid", "poo_state", "lon", "lat")
+    return feature_query(fires, where="poo_state = 'US-OR'", offset=4_000, limit=3_000, precision=2)
+
+
+def edges_in_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of the polygons that meet a box, through the feature query."""
+    edges = inputs.edges(spark, sf_dir)
+    return feature_query(edges, bounds=INNER_BOUNDS, precision=3, order_by=None)
+
+
+def feed_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return payload_shapes(inputs.derived(spark, sf_dir, "fx_payloads"), "payload", "feed")
+
+
+def event_load_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the load of each event layer went; two have broken page sets."""
+    pages = inputs.broken_event_pages(spark, sf_dir).persist()
+
+    def loader(layer: str) -> Loader:
+        def load() -> DataFrame:
+            own = pages.where(F.col("layer") == layer)
+            last = require_complete(own, inputs.EVENT_PAGE_SIZE)
+            return page_features(own.where(F.col("result_offset") <= last)).select("feature_id")
+
+        return load
+
+    try:
+        loads = {layer: loader(layer) for layer in EVENT_LAYERS}
+        return load_status(spark, loads, dict.fromkeys(loads, "feature_id STRING"))
+    finally:
+        pages.unpersist()
+
+
+def _perimeters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perimeters with their shape, as published."""
+    shapes = inputs.polygon_geojson(spark, sf_dir)
+    rows = inputs.derived(spark, sf_dir, "fx_perimeters").join(shapes, "geom_id")
+    shaped = with_shape(rows, fixed.PERIMETER_PRECISION, fixed.PERIMETER_MAX_OFFSET)
+    kind = F.when(F.col("geom_id") % 3 == 0, "MultiPolygon").otherwise("Polygon")
+    return shaped.withColumn("geom_type", kind).withColumn(
+        "attr_incident_type_category", F.lit(None).cast("string")
+    )
+
+
+def _layers(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The five layers in their published form."""
+    fires = inputs.derived(spark, sf_dir, "fx_fires").withColumnRenamed("objectid", "feature_id")
+    none = F.lit(None).cast("string")
+    boundary = polygons_only(inputs.derived(spark, sf_dir, "fx_boundary"))
+    return {
+        "cameras": cameras_in_state(spark, sf_dir),
+        "fires": numeric_property(
+            fires.withColumn("incident_type_category", none), "acres", ["incident_size"]
         ),
-        as_features(
-            inputs.derived(spark, sf_dir, "fx_fires"),
-            "fires",
-            "objectid",
-            ("incident_name", "poo_state"),
-            "Point",
+        "perimeters": _perimeters(spark, sf_dir).withColumnRenamed("geom_id", "feature_id"),
+        "burns": in_bounds(inputs.derived(spark, sf_dir, "fx_burns")).withColumnRenamed(
+            "event_id", "feature_id"
         ),
-        as_features(in_bounds(burns), "burns", "event_id", ("name",), "Point"),
-    )
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+        "boundary": label_focus(boundary.withColumn("geometry", none)),
+    }
 
 
 def features_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _features(spark, sf_dir).select(
+    def named(key: str):
+        return F.get_json_object("properties", f"$.{key}")
+
+    return union_of_layers(_layers(spark, sf_dir)).select(
         "layer",
         "feature_id",
         "geom_type",
         "lon",
         "lat",
-        F.coalesce(F.col("properties")["name"], F.col("properties")["incident_name"]).alias("name"),
-        F.size("properties").alias("n_properties"),
-    )
+        F.coalesce(named("name"), named("incident_name"), named("attr_incident_name"), named("kind")).alias("name"),
+        F.json_object_keys("properties").alias("_keys"),
+        F.col("geometry").isNotNull().alias("has_geometry"),
+    ).select("*", F.size("_keys").alias("n_properties")).drop("_keys")
 
 
 def shown_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = layer_groups(spark, {"prescribed": True})
-    return visible_features(_features(spark, sf_dir), groups).select("layer", "feature_id")
+    features = union_of_layers(_layers(spark, sf_dir))
+    return visible_features(features, {"prescribed": True}).select("layer", "feature_id")
 
 
 def feature_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fires = inputs.derived(spark, sf_dir, "fx_fires")
-    features = as_features(fires, "fires", "objectid", ("poo_state",), "Point")
-    return geojson_lines(features)
+    """Points and polygons as GeoJSON lines, with text and number properties."""
+    fires = numeric_property(
+        inputs.derived(spark, sf_dir, "fx_fires"), "acres", ["incident_size"]
+    )
+    points = as_features(fires, "fires", "objectid", ("poo_state", "acres"), "Point")
+    perimeters = _perimeters(spark, sf_dir)
+    polygons = as_features(perimeters, "perimeters", "geom_id", ("attr_poo_state",), "Polygon")
+    return geojson_lines(points.unionByName(polygons))
+
+
+def perimeters_shaped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of the perimeters as published: thinned, then rounded."""
+    edges = edges_of(_perimeters(spark, sf_dir), "geom_id")
+    return edges.select("geom_id", "x1", "y1", "x2", "y2")
 
 
 def geojson_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,28 +334,59 @@ def perimeter_bbox_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes_overlapping(edge_boxes(inputs.edges(spark, sf_dir)), INNER_BOUNDS)
 
 
-def fires_in_perimeters(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fires_in_perimeters(
+    spark: SparkSession, sf_dir: str, broadcast_rows: int = BROADCAST_ROWS
+) -> DataFrame:
     fires = inputs.derived(spark, sf_dir, "fx_fires")
-    return points_in_polygons(fires, inputs.edges(spark, sf_dir), "objectid")
+    edges = inputs.edges(spark, sf_dir)
+    return points_in_polygons(fires, edges, "objectid", broadcast_rows=broadcast_rows)
 
 
-def top_perimeter_per_fire(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return top_polygon(fires_in_perimeters(spark, sf_dir), "objectid")
+def top_perimeter_per_fire(
+    spark: SparkSession, sf_dir: str, broadcast_rows: int = BROADCAST_ROWS
+) -> DataFrame:
+    return top_polygon(fires_in_perimeters(spark, sf_dir, broadcast_rows), "objectid")
 
 
-def fires_clipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fires_clipped(
+    spark: SparkSession, sf_dir: str, broadcast_rows: int = BROADCAST_ROWS
+) -> DataFrame:
     fires = inputs.derived(spark, sf_dir, "fx_fires").select("objectid", "lon", "lat")
-    return clip_points(fires, inputs.edges(spark, sf_dir), "objectid")
+    edges = inputs.edges(spark, sf_dir)
+    return clip_points(fires, edges, "objectid", broadcast_rows=broadcast_rows)
+
+
+def sites_in_perimeters(
+    spark: SparkSession, sf_dir: str, broadcast_rows: int = BROADCAST_ROWS
+) -> DataFrame:
+    """Points with repeated and missing ids."""
+    sites = inputs.derived(spark, sf_dir, "fx_sites")
+    edges = inputs.edges(spark, sf_dir)
+    return points_in_polygons(sites, edges, "site", broadcast_rows=broadcast_rows)
 
 
-def perimeter_hit_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sites_clipped(
+    spark: SparkSession, sf_dir: str, broadcast_rows: int = BROADCAST_ROWS
+) -> DataFrame:
+    sites = inputs.derived(spark, sf_dir, "fx_sites")
+    return clip_points(sites, inputs.edges(spark, sf_dir), "site", broadcast_rows=broadcast_rows)
+
+
+def perimeter_hit_cards(
+    spark: SparkSession, sf_dir: str, broadcast_rows: int = BROADCAST_ROWS
+) -> DataFrame:
     """For every fire point, the card of the perimeter on top at its place."""
-    hits = top_perimeter_per_fire(spark, sf_dir)
+    hits = top_perimeter_per_fire(spark, sf_dir, broadcast_rows)
     cards = fire_cards(inputs.derived(spark, sf_dir, "fx_perimeters"), keep=["geom_id"])
-    joined = lookup_join(hits, cards, ["geom_id"], spread_by=F.col("objectid"))
+    joined = lookup_join(hits, cards, ["geom_id"])
     return joined.select("objectid", *cards.columns)
 
 
+def shuffled(query: Callable[[SparkSession, str, int], DataFrame]) -> Query:
+    """The query by the plan for polygon sets of any size."""
+    return lambda spark, sf_dir: query(spark, sf_dir, 0)
+
+
 QUERIES: dict[str, Query] = {
     "cameras_in_state": cameras_in_state,
     "camera_feed": camera_feed,
@@ -300,4 +420,18 @@ QUERIES: dict[str, Query] = {
     "top_perimeter_per_fire": top_perimeter_per_fire,
     "fires_clipped": fires_clipped,
     "perimeter_hit_cards": perimeter_hit_cards,
+    "sites_in_perimeters": sites_in_perimeters,
+    "sites_clipped": sites_clipped,
+    "fires_in_perimeters_shuffled": shuffled(fires_in_perimeters),
+    "fires_clipped_shuffled": shuffled(fires_clipped),
+    "perimeter_hit_cards_shuffled": shuffled(perimeter_hit_cards),
+    "sites_in_perimeters_shuffled": shuffled(sites_in_perimeters),
+    "sites_clipped_shuffled": shuffled(sites_clipped),
+    "page_numbers_by_group": page_numbers_by_group,
+    "boundary_kinds_by_set": boundary_kinds_by_set,
+    "feature_query_page": feature_query_page,
+    "edges_in_bounds": edges_in_bounds,
+    "feed_shapes": feed_shapes,
+    "load_status": event_load_status,
+    "perimeters_shaped": perimeters_shaped,
 }

@@ -97,6 +97,11 @@ BURNS = {
         "CASE WHEN event_id % 10 = 0 THEN NULL "
         "ELSE CAST(1704067200000 + event_id * 3600000 AS BIGINT) END"
     ),
+    "start_text": (
+        "CASE WHEN event_id % 40 = 0 THEN '11/14/2023 10:00:00 AM' "
+        "WHEN event_id % 40 = 10 THEN 'Tue, 14 Nov 2023 00:00:00 GMT' "
+        "WHEN event_id % 40 = 20 THEN 'Nov 14 2023' ELSE NULL END"
+    ),
     "watchduty_url": (
         "CASE event_id % 4 "
         "WHEN 0 THEN concat('https://burns.example.com/', CAST(event_id AS STRING)) "
@@ -131,15 +136,36 @@ LANDED = {
         "WHEN 4 THEN 408 ELSE 200 END"
     ),
     "body": (
-        "CASE event_id % 5 WHEN 0 THEN '<html>  Bad   gateway </html>' "
+        "CASE event_id % 11 WHEN 0 THEN '<html>  Bad   gateway </html>' "
         """WHEN 1 THEN '{"error":{"code":500,"message":"busy"}}' """
         """WHEN 2 THEN '{"error":{"message":"no code"}}' """
         """WHEN 3 THEN '{"features":[],"exceededTransferLimit":false}' """
+        """WHEN 4 THEN '{"features":[]}]' WHEN 5 THEN '{"features":[]}],[1' """
+        """WHEN 6 THEN '{"features":[{"id":1},{"id":2}],"exceededTransferLimit":true}' """
+        """WHEN 7 THEN '{"features":[{"id":1}],"exceededTransferLimit":"true"}' """
+        """WHEN 8 THEN '{"features":3,"exceededTransferLimit":null}' """
+        """WHEN 9 THEN ' {"features":[{"id":1}]} ' """
         """ELSE '{"features":[{"type":"Feature"}],"properties":{"exceededTransferLimit":true}}' """
         "END"
     ),
 }
 
+PAYLOADS = {
+    "feed": "c_custkey",
+    "payload": (
+        """CASE c_custkey % 7 WHEN 0 THEN '[]' WHEN 1 THEN '[{"name":"a"}] oops' """
+        """WHEN 2 THEN '{"a":1}' WHEN 3 THEN '[7,{"name":"b"},null]' WHEN 4 THEN '[1],[2]' """
+        """WHEN 5 THEN NULL ELSE ' [ {"name":"c"} ] ' END"""
+    ),
+}
+
+# Points of which several have one id, and some have none.
+SITES = {
+    "site": "CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_custkey % 500 END",
+    "lon": FIRES["lon"],
+    "lat": FIRES["lat"],
+}
+
 # Polygon outlines around a centre: a hexagon with a dent and a square hole, in thousandths.
 OUTER = ((-8, -6), (8, -6), (11, 0), (8, 6), (-8, 6), (-3, 0), (-8, -6))
 HOLE = ((1, -2), (5, -2), (5, 2), (1, 2), (1, -2))
@@ -158,6 +184,8 @@ COLUMNS = {
     "fx_boundary": ("nation", BOUNDARY),
     "fx_landed": ("events", LANDED),
     "fx_centres": ("supplier", CENTRES),
+    "fx_payloads": ("customer", PAYLOADS),
+    "fx_sites": ("orders", SITES),
 }
 
 
@@ -260,20 +288,25 @@ def event_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_pages(events, "event_id", EVENT_PAGE_SIZE, by=["layer"])
 
 
+# Where the page set of layer ``view`` is stuck.
+STUCK_AT = 2 * EVENT_PAGE_SIZE
+
+
 def page_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Page lengths and flags; ``error`` lacks a page, ``view`` has an empty flagged one."""
+    """Page lengths and flags: ``error`` lacks a page, ``view`` is stuck, ``click`` has a stray end."""
     ranked = event_pages(spark, sf_dir)
     pages = (
         ranked.groupBy("layer", "page_no")
         .agg(F.min("rank").alias("result_offset"), F.count("*").alias("page_len"))
         .withColumn("exceeded", F.col("page_len") == EVENT_PAGE_SIZE)
-        .where("NOT (layer = 'error' AND page_no = 1)")
+        .where("NOT (layer = 'error' AND page_no = 1) AND NOT (layer = 'view' AND page_no = 2)")
     )
-    stuck = (
+    at = F.when(F.col("layer") == "view", STUCK_AT).otherwise(F.count("*")).cast("bigint")
+    empty = (
         table(spark, sf_dir, "events")
-        .where("event_type = 'view'")
+        .where("event_type IN ('view', 'click')")
         .groupBy(F.col("event_type").alias("layer"))
-        .agg(F.count("*").alias("result_offset"))
+        .agg(at.alias("result_offset"))
         .select(
             "layer",
             F.lit(999999).cast("bigint").alias("page_no"),
@@ -282,7 +315,16 @@ def page_table(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit(True).alias("exceeded"),
         )
     )
-    return pages.unionByName(stuck)
+    return pages.unionByName(empty)
+
+
+def broken_event_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed event pages of which ``error`` lacks one and ``view`` is stuck."""
+    whole = landed_event_pages(spark, sf_dir)
+    lost = (F.col("layer") == "error") & (F.col("result_offset") == EVENT_PAGE_SIZE)
+    stuck = (F.col("layer") == "view") & (F.col("result_offset") == STUCK_AT)
+    body = F.when(stuck, F.lit('{"features":[],"exceededTransferLimit":true}'))
+    return whole.where(~lost).withColumn("body", F.coalesce(body, F.col("body")))
 
 
 def landed_event_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,17 +19,24 @@ from embergrid.operators.features import (
     point_columns,
     polygons_only,
 )
-from embergrid.operators.geometry import polygon_edges, rings_from_geojson, round_edges, thin_edges
+from embergrid.operators.geometry import (
+    polygon_edges,
+    rings_from_geojson,
+    round_edges,
+    shaped_rings,
+    thin_edges,
+)
 from embergrid.operators.paging import page_status
 from embergrid.schemas import LAYERS, LOAD_STATUS, empty_frame
 from embergrid.sources.camera_feed import read_camera_feed
 from embergrid.sources.landed_pages import (
+    NUMBER_KIND,
     page_facts,
     page_features,
     page_outcomes,
     property_text,
 )
-from embergrid.sources.sinks import write_layer
+from embergrid.sources.sinks import replace_folder, write_layer
 
 log = logging.getLogger(__name__)
 
@@ -55,6 +62,14 @@ PERIMETER_COLUMNS = (
 )
 
 
+# Rings of one polygon as landed; numbers may be quoted.
+POLYGON_POSITIONS = "array<array<array<string>>>"
+
+
+class MissingBoundary(Exception):
+    """The boundary layer has no polygon."""
+
+
 class IncompletePages(Exception):
     """The landed pages of a layer are not a whole layer."""
 
@@ -108,7 +123,7 @@ def fire_layer(pages: DataFrame) -> DataFrame:
 
 def perimeter_layer(pages: DataFrame) -> DataFrame:
     """Fire perimeters of the state; geometry as GeoJSON text."""
-    return (
+    perimeters = (
         page_features(pages)
         .select(
             "feature_id",
@@ -118,6 +133,7 @@ def perimeter_layer(pages: DataFrame) -> DataFrame:
         )
         .where(F.col("attr_poo_state") == fixed.STATE_CODE)
     )
+    return with_shape(perimeters, fixed.PERIMETER_PRECISION, fixed.PERIMETER_MAX_OFFSET)
 
 
 def burn_layer(pages: DataFrame) -> DataFrame:
@@ -126,11 +142,13 @@ def burn_layer(pages: DataFrame) -> DataFrame:
     A number is a start in epoch milliseconds, text is a date string; a quoted number is text.
     """
     start = F.try_variant_get("properties", "$.prescribed_date_start", "variant")
-    is_text = F.schema_of_variant(start) == "STRING"
+    kind = F.schema_of_variant(start)
+    is_text = kind == "STRING"
+    is_number = kind.rlike(NUMBER_KIND)
     burns = point_columns(page_features(pages)).select(
         "feature_id",
         property_text("name").alias("name"),
-        F.when(~is_text, F.try_variant_get(start, "$", "bigint")).alias("start_ms"),
+        F.when(is_number, F.try_variant_get(start, "$", "bigint")).alias("start_ms"),
         F.when(is_text, F.try_variant_get(start, "$", "string")).alias("start_text"),
         property_text("watchduty_url").alias("watchduty_url"),
         property_text("acreage").alias("acreage"),
@@ -152,7 +170,42 @@ def boundary_layer(pages: DataFrame) -> DataFrame:
         "state_fips",
         fixed.STATE_FIPS,
     )
-    return label_focus(polygons)
+    shaped = with_shape(polygons, fixed.BOUNDARY_PRECISION, fixed.BOUNDARY_MAX_OFFSET)
+    return label_focus(shaped)
+
+
+def whole_boundary_layer(pages: DataFrame) -> DataFrame:
+    """The boundary layer, which is an error without any polygon, as it is without the focus (B2)."""
+    layer = boundary_layer(pages)
+    if layer.isEmpty():
+        raise MissingBoundary(fixed.BOUNDARY_MISSING_ERROR)
+    return layer
+
+
+def with_shape(layer: DataFrame, decimals: int, max_offset: float) -> DataFrame:
+    """Polygon geometry thinned and rounded, as GeoJSON text (G1, G2); other geometry stays.
+
+    A polygon is one value of its row, so this is a row expression; ``edges_of`` does the same on
+    edge tables.
+    """
+    document = F.try_parse_json("geometry")
+    kind = F.try_variant_get(document, "$.type", "string")
+    single = F.array(F.try_variant_get(document, "$.coordinates", POLYGON_POSITIONS))
+    many = F.try_variant_get(document, "$.coordinates", f"array<{POLYGON_POSITIONS}>")
+    parts = F.transform(
+        F.when(kind == "Polygon", single).otherwise(many),
+        lambda rings: shaped_rings(rings, decimals, max_offset),
+    )
+    filled = F.filter(parts, lambda rings: F.size(rings) > 0)
+
+    def text(coordinates: Column) -> Column:
+        return F.to_json(F.struct(kind.alias("type"), coordinates.alias("coordinates")))
+
+    empty = F.array().cast(POLYGON_POSITIONS.replace("string", "double"))
+    shaped = F.when(kind == "Polygon", text(F.coalesce(F.get(filled, F.lit(0)), empty))).when(
+        kind == "MultiPolygon", text(filled)
+    )
+    return layer.withColumn("geometry", F.coalesce(shaped, F.col("geometry")))
 
 
 def edges_of(
@@ -184,29 +237,64 @@ def loaders(spark: SparkSession, camera_path: str, pages: DataFrame) -> dict[str
         "fires": paged("fires", fire_layer),
         "perimeters": paged("perimeters", perimeter_layer, fixed.PERIMETER_PAGE_SIZE),
         "burns": paged("burns", burn_layer),
-        "boundary": paged("boundary", boundary_layer),
+        "boundary": paged("boundary", whole_boundary_layer),
     }
 
 
+def guarded(
+    spark: SparkSession, name: str, load: Loader, schema: str, use: Callable[[DataFrame], int]
+) -> tuple[DataFrame, tuple[str, bool, str | None, int]]:
+    """A layer and its ``load_status`` row: the loaded table, or an empty one of its schema.
+
+    Spark is lazy, so ``use``, which reads the table and gives its row count, runs inside the guard.
+    """
+    try:
+        frame = load()
+        return frame, (name, True, None, use(frame))
+    except Exception as error:  # any failure empties this layer only
+        log.error("layer %s failed: %s", name, error)
+        lines = str(error).splitlines()
+        message = lines[0] if lines and lines[0].strip() else type(error).__name__
+        return empty_frame(spark, schema), (name, False, message, 0)
+
+
+def load_status(
+    spark: SparkSession, layer_loaders: Mapping[str, Loader], schemas: Mapping[str, str]
+) -> DataFrame:
+    """Loads all layers side by side and says how each went: ``layer, ok, error, rows``.
+
+    One row per layer passes the driver; each thread only starts Spark jobs.
+    """
+
+    def state(name: str) -> tuple[str, bool, str | None, int]:
+        return guarded(spark, name, layer_loaders[name], schemas[name], DataFrame.count)[1]
+
+    with ThreadPoolExecutor(max_workers=len(layer_loaders)) as pool:
+        return spark.createDataFrame(list(pool.map(state, layer_loaders)), LOAD_STATUS)
+
+
 def publish_layers(
     spark: SparkSession, layer_loaders: Mapping[str, Loader], path: str
 ) -> DataFrame:
     """Loads and writes all layers side by side; returns ``load_status``.
 
-    Spark is lazy, so a layer's write runs inside its guard: a bad layer fails there and is
-    replaced by an empty table of its schema, while the others go on. Rows never pass the driver;
-    each thread only starts a Spark job.
+    A layer is written to a folder beside its table first and takes the table's place only when it
+    is whole, so a write that breaks off leaves no half table. A bad layer is replaced by an empty
+    table of its schema, while the others go on.
     """
 
     def publish(name: str) -> tuple[str, bool, str | None, int]:
-        target = f"{path}/{name}"
-        try:
-            write_layer(layer_loaders[name](), target)
-            return name, True, None, spark.read.parquet(target).count()
-        except Exception as error:  # any failure empties this layer only
-            log.error("layer %s failed: %s", name, error)
-            write_layer(empty_frame(spark, LAYERS[name]), target)
-            return name, False, str(error).splitlines()[0], 0
+        fresh = f"{path}/_loading_{name}"
+
+        def use(frame: DataFrame) -> int:
+            write_layer(frame, fresh)
+            return spark.read.schema(LAYERS[name]).parquet(fresh).count()
+
+        frame, status = guarded(spark, name, layer_loaders[name], LAYERS[name], use)
+        if not status[1]:
+            write_layer(frame, fresh)
+        replace_folder(spark, fresh, f"{path}/{name}")
+        return status
 
     with ThreadPoolExecutor(max_workers=len(layer_loaders)) as pool:
         statuses = list(pool.map(publish, layer_loaders))
@@ -224,38 +312,47 @@ def read_layers(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 def as_features(
     df: DataFrame, layer: str, feature_id: str, properties: tuple[str, ...], geom_type: str
 ) -> DataFrame:
-    """A layer in the common feature shape; a ``geom_type`` column wins over the given type."""
+    """A layer in the common feature shape; a ``geom_type`` column wins over the given type.
+
+    ``geometry`` is GeoJSON text: the layer's own, or that of its point. ``properties`` is a JSON
+    object without missing values, in which numbers stay numbers.
+    """
     present = set(df.columns)
-    pairs = [item for name in properties for item in (F.lit(name), F.col(name).cast("string"))]
 
     def coordinate(name: str) -> Column:
         value = F.col(name) if name in present else F.lit(None).cast("double")
         return value.alias(name)
 
+    if "geometry" in present:
+        geometry = F.col("geometry")
+    else:
+        point = F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates"))
+        placed = F.col("lon").isNotNull() & F.col("lat").isNotNull()
+        geometry = F.when(placed, F.to_json(point))
     return df.select(
         F.lit(layer).alias("layer"),
         F.col(feature_id).cast("string").alias("feature_id"),
         (F.col("geom_type") if "geom_type" in present else F.lit(geom_type)).alias("geom_type"),
         coordinate("lon"),
         coordinate("lat"),
-        F.map_filter(F.create_map(*pairs), lambda _, value: value.isNotNull()).alias("properties"),
+        geometry.alias("geometry"),
+        F.to_json(F.struct(*properties)).alias("properties"),
     )
 
 
+# Id, properties and geometry type of each layer in the feature table.
+FEATURE_SHAPES = {
+    "cameras": ("id", ("id", "name", "pan", "image", "state", "county"), "Point"),
+    "fires": ("feature_id", (*FIRE_COLUMNS, "acres"), "Point"),
+    "perimeters": ("feature_id", PERIMETER_COLUMNS, "Polygon"),
+    "burns": ("feature_id", ("name", "start_ms", "start_text", "watchduty_url", "acreage"), "Point"),
+    "boundary": ("oid", ("state_fips", "geoid", "kind"), "Polygon"),
+}
+
+
 def features_union(layers: Mapping[str, DataFrame]) -> DataFrame:
     """All published layers as one feature table."""
-    shapes = {
-        "cameras": ("id", ("id", "name", "pan", "image", "state", "county"), "Point"),
-        "fires": ("feature_id", (*FIRE_COLUMNS, "acres"), "Point"),
-        "perimeters": ("feature_id", PERIMETER_COLUMNS, "Polygon"),
-        "burns": (
-            "feature_id",
-            ("name", "start_ms", "start_text", "watchduty_url", "acreage"),
-            "Point",
-        ),
-        "boundary": ("oid", ("state_fips", "geoid", "kind"), "Polygon"),
-    }
-    parts = [as_features(df, name, *shapes[name]) for name, df in layers.items()]
+    parts = [as_features(df, name, *FEATURE_SHAPES[name]) for name, df in layers.items()]
     union = parts[0]
     for part in parts[1:]:
         union = union.unionByName(part)
@@ -264,22 +361,27 @@ def features_union(layers: Mapping[str, DataFrame]) -> DataFrame:
 
 def layer_groups(spark: SparkSession, visible: Mapping[str, bool] | None = None) -> DataFrame:
     """Layer-group dimension: a handful of fixed rows; ``visible`` overrides the defaults."""
+    return spark.createDataFrame(
+        _group_rows(visible), "layer_group STRING, layer STRING, source STRING, visible BOOLEAN"
+    )
+
+
+def _group_rows(visible: Mapping[str, bool] | None) -> list[tuple[str, str, str, bool]]:
     chosen = visible or {}
-    rows = [
+    return [
         (group, layer, fixed.LAYER_SOURCES.get(layer, layer), chosen.get(group, default))
         for group, default, layers in fixed.LAYER_GROUPS
         for layer in layers
     ]
-    return spark.createDataFrame(
-        rows, "layer_group STRING, layer STRING, source STRING, visible BOOLEAN"
-    )
 
 
-def visible_features(features: DataFrame, groups: DataFrame) -> DataFrame:
-    """Features of the layers whose group is on.
+def visible_features(features: DataFrame, visible: Mapping[str, bool] | None = None) -> DataFrame:
+    """Features that no group hides: layers of groups that are on, and layers of no group.
 
-    The semi-join with the few rows of the group table is planned as a value list, so that hidden
-    layers' partitions, or their whole branches of a union, are not read.
+    The groups are fixed values, so hidden layers are a value list, and their partitions, or their
+    whole branches of a union, are not read.
     """
-    shown = [row[0] for row in groups.where("visible").select("source").distinct().collect()]
-    return features.where(F.col("layer").isin(*shown))
+    rows = _group_rows(visible)
+    shown = {source for _, _, source, on in rows if on}
+    hidden = sorted({source for _, _, source, _ in rows} - shown)
+    return features.where(F.coalesce(~F.col("layer").isin(*hidden), F.lit(True)))

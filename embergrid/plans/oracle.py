@@ -81,6 +81,7 @@ CAMERA_HEADING = (
 )
 IN_BOUNDS = "lon BETWEEN -124.7 AND -116.4 AND lat BETWEEN 41.9 AND 46.4"
 
+# Error texts, bounds and state codes in this file are fixed values that results must show.
 OUTCOMES = (
     "SELECT request_id, http_status, body, json_valid(body) AS is_json, "
     "CASE WHEN json_valid(body) THEN json_extract(body, '$.error') IS NOT NULL ELSE FALSE END "
@@ -115,15 +116,37 @@ RANKED_EVENTS = (
 PAGES = (
     f"SELECT layer, rn // {PAGE} AS page_no, MIN(rn) AS result_offset, COUNT(*) AS page_len, "
     f"COUNT(*) = {PAGE} AS exceeded FROM ranked GROUP BY layer, rn // {PAGE} "
-    f"HAVING NOT (layer = 'error' AND rn // {PAGE} = 1) UNION ALL "
-    "SELECT event_type, 999999, COUNT(*), 0, TRUE FROM events WHERE event_type = 'view' "
-    "GROUP BY event_type"
+    f"HAVING NOT (layer = 'error' AND rn // {PAGE} = 1) "
+    f"AND NOT (layer = 'view' AND rn // {PAGE} = 2) UNION ALL "
+    f"SELECT event_type, 999999, CASE event_type WHEN 'view' THEN {inputs.STUCK_AT} ELSE COUNT(*) "
+    "END, 0, TRUE FROM events WHERE event_type IN ('view', 'click') GROUP BY event_type"
+)
+STOPS = (
+    "SELECT layer, MIN(result_offset) AS stop_at FROM pages_in "
+    f"WHERE NOT exceeded AND page_len < {PAGE} GROUP BY layer"
+)
+ASKED = (
+    "SELECT pages_in.* FROM pages_in LEFT JOIN stops USING (layer) "
+    "WHERE stop_at IS NULL OR result_offset <= stop_at"
 )
 RUNNING = (
     "SELECT layer, page_no, result_offset, page_len, exceeded, "
     "coalesce(SUM(page_len) OVER (PARTITION BY layer ORDER BY page_no "
     "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS expected, "
-    "LEAD(page_no) OVER (PARTITION BY layer ORDER BY page_no) AS nxt FROM pages_in"
+    "LEAD(page_no) OVER (PARTITION BY layer ORDER BY page_no) AS nxt FROM asked"
+)
+
+STATES = (
+    "SELECT layer, CASE WHEN SUM(CASE WHEN exceeded AND page_len = 0 THEN 1 ELSE 0 END) > 0 "
+    "THEN 'not_advanced' "
+    "WHEN SUM(CASE WHEN expected <> result_offset THEN 1 ELSE 0 END) > 0 THEN 'gap' "
+    f"WHEN SUM(CASE WHEN nxt IS NULL AND NOT exceeded AND page_len < {PAGE} "
+    "THEN 1 ELSE 0 END) = 1 THEN 'complete' ELSE 'unfinished' END AS status, "
+    "CAST(SUM(page_len) AS BIGINT) AS filled FROM w GROUP BY layer"
+)
+PAGE_STATES = (
+    f"ranked AS ({RANKED_EVENTS}), pages_in AS ({PAGES}), stops AS ({STOPS}), "
+    f"asked AS ({ASKED}), w AS ({RUNNING}), states AS ({STATES})"
 )
 
 HITS = (
@@ -133,14 +156,33 @@ HITS = (
     "WHERE e.y1 <> e.y2 GROUP BY 1, 2) WHERE n % 2 = 1"
 )
 
+def _count(*columns: str) -> str:
+    """How many of the columns are not missing."""
+    return " + ".join(f"CAST({column} IS NOT NULL AS INTEGER)" for column in columns)
+
+
+FOCUS = "SELECT MIN(oid) AS oid FROM fx_boundary WHERE geom_type <> 'Point' AND (state_fips = '41' OR geoid = '41')"
 FEATURES = (
-    "SELECT 'cameras' AS layer, CAST(cam_key AS STRING) AS feature_id, 'Point' AS geom_type, "
-    "lon, lat, name, CAST(3 AS INTEGER) AS n_properties FROM in_state UNION ALL "
+    "SELECT 'cameras' AS layer, id AS feature_id, 'Point' AS geom_type, lon, lat, name, "
+    f"{_count('id', 'name', 'pan', 'image', 'state', 'county')} AS n_properties, "
+    "TRUE AS has_geometry FROM in_state UNION ALL "
     "SELECT 'fires', CAST(objectid AS STRING), 'Point', lon, lat, incident_name, "
-    "CASE WHEN incident_name IS NULL THEN 1 ELSE 2 END FROM fx_fires UNION ALL "
+    f"{_count('incident_name', 'incident_size', 'percent_contained', 'poo_county', 'poo_state', _number('incident_size'))}, "
+    "TRUE FROM fx_fires UNION ALL "
+    "SELECT 'perimeters', CAST(geom_id AS STRING), "
+    "CASE WHEN geom_id % 3 = 0 THEN 'MultiPolygon' ELSE 'Polygon' END, NULL, NULL, "
+    "attr_incident_name, "
+    f"{_count('poly_incident_name', 'attr_incident_name', 'poly_gisacres', 'attr_percent_contained', 'attr_poo_county', 'attr_poo_state')}, "
+    "TRUE FROM fx_perimeters UNION ALL "
     "SELECT 'burns', CAST(event_id AS STRING), geom_type, lon, lat, name, "
-    f"CASE WHEN name IS NULL THEN 0 ELSE 1 END FROM fx_burns WHERE {IN_BOUNDS}"
+    f"{_count('name', 'start_ms', 'start_text', 'watchduty_url', 'acreage')}, TRUE "
+    f"FROM fx_burns WHERE {IN_BOUNDS} UNION ALL "
+    "SELECT 'boundary', CAST(b.oid AS STRING), geom_type, NULL, NULL, "
+    "CASE WHEN b.oid = focus.oid THEN 'oregon' ELSE 'outside' END, "
+    f"1 + {_count('state_fips', 'geoid')}, FALSE "
+    "FROM fx_boundary b CROSS JOIN focus WHERE geom_type <> 'Point'"
 )
+LAYER_TABLES = ("fx_cameras", "fx_fires", "fx_perimeters", "fx_burns", "fx_boundary")
 
 PERIMETER_CARDS = (
     "SELECT geom_id, coalesce(nullif(poly_incident_name, ''), nullif(attr_incident_name, ''), "
@@ -170,6 +212,24 @@ THIN_EDGES = (
 _WEST, _SOUTH, _EAST, _NORTH = INNER_BOUNDS
 
 
+def _shaped_tables() -> dict[str, str]:
+    """Corners on the perimeters' grid, one per run of equal neighbours, then rounded."""
+    steps = round(1 / fixed.PERIMETER_MAX_OFFSET)
+    return {
+        "grid_corners": (
+            f"SELECT geom_id, ring, seq, {_snap('x', steps)} AS x, {_snap('y', steps)} AS y FROM p"
+        ),
+        "grid_next": (
+            "SELECT *, LEAD(x) OVER w AS nx, LEAD(y) OVER w AS ny FROM grid_corners "
+            "WINDOW w AS (PARTITION BY geom_id, ring ORDER BY seq)"
+        ),
+        "round_runs": (
+            f"SELECT geom_id, ring, seq, {_snap('x', 1000)} AS x, {_snap('y', 1000)} AS y "
+            "FROM grid_next WHERE nx IS NULL OR nx <> x OR ny <> y"
+        ),
+    }
+
+
 def _thinned() -> str:
     return _with(
         "SELECT geom_id, ring, seq, x1, y1, x2, y2 FROM thin_edges "
@@ -186,6 +246,14 @@ def _camera(select: str) -> str:
     return _with(select, "fx_cameras", in_state=STATE_CAMERAS)
 
 
+def _flag(path: str) -> str:
+    """Whether a part of the body is the boolean true."""
+    return (
+        f"(coalesce(json_type(body, '{path}') = 'BOOLEAN', FALSE) "
+        f"AND coalesce(json_extract_string(body, '{path}') = 'true', FALSE))"
+    )
+
+
 def _landed(select: str) -> str:
     return _with(select, "fx_landed", outcomes=OUTCOMES, triaged=TRIAGED, rated=RATED)
 
@@ -246,7 +314,8 @@ ORACLE: dict[str, str] = {
     "burn_cards": _with(
         "SELECT event_id, coalesce(nullif(name, ''), 'Prescribed fire') AS title, "
         f"{_acres('acreage', ' target acres')} AS acres_text, "
-        "'Scheduled: ' || strftime(make_timestamp(start_ms * 1000), '%b %-d, %Y') "
+        "'Scheduled: ' || coalesce(strftime(make_timestamp(start_ms * 1000), '%b %-d, %Y'), "
+        "CASE WHEN start_text IS NOT NULL THEN 'Nov 14, 2023' END) "
         "AS schedule_text, "
         "CASE WHEN starts_with(watchduty_url, 'https:') THEN watchduty_url END AS link_url "
         "FROM fx_burns",
@@ -284,8 +353,9 @@ ORACLE: dict[str, str] = {
     ),
     "page_flags": _landed(
         "SELECT request_id, CAST(json_array_length(body, '$.features') AS BIGINT) AS page_len, "
-        "CAST(coalesce(json_extract(body, '$.exceededTransferLimit'), "
-        "json_extract(body, '$.properties.exceededTransferLimit')) AS BOOLEAN) AS exceeded "
+        "CASE WHEN coalesce(json_type(body, '$.exceededTransferLimit'), 'NULL') = 'NULL' "
+        f"THEN {_flag('$.properties.exceededTransferLimit')} "
+        f"ELSE {_flag('$.exceededTransferLimit')} END AS exceeded "
         "FROM rated WHERE outcome = 'ok'"
     ),
     "pages_to_refetch": _landed(
@@ -293,13 +363,15 @@ ORACLE: dict[str, str] = {
         "FROM rated WHERE retryable"
     ),
     "page_completeness": (
-        f"WITH ranked AS ({RANKED_EVENTS}), pages_in AS ({PAGES}), w AS ({RUNNING}) "
-        "SELECT layer, CASE WHEN SUM(CASE WHEN exceeded AND page_len = 0 THEN 1 ELSE 0 END) > 0 "
-        "THEN 'not_advanced' "
-        "WHEN SUM(CASE WHEN expected <> result_offset THEN 1 ELSE 0 END) > 0 THEN 'gap' "
-        f"WHEN SUM(CASE WHEN nxt IS NULL AND NOT exceeded AND page_len < {PAGE} "
-        "THEN 1 ELSE 0 END) = 1 THEN 'complete' ELSE 'unfinished' END AS status, "
-        "COUNT(*) AS pages FROM w GROUP BY layer"
+        f"WITH {PAGE_STATES} SELECT layer, status, (SELECT COUNT(*) FROM pages_in p "
+        "WHERE p.layer = states.layer) AS pages FROM states"
+    ),
+    # The landed pages lack the stray end of the page table.
+    "load_status": (
+        f"WITH {PAGE_STATES} SELECT layer, status = 'complete' AS ok, CASE status "
+        f"WHEN 'not_advanced' THEN '{fixed.NOT_ADVANCED_ERROR}' WHEN 'complete' THEN NULL "
+        "ELSE 'pages: ' || status END AS error, "
+        "CASE WHEN status = 'complete' THEN filled ELSE 0 END AS rows FROM states"
     ),
     "paged_features": (
         f"WITH ranked AS ({RANKED_EVENTS}) SELECT layer, rn // {PAGE} * {PAGE} AS result_offset, "
@@ -314,23 +386,82 @@ ORACLE: dict[str, str] = {
         "SELECT o_orderkey, ROW_NUMBER() OVER (ORDER BY o_orderkey) - 1 AS rank, "
         f"(ROW_NUMBER() OVER (ORDER BY o_orderkey) - 1) // {fixed.PAGE_SIZE} AS page_no FROM orders"
     ),
-    "features_union": _with(
-        FEATURES, "fx_cameras", "fx_fires", "fx_burns", in_state=STATE_CAMERAS
-    ),
+    "features_union": _with(FEATURES, *LAYER_TABLES, in_state=STATE_CAMERAS, focus=FOCUS),
     "visible_features": _with(
-        "SELECT layer, feature_id FROM all_features WHERE layer IN ('cameras', 'burns')",
-        "fx_cameras",
-        "fx_fires",
-        "fx_burns",
+        "SELECT layer, feature_id FROM all_features "
+        "WHERE layer IN ('cameras', 'burns', 'boundary')",
+        *LAYER_TABLES,
         in_state=STATE_CAMERAS,
+        focus=FOCUS,
         all_features=FEATURES,
     ),
     "feature_lines": _with(
         "SELECT 'fires' AS layer, '{\"type\":\"Feature\",\"id\":\"' || objectid || "
         "'\",\"geometry\":{\"type\":\"Point\",\"coordinates\":[' || lon || ',' || lat || "
-        "']},\"properties\":{\"poo_state\":\"' || poo_state || '\"}}' AS value FROM fx_fires",
+        "']},\"properties\":{\"poo_state\":\"' || poo_state || '\"' || "
+        "coalesce(',\"acres\":' || acres, '') || '}}' AS value "
+        f"FROM (SELECT *, {_number('incident_size')} AS acres FROM fx_fires) UNION ALL "
+        "SELECT 'perimeters', '{\"type\":\"Feature\",\"id\":\"' || geom_id || "
+        "'\",\"geometry\":{\"type\":\"' || CASE WHEN geom_id % 3 = 0 THEN 'MultiPolygon' ELSE "
+        "'Polygon' END || '\",\"coordinates\":' || CASE WHEN geom_id % 3 = 0 THEN '[' || rings || ']' "
+        "ELSE rings END || '},\"properties\":{' || "
+        "coalesce('\"attr_poo_state\":\"' || attr_poo_state || '\"', '') || '}}' "
+        "FROM fx_perimeters JOIN ring_lists USING (geom_id)",
+        "fx_fires",
+        "fx_perimeters",
+        "fx_edges",
+        **_shaped_tables(),
+        ring_texts=(
+            "SELECT geom_id, ring, '[' || string_agg('[' || x || ',' || y || ']', ',' ORDER BY seq) "
+            "|| ']' AS text FROM round_runs GROUP BY geom_id, ring HAVING COUNT(*) >= 4"
+        ),
+        ring_lists=(
+            "SELECT geom_id, '[' || string_agg(text, ',' ORDER BY ring) || ']' AS rings "
+            "FROM ring_texts GROUP BY geom_id"
+        ),
+    ),
+    "perimeters_shaped": _with(
+        "SELECT geom_id, x AS x1, y AS y1, nx AS x2, ny AS y2 FROM (SELECT *, LEAD(x) OVER w AS nx, "
+        "LEAD(y) OVER w AS ny, COUNT(*) OVER (PARTITION BY geom_id, ring) AS corners FROM "
+        "(SELECT geom_id, ring, seq, x, y FROM round_runs) "
+        "WINDOW w AS (PARTITION BY geom_id, ring ORDER BY seq)) "
+        "WHERE nx IS NOT NULL AND corners >= 4",
+        "fx_edges",
+        **_shaped_tables(),
+    ),
+    "feed_shapes": _with(
+        "SELECT feed, ok, CASE WHEN NOT ok THEN "
+        f"'{fixed.CAMERA_PAYLOAD_ERROR}' END AS error FROM (SELECT feed, CASE WHEN payload IS NULL "
+        "OR NOT json_valid(payload) THEN FALSE ELSE json_type(payload) = 'ARRAY' END AS ok "
+        "FROM fx_payloads)",
+        "fx_payloads",
+    ),
+    "page_numbers_by_group": (
+        "SELECT grp, id, rank, rank // 100 AS page_no FROM (SELECT grp, id, ROW_NUMBER() OVER "
+        "(PARTITION BY grp ORDER BY id NULLS FIRST) - 1 AS rank FROM (SELECT "
+        "CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_custkey % 5 END AS grp, "
+        "CASE WHEN o_orderkey = 7 THEN NULL ELSE o_orderkey END AS id FROM orders))"
+    ),
+    "boundary_kinds_by_set": (
+        "SELECT set_id, oid, CASE WHEN oid = focus THEN 'oregon' ELSE 'outside' END AS kind, "
+        "CAST(oid = focus AS INTEGER) AS draw_order FROM (SELECT set_id, oid, MIN(CASE WHEN hit "
+        "THEN oid END) OVER (PARTITION BY set_id) AS focus FROM (SELECT CASE s_nationkey % 4 "
+        "WHEN 0 THEN NULL ELSE s_nationkey % 4 END AS set_id, s_suppkey AS oid, "
+        "s_suppkey % 3 = 1 AS hit FROM supplier))"
+    ),
+    "feature_query_page": _with(
+        f"SELECT objectid, poo_state, {_snap('lon', 100)} AS lon, {_snap('lat', 100)} AS lat FROM "
+        "(SELECT * FROM fx_fires WHERE poo_state = 'US-OR' ORDER BY objectid "
+        "LIMIT 3000 OFFSET 4000)",
         "fx_fires",
     ),
+    "edges_in_bounds": _with(
+        f"SELECT geom_id, ring, seq, {_snap('x1', 1000)} AS x1, {_snap('y1', 1000)} AS y1, "
+        f"{_snap('x2', 1000)} AS x2, {_snap('y2', 1000)} AS y2 FROM fx_edges WHERE geom_id IN "
+        "(SELECT geom_id FROM p GROUP BY geom_id "
+        f"HAVING MAX(x) >= {_WEST} AND MIN(x) <= {_EAST} AND MAX(y) >= {_SOUTH} AND MIN(y) <= {_NORTH})",
+        "fx_edges",
+    ),
     "geojson_edges": _with("SELECT * FROM fx_edges", "fx_edges"),
     "edges_rounded": _with(
         f"SELECT geom_id, ring, seq, {_snap('x1', 100)} AS x1, {_snap('y1', 100)} AS y1, "
@@ -368,3 +499,30 @@ ORACLE: dict[str, str] = {
         perimeter_cards=PERIMETER_CARDS,
     ),
 }
+
+ORACLE |= {
+    "sites_in_perimeters": _with(
+        "SELECT DISTINCT site, geom_id FROM hits JOIN (SELECT o_orderkey, "
+        f"{inputs.SITES['site']} AS site FROM orders) ON o_orderkey = objectid",
+        "fx_fires",
+        "fx_edges",
+        hits=HITS,
+    ),
+    "sites_clipped": _with(
+        f"SELECT {inputs.SITES['site']} AS site, lon, lat FROM fx_fires JOIN orders "
+        "ON o_orderkey = objectid WHERE objectid NOT IN (SELECT objectid FROM hits)",
+        "fx_fires",
+        "fx_edges",
+        hits=HITS,
+    ),
+}
+ORACLE |= {
+    f"{name}_shuffled": ORACLE[name]
+    for name in (
+        "fires_in_perimeters",
+        "fires_clipped",
+        "perimeter_hit_cards",
+        "sites_in_perimeters",
+        "sites_clipped",
+    )
+}

@@ -40,7 +40,7 @@ LAYERS = {
 }
 FEATURES = (
     "layer STRING, feature_id STRING, geom_type STRING, lon DOUBLE, lat DOUBLE, "
-    "properties MAP<STRING, STRING>"
+    "geometry STRING, properties STRING"
 )
 LOAD_STATUS = "layer STRING, ok BOOLEAN, error STRING, rows BIGINT"
 

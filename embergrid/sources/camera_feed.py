@@ -2,25 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructType
+from pyspark.sql.types import StructType
 
 from embergrid import fixed_values as fixed
+from embergrid.functions.once import with_once
 from embergrid.schemas import RAW_CAMERA
 
-ARRAY_START = r"^\s*\["
+def _checked(payload: str) -> Column:
+    """The payload as an array of VARIANT items, NULL when it is no JSON array and nothing else."""
+    mark = F.xxhash64(payload).cast("string")
+    wrapped = F.try_parse_json(F.concat(F.lit("["), F.col(payload), F.lit(',"'), mark, F.lit('"]')))
+    # As for pages: only one whole document leaves the mark as the second and last item.
+    whole = (F.try_variant_get(wrapped, "$[1]", "string") == mark) & F.try_variant_get(
+        wrapped, "$[2]", "variant"
+    ).isNull()
+    return F.when(whole, F.try_variant_get(wrapped, "$[0]", "array<variant>"))
 
 
 def camera_records(payloads: DataFrame, payload: str = "payload") -> DataFrame:
-    """One row per camera record; a payload that is no JSON array is an error."""
+    """One row per camera record; a payload that is no JSON array is an error.
+
+    Items that are no objects are skipped, and so are items whose fields have other types.
+    """
     error = F.raise_error(F.lit(fixed.CAMERA_PAYLOAD_ERROR))
-    text = F.when(F.col(payload).rlike(ARRAY_START), F.col(payload)).otherwise(error)
-    parsed = payloads.select(
-        F.from_json(text, ArrayType(StructType.fromDDL(RAW_CAMERA))).alias("records")
-    )
-    checked = F.when(F.col("records").isNotNull(), F.col("records")).otherwise(error)
-    return parsed.select(F.inline(checked))
+    parsed = with_once(payloads.select(payload), items=_checked(payload))
+    items = F.when(F.col("items").isNotNull(), F.col("items")).otherwise(error)
+    rows = parsed.select(F.explode(items).alias("item"))
+    record = F.from_json(F.to_json("item"), StructType.fromDDL(RAW_CAMERA))
+    is_object = F.schema_of_variant("item").startswith("OBJECT")
+    return with_once(rows.where(is_object), record=record).select("record.*")
 
 
 def read_camera_feed(spark: SparkSession, path: str) -> DataFrame:
@@ -29,11 +41,14 @@ def read_camera_feed(spark: SparkSession, path: str) -> DataFrame:
     return camera_records(payloads, "value")
 
 
+def payload_shapes(payloads: DataFrame, payload: str, *keep: str) -> DataFrame:
+    """``keep`` columns with ``ok`` and ``error``: the shape check of each payload."""
+    ok = F.coalesce(_checked(payload).isNotNull(), F.lit(False))
+    checked = with_once(payloads.select(*keep, payload), ok=ok)
+    return checked.select(*keep, "ok", F.when(~F.col("ok"), fixed.CAMERA_PAYLOAD_ERROR).alias("error"))
+
+
 def feed_shapes(spark: SparkSession, path: str) -> DataFrame:
     """One row per landed file with its shape check, to set bad payloads aside."""
-    return spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("value").rlike(ARRAY_START).alias("ok"),
-        F.when(~F.col("value").rlike(ARRAY_START), fixed.CAMERA_PAYLOAD_ERROR).alias("error"),
-    )
-
+    files = spark.read.text(path, wholetext=True)
+    return payload_shapes(files.withColumn("file", F.col("_metadata.file_path")), "value", "file")

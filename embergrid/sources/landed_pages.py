@@ -35,14 +35,17 @@ def _kind(value: Column | str) -> Column:
 def _documents(pages: DataFrame) -> DataFrame:
     """Adds ``doc`` and ``is_json``; the body is parsed once.
 
-    The JSON reader stops after the first value, so the body is put in brackets: text after the
-    document then makes it invalid, or a second item, and a blank body leaves no item.
+    The JSON reader stops after the first value, so the body is put in brackets with a mark of its
+    own behind it. Only a body that is one whole document leaves the mark as the second item: one
+    that closes the brackets itself ends the value before the mark, and one with more items moves it.
     """
-    wrapped = F.concat(F.lit("["), F.col("body"), F.lit("]"))
-    second = F.try_variant_get("doc", "$[1]", "variant")
+    mark = F.xxhash64("body").cast("string")
+    wrapped = F.concat(F.lit("["), F.col("body"), F.lit(',"'), mark, F.lit('"]'))
+    second = F.try_variant_get("doc", "$[1]", "string")
+    third = F.try_variant_get("doc", "$[2]", "variant")
     return with_once(
         with_once(pages, doc=F.try_parse_json(wrapped)),
-        is_json=F.col("doc").isNotNull() & F.col("body").rlike(r"\S") & second.isNull(),
+        is_json=F.col("doc").isNotNull() & F.coalesce(second == mark, F.lit(False)) & third.isNull(),
     )
 
 

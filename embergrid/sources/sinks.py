@@ -2,49 +2,79 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from embergrid.schemas import LAYERS
+
 
 def write_layer(df: DataFrame, path: str) -> None:
     """Replaces the whole content of one layer's table."""
     df.write.mode("overwrite").parquet(path)
 
 
-def write_features(features: DataFrame, path: str, cluster: bool = False) -> None:
-    """Replaces, in the partitioned feature table, exactly the layers present.
+def replace_folder(spark: SparkSession, fresh: str, target: str) -> None:
+    """Puts a written folder in the place of another, through Spark's own file system."""
+    jvm = spark.sparkContext._jvm
+    source, place = (jvm.org.apache.hadoop.fs.Path(path) for path in (fresh, target))
+    files = source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.delete(place, True)
+    files.rename(source, place)
+
+
+def _clear_layers(spark: SparkSession, path: str, layers: Sequence[str]) -> None:
+    """Removes the partitions of some layers, so that a layer without rows ends empty."""
+    jvm = spark.sparkContext._jvm
+    for layer in layers:
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/layer={layer}")
+        files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.delete(folder, True)
+
 
-    ``cluster`` sorts files by place so that a bounds filter can skip row groups. The range keys
-    end in the feature id, so rows at one spot can still be spread over several files.
+def write_features(
+    features: DataFrame, path: str, layers: Sequence[str] = tuple(LAYERS), cluster: bool = False
+) -> None:
+    """Replaces ``layers`` in the partitioned feature table; one without rows ends empty.
+
+    Rows of other layers are not written, and other layers in the table stay. ``cluster`` sorts files
+    by place so that a bounds filter can skip row groups. The range keys end in the feature id, so
+    rows at one spot can still be spread over several files.
     """
+    features = features.where(F.col("layer").isin(*layers))
     if cluster:
         cell = [F.floor(F.col(name) * 4).alias(f"_{name}") for name in ("lat", "lon")]
         keys = ["layer", "_lat", "_lon", "feature_id"]
         placed = features.select("*", *cell)
         features = placed.repartitionByRange(*keys).sortWithinPartitions(*keys)
         features = features.drop("_lat", "_lon")
-    (
-        features.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("layer")
-        .parquet(path)
-    )
+    _clear_layers(features.sparkSession, path, layers)
+    features.write.mode("append").partitionBy("layer").parquet(path)
 
 
 def geojson_lines(features: DataFrame) -> DataFrame:
-    """One GeoJSON point feature per row as text in ``value``; no point gives a null geometry."""
-    point = F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates"))
-    feature = F.struct(
-        F.lit("Feature").alias("type"),
-        F.col("feature_id").alias("id"),
-        F.when(F.col("lon").isNotNull() & F.col("lat").isNotNull(), point).alias("geometry"),
-        "properties",
-    )
-    return features.select(
-        "layer", F.to_json(feature, {"ignoreNullFields": "false"}).alias("value")
+    """One GeoJSON feature per row as text in ``value``; a missing geometry is null.
+
+    ``geometry`` and ``properties`` are JSON texts already and go in as they are.
+    """
+    identity = F.coalesce(F.to_json(F.array("feature_id"), {"ignoreNullFields": "false"}), F.lit("[null]"))
+    value = F.concat(
+        F.lit('{"type":"Feature","id":'),
+        F.expr("substring(_id, 2, length(_id) - 2)"),
+        F.lit(',"geometry":'),
+        F.coalesce("geometry", F.lit("null")),
+        F.lit(',"properties":'),
+        F.coalesce("properties", F.lit("{}")),
+        F.lit("}"),
     )
+    return features.withColumn("_id", identity).select("layer", value.alias("value"))
 
 
-def write_geojson_lines(features: DataFrame, path: str) -> None:
-    """GeoJSON text, one feature per line, in one folder per layer."""
-    geojson_lines(features).write.mode("overwrite").partitionBy("layer").text(path)
+def write_geojson_lines(
+    features: DataFrame, path: str, layers: Sequence[str] = tuple(LAYERS)
+) -> None:
+    """GeoJSON text, one feature per line, in one folder per layer; ``layers`` are replaced."""
+    _clear_layers(features.sparkSession, path, layers)
+    own = features.where(F.col("layer").isin(*layers))
+    geojson_lines(own).write.mode("append").partitionBy("layer").text(path)

@@ -89,6 +89,9 @@ def test_missing_focus_is_an_error(spark):
     frame = spark.createDataFrame([(1, "06", None)], BOUNDARY)
     with pytest.raises(PySparkException, match=fixed.BOUNDARY_MISSING_ERROR):
         label_focus(frame).collect()
+    # Whatever columns are read.
+    with pytest.raises(PySparkException, match=fixed.BOUNDARY_MISSING_ERROR):
+        label_focus(frame).select("oid").collect()
 
 
 def test_focus_per_set(spark):
@@ -101,6 +104,9 @@ def test_focus_per_set(spark):
     lacking = frame.where("NOT (set_id = 'a' AND oid = 2)")
     with pytest.raises(PySparkException, match=fixed.BOUNDARY_MISSING_ERROR):
         label_focus(lacking, set_id="set_id").collect()
+    unnamed = spark.createDataFrame([(None, 1, "06", None), (None, 2, "41", None)], frame.schema)
+    both = label_focus(frame.unionByName(unnamed), set_id="set_id")
+    assert both.count() == 6 and both.where("set_id IS NULL AND kind = 'oregon'").count() == 1
 
 
 def _geometry(spark, *geometries):

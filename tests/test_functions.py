@@ -146,6 +146,12 @@ def test_date_text(spark, zone):
             "2024-03-05T23:30:00": "Mar 5, 2024",
             "3/5/2024": "Mar 5, 2024",
             "Mar 5, 2024": "Mar 5, 2024",
+            "11/14/2023 10:00:00 AM": "Nov 14, 2023",
+            "Tue, 14 Nov 2023 00:00:00 GMT": "Nov 14, 2023",
+            "Nov 14 2023": "Nov 14, 2023",
+            "Tue Nov 14 2023": "Nov 14, 2023",
+            "2023/11/14": "Nov 14, 2023",
+            "November 14, 2023 18:05": "Nov 14, 2023",
             "1700000000000": None,
             "soon": None,
             "10:30": None,

@@ -25,7 +25,7 @@ from embergrid.plans.layers import (
     visible_features,
 )
 from embergrid.schemas import LANDED_PAGE, LAYERS, empty_frame
-from embergrid.sources.camera_feed import feed_shapes, read_camera_feed
+from embergrid.sources.camera_feed import camera_records, feed_shapes, read_camera_feed
 from embergrid.sources.landed_pages import read_landed_pages
 from embergrid.sources.sinks import write_features, write_geojson_lines
 from embergrid.streaming.landed_stream import append_layer, stream_landed_pages
@@ -220,19 +220,22 @@ def test_feature_table_and_visibility(spark, landed, tmp_path):
     assert counts == {"cameras": 1, "fires": 2, "perimeters": 1, "burns": 3, "boundary": 2}
 
     def shown(**visible):
-        rows = visible_features(features, layer_groups(spark, visible)).select("layer").distinct()
+        rows = visible_features(features, visible).select("layer").distinct()
         return {row.layer for row in rows.collect()}
 
-    assert shown() == {"cameras"}
-    assert shown(fires=True) == {"cameras", "fires", "perimeters"}
-    assert shown(cameras=False, prescribed=True) == {"burns"}
+    # The boundary is in no group, so nothing hides it.
+    assert shown() == {"cameras", "boundary"}
+    assert shown(fires=True) == {"cameras", "boundary", "fires", "perimeters"}
+    assert shown(cameras=False, prescribed=True) == {"burns", "boundary"}
+    assert layer_groups(spark).count() == 5
 
     path = str(tmp_path / "features")
     write_features(features, path, cluster=True)
-    write_features(features.where("layer = 'fires'").limit(1), path)
+    write_features(features.where("layer = 'fires'").limit(1), path, ["fires", "burns"])
     again = spark.read.parquet(path)
     counts = {row.layer: row["count"] for row in again.groupBy("layer").count().collect()}
-    assert counts == {"cameras": 1, "fires": 1, "perimeters": 1, "burns": 3, "boundary": 2}
+    # A layer that failed or became empty does not keep its old rows.
+    assert counts == {"cameras": 1, "fires": 1, "perimeters": 1, "boundary": 2}
 
 
 def test_geojson_lines(spark, landed, tmp_path):
@@ -242,8 +245,12 @@ def test_geojson_lines(spark, landed, tmp_path):
     by_id = {line["id"]: line for line in lines}
     assert by_id["1"]["geometry"] == {"type": "Point", "coordinates": [-121.0, 44.0]}
     assert by_id["1"]["properties"]["incident_name"] == "Ash"
+    assert by_id["1"]["properties"]["acres"] == 1234.5
     lines = [json.loads(row.value) for row in spark.read.text(f"{path}/layer=boundary").collect()]
-    assert [line["geometry"] for line in lines] == [None, None]
+    assert {line["geometry"]["type"] for line in lines} <= {"Polygon", "MultiPolygon"}
+    lines = [json.loads(row.value) for row in spark.read.text(f"{path}/layer=perimeters").collect()]
+    rings = lines[0]["geometry"]["coordinates"]
+    assert rings[0][0] == rings[0][-1] and len(rings[0]) >= 4
 
 
 def test_bounds_filter_reaches_the_scan(spark, landed, capsys):
@@ -271,3 +278,34 @@ def test_landed_pages_as_a_stream(spark, landed, tmp_path):
     later = [page("burns", 4, [feature(5, point(-120, 44), name="Late")])]
     spark.createDataFrame(later, LANDED_PAGE).write.mode("append").parquet(pages)
     assert run() == 4
+
+
+def test_boundary_without_polygons_is_an_error(spark, landed):
+    _, _, out = landed
+    pages = spark.createDataFrame([page("boundary", 0, [])], LANDED_PAGE)
+    load = {"boundary": loaders(spark, "unused", pages)["boundary"]}
+    row = publish_layers(spark, load, out).first()
+    assert not row.ok and fixed.BOUNDARY_MISSING_ERROR in row.error and row.rows == 0
+
+
+def test_an_error_without_text_empties_one_layer(spark, landed):
+    _, _, out = landed
+
+    def bad():
+        raise ValueError
+
+    full = spark.createDataFrame([("1", "a", None, None, None, None, -120.0, 43.0)], LAYERS["burns"])
+    status = publish_layers(spark, {"fires": bad, "burns": lambda: full}, out).collect()
+    assert {row.layer: (row.ok, row.error, row.rows) for row in status} == {
+        "fires": (False, "ValueError", 0),
+        "burns": (True, None, 1),
+    }
+
+
+def test_camera_items_that_are_no_objects_are_skipped(spark):
+    rows = [('[7, null, {"name":"a","position":{"pan":5}}, "x"]',), (" [] ",)]
+    found = camera_records(spark.createDataFrame(rows, "payload STRING")).collect()
+    assert [(row.name, row.position.pan) for row in found] == [("a", "5")]
+    for bad in ("[1] oops", "[1],[2]", "[1]]", '{"a":1}', "", None):
+        with pytest.raises(PySparkException, match=fixed.CAMERA_PAYLOAD_ERROR):
+            camera_records(spark.createDataFrame([(bad,)], "payload STRING")).collect()

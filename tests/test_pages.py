@@ -6,8 +6,9 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from embergrid.operators.paging import assign_pages, page_status, rank_rows
+from embergrid.operators.paging import assign_pages, page_slice, page_status, rank_rows
 from embergrid.sources.landed_pages import (
     page_facts,
     page_features,
@@ -59,6 +60,8 @@ TRIAGE = [
     (404, "no", "invalid_json", False, "ArcGIS returned invalid JSON (HTTP 404): no"),
     (200, "{} {}", "invalid_json", False, "ArcGIS returned invalid JSON (HTTP 200): {} {}"),
     (200, "{}, {}", "invalid_json", False, "ArcGIS returned invalid JSON (HTTP 200): {}, {}"),
+    (200, "{}]", "invalid_json", False, "ArcGIS returned invalid JSON (HTTP 200): {}]"),
+    (200, "{}],[1", "invalid_json", False, "ArcGIS returned invalid JSON (HTTP 200): {}],[1"),
     (None, None, "no_response", True, None),
 ]
 
@@ -128,8 +131,11 @@ PAGES = "layer STRING, result_offset BIGINT, page_len BIGINT, exceeded BOOLEAN"
 
 def scan(pages, page_size):
     """Status of one layer by walking from offset to offset."""
-    if any(exceeded and not length for _, length, exceeded in pages):
+    stops = [at for at, length, exceeded in pages if not exceeded and length < page_size]
+    stuck = [at for at, length, exceeded in pages if exceeded and not length]
+    if stuck and (not stops or min(stuck) <= min(stops)):
         return "not_advanced"
+    pages = [(at, length, exceeded) for at, length, exceeded in pages if length or not exceeded]
     expected, visited, status = 0, set(), None
     while status is None:
         here = [page for page in pages if page[0] == expected]
@@ -164,6 +170,7 @@ CASES = {
     "page twice": [(0, 10, True), (0, 10, True), (10, 3, False)],
     "overlap": [(0, 10, True), (5, 10, True), (15, 3, False)],
     "stuck": [(0, 10, True), (10, 0, True)],
+    "stuck after the stop": [(0, 10, True), (10, 3, False), (13, 0, True)],
     "stop then more": [(0, 10, True), (10, 3, False), (13, 10, True)],
     "stop then gap": [(0, 3, False), (50, 10, True)],
     "empty stop off the chain": [(0, 10, True), (15, 0, False)],
@@ -215,13 +222,13 @@ def test_any_split_of_a_layer_is_complete(spark):
     assert found.where("status <> 'complete'").count() == 0
 
 
-@pytest.mark.parametrize("buckets", [2, 8, 50])
-def test_rank_with_a_hot_group(spark, buckets):
+@pytest.mark.parametrize("rows_each", [2500, 600, 100])
+def test_rank_with_a_hot_group(spark, rows_each):
     rng = random.Random(3)
     keys = rng.sample(range(-10**12, 10**12), 3000) + list(range(2000))
     rows = [(key, "hot" if i % 3 else f"g{i % 7}") for i, key in enumerate(keys)]
     frame = spark.createDataFrame(rows, "id BIGINT, layer STRING").repartition(7)
-    found = {r.id: r.rank for r in rank_rows(frame, "id", ["layer"], buckets).collect()}
+    found = {r.id: r.rank for r in rank_rows(frame, "id", ["layer"], rows_each).collect()}
     expected = {}
     for layer in {layer for _, layer in rows}:
         ids = sorted(key for key, own in rows if own == layer)
@@ -233,3 +240,23 @@ def test_rank_without_rows_or_with_one(spark):
     assert rank_rows(spark.createDataFrame([], "id BIGINT"), "id").count() == 0
     one = spark.createDataFrame([(5,)], "id BIGINT")
     assert [tuple(row) for row in assign_pages(one, "id").collect()] == [(5, 0, 0)]
+
+
+def test_rank_keeps_missing_keys_and_groups(spark):
+    rows = [(None, "a"), (3, "a"), (1, None), (2, None), (None, None), (5, "a")]
+    frame = spark.createDataFrame(rows, "id BIGINT, layer STRING")
+    found = {(r.id, r.layer): r.rank for r in rank_rows(frame, "id", ["layer"]).collect()}
+    assert found == {
+        (None, "a"): 0, (3, "a"): 1, (5, "a"): 2, (None, None): 0, (1, None): 1, (2, None): 2,
+    }
+    ranks = {r.rank for r in rank_rows(frame.where("layer IS NULL"), "id").collect()}
+    assert ranks == {0, 1, 2}
+
+
+def test_page_slice_at_any_offset(spark):
+    frame = spark.range(5000).select((F.col("id") * 3).alias("id"), F.lit(1).alias("rank"))
+    late = page_slice(frame, "id", 4500, 100)
+    assert sorted(r.id for r in late.collect()) == [3 * k for k in range(4500, 4600)]
+    assert page_slice(frame, "id", 4990, None).count() == 10
+    plan = late._jdf.queryExecution().toString()
+    assert "CollectLimit" not in plan and "TakeOrdered" not in plan
