@@ -30,7 +30,7 @@ from embergrid.operators.skew import hot_keys, join_split
 
 KEY_BITS = 63
 MAX_DEPTH = 14
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 1_000
 
 # Columns of the working tables.
 _ROWS = "id bigint, key bigint, sha binary"
