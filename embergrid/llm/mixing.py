@@ -30,7 +30,7 @@ MISSING = "(none)"
 SEED = 17
 EPOCHS = 2
 # Rows that one slice of a leaf's order should hold.
-SLICE_ROWS = 20_000
+SLICE_ROWS = 1_000
 
 LEVELS = ("domain", "lang", "source")
 WEIGHTS: dict[str, dict[str, int]] = {
