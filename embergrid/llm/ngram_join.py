@@ -10,8 +10,9 @@ regions cannot grow around arbitrary pivots; they grow around pivots near the da
    share one. The order comes from a table of counts of fixed size over all documents; it decides
    how many classes meet, not which links are found.
 3. Each anchor's space gets a pivot, the class with the most common content, hence the most central.
-   All others get their exact distance to it. Those within ``t`` are its region: linked to the
-   pivot, and so in one component, whatever their distances to one another.
+   All others that set sizes and the anchor's place leave a chance get their exact distance to it.
+   Those within ``t`` are its region: linked to the pivot, and so in one component, whatever their
+   distances to one another.
 4. A class outside the region can only link to members whose distance to the pivot differs by at
    most ``t`` (triangle inequality). The outsiders and the members in that window go on, and the
    step repeats with a pivot among the outsiders while many pairs are left.
@@ -31,8 +32,9 @@ are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +49,7 @@ WORDS = 5
 SIMILARITY = 75
 
 # The table of counts has a fixed size: slices of cells, whatever the data.
-CELL_BITS = 22
+CELL_BITS = 23
 SLICES = 64
 WEIGHT_STEPS = 4
 
@@ -60,22 +62,26 @@ ROUNDS = 4
 # Sizes within about three percent share a step.
 SIZE_STEPS = 34.0
 
-WORDS_KEPT = 400_000
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-_SHORT = 0xD6E8FEB86659FD93
+# Classes that a task remembers to have listed.
+CLASSES_KEPT = 400_000
+# Bytes hashed at a time, and the length from which a word is hashed by itself.
+SEGMENT = 1 << 18
+LONG_WORD = 1 << 16
 
+_BASE = 0x9E3779B97F4A7C15
+_SHORT = 0xD6E8FEB86659FD93
+_WHITE = np.zeros(256, bool)
+_WHITE[[0x20, *range(0x09, 0x0E)]] = True
+_WHITE_BYTES = re.compile(rb"[\x20\x09-\x0D]")
 
-class _WordHashes(dict):
-    """Hashes of words, kept while the table is small."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
+def _powers(base: int) -> np.ndarray:
+    factors = np.full(SEGMENT + 1, np.uint64(base % (1 << 64)))
+    factors[0] = 1
+    return np.multiply.accumulate(factors)
 
 
-_hashes = _WordHashes()
+_UP, _DOWN = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
 
 
 def _mixed(values: np.ndarray) -> np.ndarray:
@@ -83,22 +89,105 @@ def _mixed(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(29))
 
 
-def shingle_set(text: bytes | None, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct hashes of a text's shingles.
+def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of each word of at most ``SEGMENT`` bytes.
 
-    ``bytes.lower`` and ``bytes.split`` know A-Z and the six white space bytes only, as wanted.
+    A word's hash is its polynomial, taken from running sums and moved to the origin.
     """
-    found = (text or b"").lower().split()
-    if not found:
-        return np.zeros(0, np.uint64)
-    hashes = np.fromiter(map(_hashes.__getitem__, found), np.uint64, len(found))
-    width = min(words, hashes.size)
-    count = hashes.size - width + 1
-    start = _SHORT * width % (1 << 64) if width < words else 0
-    total = np.full(count, start, np.uint64)
-    for place in range(width):
-        total = _mixed(total * _MIX + hashes[place : place + count])
-    return np.unique(total)
+    codes = np.frombuffer(data, np.uint8)
+    inside = ~_WHITE[codes]
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    if codes.size and inside[0]:
+        edges = np.concatenate([[0], edges])
+    if codes.size and inside[-1]:
+        edges = np.concatenate([edges, [codes.size]])
+    starts, ends = edges[0::2], edges[1::2]
+    sums = np.zeros(codes.size + 1, np.uint64)
+    np.cumsum(codes * _UP[: codes.size], out=sums[1:])
+    lengths = ends - starts
+    hashes = _mixed((sums[ends] - sums[starts]) * _DOWN[starts] + lengths.astype(np.uint64))
+    for at in np.flatnonzero(lengths >= LONG_WORD):
+        hashes[at] = xxhash.xxh64_intdigest(data[starts[at] : ends[at]])
+    return hashes, starts
+
+
+def _long_text_hashes(data: bytes) -> np.ndarray:
+    """Word hashes of a text of any length, segment by segment, cut at white space."""
+    parts, start = [], 0
+    while start < len(data):
+        stop = start + SEGMENT
+        if stop < len(data):
+            cut = max(data.rfind(bytes([white]), start, stop) for white in np.flatnonzero(_WHITE).tolist())
+            if cut < 0:
+                # One word fills the segment.
+                end = _WHITE_BYTES.search(data, stop)
+                stop = end.start() if end else len(data)
+                parts.append(np.array([xxhash.xxh64_intdigest(data[start:stop])], np.uint64))
+                start = stop
+                continue
+            stop = cut + 1
+        parts.append(_word_hashes(data[start:stop])[0])
+        start = stop
+    return np.concatenate(parts)
+
+
+def _sets_of_words(hashes: np.ndarray, counts: np.ndarray, words: int) -> Iterator[np.ndarray]:
+    """Sets of texts whose words stand one after the other in ``hashes``."""
+    runs = np.zeros(max(hashes.size - words + 1, 0), np.uint64)
+    for place in range(words):
+        runs = _mixed(runs * np.uint64(_BASE) + hashes[place : place + runs.size])
+    start = 0
+    for count in counts.tolist():
+        if count >= words:
+            values = np.sort(runs[start : start + count - words + 1])
+        elif count:
+            values = np.array([_SHORT * count % (1 << 64)], np.uint64)
+            for place in range(start, start + count):
+                values = _mixed(values * np.uint64(_BASE) + hashes[place])
+        else:
+            values = np.zeros(0, np.uint64)
+        start += count
+        fresh = np.ones(values.size, bool)
+        np.not_equal(values[1:], values[:-1], out=fresh[1:])
+        yield values[fresh]
+
+
+def shingle_sets(texts: Iterable[bytes | None], words: int = WORDS) -> Iterator[np.ndarray]:
+    """Sorted distinct hashes of each text's shingles.
+
+    ``bytes.lower`` knows A-Z only, as wanted. Short texts are hashed together.
+    """
+    held: list[bytes] = []
+    size = 0
+
+    def together() -> Iterator[np.ndarray]:
+        if held:
+            hashes, starts = _word_hashes(b"\n".join(held))
+            ends = np.cumsum([len(text) + 1 for text in held])
+            counts = np.diff(np.searchsorted(starts, ends), prepend=0)
+            yield from _sets_of_words(hashes, counts, words)
+
+    for text in texts:
+        data = (text or b"").lower()
+        if size + len(data) + 1 > SEGMENT:
+            yield from together()
+            held, size = [], 0
+        if len(data) >= SEGMENT:
+            hashes = _long_text_hashes(data)
+            yield from _sets_of_words(hashes, np.array([hashes.size]), words)
+        else:
+            held.append(data)
+            size += len(data) + 1
+    yield from together()
+
+
+def shingle_set(text: bytes | None, words: int = WORDS) -> np.ndarray:
+    """The set of one text."""
+    return next(shingle_sets([text], words))
+
+
+def _batch_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
+    return shingle_sets((text.as_py() for text in column), words)
 
 
 def _class_id(hashes: np.ndarray) -> int:
@@ -121,26 +210,12 @@ def set_facts(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(1 << CELL_BITS, np.uint32)
-        waiting: list[np.ndarray] = []
-
-        def add() -> None:
-            if waiting:
-                counted = np.bincount(np.concatenate(waiting), minlength=cells.size)
-                np.add(cells, counted.astype(np.uint32), out=cells)
-                waiting.clear()
-
-        held = 0
         for batch in batches:
             sizes, classes = [], []
-            for text in batch.column("text"):
-                hashes = shingle_set(text.as_py(), words)
+            for hashes in _batch_sets(batch.column("text"), words):
                 sizes.append(hashes.size)
                 classes.append(_class_id(hashes) if hashes.size else None)
-                waiting.append(_cells(hashes))
-                held += hashes.size
-                if held > 1 << 20:
-                    add()
-                    held = 0
+                np.add.at(cells, _cells(hashes), 1)
             rows = batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [
@@ -152,7 +227,8 @@ def set_facts(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 ],
                 ["id", "n", "c", "slice", "cells"],
             )
-        add()
+        # A task's counts in one byte each; what is as common as that is common enough.
+        cells = np.minimum(cells, 255).astype(np.uint8)
         packed = [zlib.compress(part.tobytes(), 1) for part in np.split(cells, SLICES)]
         yield pa.RecordBatch.from_arrays(
             [
@@ -174,7 +250,7 @@ def cell_weights(facts: DataFrame) -> bytes:
     def merge(table: pa.Table) -> pa.Table:
         total = np.zeros((1 << CELL_BITS) // SLICES, np.uint64)
         for packed in table.column("cells"):
-            total += np.frombuffer(zlib.decompress(packed.as_py()), np.uint32)
+            total += np.frombuffer(zlib.decompress(packed.as_py()), np.uint8)
         weights = np.minimum(np.rint(np.log2(np.maximum(total, 1)) * WEIGHT_STEPS), 255)
         return pa.table(
             {"slice": table.column("slice")[:1], "weights": pa.array([weights.astype(np.uint8).tobytes()])}
@@ -200,14 +276,13 @@ def anchor_rows(docs: DataFrame, weights: bytes, words: int = WORDS) -> DataFram
         seen: set[int] = set()
         for batch in batches:
             parts: list[tuple[np.ndarray, int, np.ndarray]] = []
-            for text in batch.column("text"):
-                hashes = shingle_set(text.as_py(), words)
+            for hashes in _batch_sets(batch.column("text"), words):
                 if not hashes.size:
                     continue
                 number = _class_id(hashes)
                 if number in seen:
                     continue
-                if len(seen) >= WORDS_KEPT:
+                if len(seen) >= CLASSES_KEPT:
                     seen.clear()
                 seen.add(number)
                 weight = table[_cells(hashes)]
@@ -285,7 +360,8 @@ def _filter_bit(row_id: Column) -> Column:
 def fetch_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFrame:
     """``c, hashes`` of the classes ``wanted(c)``, made from the texts again.
 
-    A filter of fixed size over the ids of the classes' first documents keeps other texts out.
+    A filter of fixed size over the ids of the classes' first documents keeps other texts out. A few
+    others pass, and a class may come more than once.
     """
     ids = classes.join(wanted, "c", "left_semi").select(_filter_bit(F.col("first_id")).alias("bit"))
     words_of_bits = ids.groupBy(F.shiftright("bit", 6).alias("at")).agg(
@@ -301,66 +377,106 @@ def fetch_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: in
         for batch in batches:
             bits = batch.column("bit").to_numpy().astype(np.int64)
             hit = (table[bits >> 6] >> (bits & 63).astype(np.uint64)) & np.uint64(1)
-            for at in np.flatnonzero(hit):
-                hashes = shingle_set(batch.column("text")[int(at)].as_py(), words)
+            few: list[np.ndarray] = []
+            for hashes in _batch_sets(batch.column("text").filter(pa.array(hit.astype(bool))), words):
                 if hashes.size:
-                    values = pa.ListArray.from_arrays(pa.array([0, hashes.size], pa.int32()), _signed(hashes))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([_class_id(hashes)], pa.int64()), values], ["c", "hashes"]
-                    )
+                    few.append(hashes)
+                if len(few) >= 256:
+                    yield set_rows(few)
+                    few = []
+            if few:
+                yield set_rows(few)
+
+    def set_rows(few: list[np.ndarray]) -> pa.RecordBatch:
+        ends = np.cumsum([0, *(hashes.size for hashes in few)])
+        values = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _signed(np.concatenate(few)))
+        return pa.RecordBatch.from_arrays([pa.array(map(_class_id, few), pa.int64()), values], ["c", "hashes"])
 
     bits = docs.select(_filter_bit(F.col("id")).alias("bit"), "text")
-    sets = bits.mapInArrow(run, "c bigint, hashes array<bigint>")
-    return sets.join(wanted, "c", "left_semi").groupBy("c").agg(F.first("hashes").alias("hashes"))
+    return bits.mapInArrow(run, "c bigint, hashes array<bigint>")
 
 
-def similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def similarities(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int = WORDS) -> DataFrame:
     """``c, p, common, n, pn`` of class pairs ``(c, p)``."""
-    return (
-        pairs.join(sets.select(F.col("c").alias("p"), F.col("hashes").alias("_ph")), "p")
-        .join(sets.select("c", F.col("hashes").alias("_ch")), "c")
-        .select(
-            "c",
-            "p",
-            F.size(F.array_intersect("_ph", "_ch")).alias("common"),
-            F.size("_ch").alias("n"),
-            F.size("_ph").alias("pn"),
-        )
+    wanted = pairs.select("c").union(pairs.select("p")).distinct()
+    sets = staged(fetch_sets(docs, classes, wanted, words), "join-sets")
+    # Both joins read one shuffle of the sets.
+    one, two = sets.alias("one"), sets.alias("two")
+    first = pairs.alias("pairs").join(one, F.col("pairs.c") == F.col("one.c"))
+    first = first.select("pairs.c", "pairs.p", F.col("one.hashes").alias("own")).alias("first")
+    both = first.join(two, F.col("first.p") == F.col("two.c")).select(
+        "first.c",
+        "first.p",
+        F.size(F.array_intersect("first.own", "two.hashes")).alias("common"),
+        F.size("first.own").alias("n"),
+        F.size("two.hashes").alias("pn"),
     )
+    return both.distinct()
 
 
 def _linked() -> Column:
     return 100 * F.col("common") >= SIMILARITY * (F.col("n") + F.col("pn") - F.col("common"))
 
 
-def _pivot_round(rows: DataFrame, sets: DataFrame, number: int) -> tuple[DataFrame, DataFrame]:
+def _similarity(common: str) -> Column:
+    return F.col(common) / (F.col("n") + F.col("pn") - F.col(common))
+
+
+def _pivot_round(
+    docs: DataFrame, classes: DataFrame, rows: DataFrame, number: int, words: int
+) -> tuple[DataFrame, DataFrame]:
     """One pivot per anchor: its links, and the rows that may have others.
 
     ``rows`` has ``a, c, n, i, w, regions, near``: the regions a class is in as bits, and its
-    similarities to the pivots so far.
+    similarities to the pivots so far, null where only a bound below a link is known.
     """
     free = F.col("regions") == 0
-    central = F.max(F.when(free, F.struct("w", F.bitwise_not("c").alias("other"), "c"))).alias("pivot")
-    pivots = rows.groupBy("a").agg(central).select("a", F.col("pivot.c").alias("p"))
-    met = rows.join(pivots.where("p IS NOT NULL"), "a").where("c <> p")
-    known = staged(similarities(met.select("c", "p").distinct(), sets), "join-distances")
+    central = F.max(F.when(free, F.struct("w", F.bitwise_not("c").alias("other"), "c", "n", "i"))).alias("pivot")
+    pivots = (
+        rows.groupBy("a")
+        .agg(central)
+        .where("pivot IS NOT NULL")
+        .select("a", F.col("pivot.c").alias("p"), F.col("pivot.n").alias("pn"), F.col("pivot.i").alias("pi"))
+    )
+    met = rows.join(pivots, "a").where("c <> p")
+    # Of a pair's shared anchors the first leaves the most that can be common; not all can link.
+    most = F.max(F.least(F.col("n") - F.col("i"), F.col("pn") - F.col("pi"))).alias("most")
+    pairs = met.groupBy("c", "p", "n", "pn").agg(most)
+    possible = (100 + SIMILARITY) * F.col("most") >= SIMILARITY * (F.col("n") + F.col("pn"))
+    possible &= SIMILARITY * F.greatest("n", "pn") <= 100 * F.least("n", "pn")
+    pairs = staged(pairs.withColumn("possible", possible), "join-pivots")
+    open_pairs = pairs.where("possible").select("c", "p")
+    known = staged(similarities(docs, classes, open_pairs, words), "join-distances")
     links = known.where(_linked()).select("c", "p")
-    similarity = F.col("common") / (F.col("n") + F.col("pn") - F.col("common"))
-    placed = known.select("c", "p", similarity.alias("s"), _linked().alias("inside"))
+    exact = known.select("c", "p", _similarity("common").alias("s"), _linked().alias("inside"))
+    placed = pairs.join(exact, ["c", "p"], "left").select(
+        "c",
+        "p",
+        "s",
+        F.coalesce("inside", F.lit(False)).alias("inside"),
+        F.coalesce("s", _similarity("most")).alias("at_most"),
+    )
     met = met.join(placed, ["c", "p"]).select(
-        "a", "c", "n", "i", "w",
-        F.when(F.col("inside"), F.col("regions").bitwiseOR(F.lit(1 << number))).otherwise(F.col("regions")).alias("regions"),
+        "a",
+        "c",
+        "n",
+        "i",
+        "w",
+        F.when(F.col("inside"), F.col("regions").bitwiseOR(F.lit(1 << number)))
+        .otherwise(F.col("regions"))
+        .alias("regions"),
         F.array_append("near", F.col("s")).alias("near"),
         "s",
         "inside",
+        "at_most",
     )
     # Anchors whose classes are all in the region are done. Elsewhere members stay that lie within
     # the distance t of the shell where the nearest outsider is.
-    outside = F.max(F.when(~F.col("inside"), F.col("s"))).alias("nearest")
+    outside = F.max(F.when(~F.col("inside"), F.col("at_most"))).alias("nearest")
     shells = met.groupBy("a").agg(outside).where("nearest IS NOT NULL")
     window = F.col("s") <= F.col("nearest") + (1 - SIMILARITY / 100) + 1e-9
-    left = met.join(shells, "a").where(~F.col("inside") | window).drop("s", "inside", "nearest")
-    return links, left
+    left = met.join(shells, "a").where(~F.col("inside") | window)
+    return links, left.drop("s", "inside", "at_most", "nearest")
 
 
 def _size_step(size: Column) -> Column:
@@ -390,7 +506,7 @@ def left_pairs(rows: DataFrame) -> DataFrame:
     t = 1 - SIMILARITY / 100 + 1e-9
     windows = F.forall(
         F.arrays_zip(F.col("_near").alias("x"), F.col("near").alias("y")),
-        lambda pair: F.abs(pair["x"] - pair["y"]) <= t,
+        lambda pair: F.coalesce(F.abs(pair["x"] - pair["y"]) <= t, F.lit(True)),
     )
     pairs = one.join(present, ["a", "step"]).where(
         (F.col("c") != F.col("_c"))
@@ -415,17 +531,15 @@ def find_links(docs: DataFrame, facts: DataFrame, classes: DataFrame, words: int
     spark = docs.sparkSession
     anchors = anchor_rows(docs, cell_weights(facts), words)
     rows = staged(shared_anchors(anchors), "join-anchors")
-    wanted = rows.select("c").distinct()
-    sets = staged(fetch_sets(docs, classes, wanted, words), "join-sets")
     rows = rows.withColumns({"regions": F.lit(0), "near": F.array().cast("array<double>")})
     links = spark.createDataFrame([], "c bigint, p bigint")
     for number in range(ROUNDS):
-        found, left = _pivot_round(rows, sets, number)
+        found, left = _pivot_round(docs, classes, rows, number, words)
         links = links.unionByName(found)
         rows = staged(left, "join-left")
         if _pairs_to_meet(rows) <= PAIRS_PER_ROW * rows.count():
             break
-    checked = similarities(staged(left_pairs(rows), "join-pairs"), sets)
+    checked = similarities(docs, classes, staged(left_pairs(rows), "join-pairs"), words)
     return links.unionByName(checked.where(_linked()).select("c", "p"))
 
 
