@@ -22,6 +22,7 @@ import base64
 import hashlib
 import struct
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import public_tokenizers
@@ -34,10 +35,26 @@ from embergrid.llm.common import read_table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
-# Entries that a worker keeps. A full table starts anew; words of the table before stay at hand.
-WORDS_KEPT = 400_000
-TRANSITIONS_KEPT = 250_000
-PAIRS_KEPT = 400_000
+
+
+@dataclass(frozen=True)
+class Tables:
+    """Entries that a worker keeps; results do not depend on it.
+
+    A full table starts anew; words of the table before stay at hand. ``LARGE`` takes some 500 MB
+    of a worker, ``SMALL`` some 150 MB.
+    """
+
+    words: int
+    transitions: int
+    pairs: int
+
+
+LARGE = Tables(600_000, 500_000, 800_000)
+SMALL = Tables(120_000, 100_000, 150_000)
+
+# Rows that go back at a time.
+OUTPUT_ROWS = 1_000
 
 # Tokens that are decoded at a time.
 DECODE_BLOCK = 1 << 16
@@ -49,8 +66,9 @@ _NEVER = 1 << 62
 class Merges:
     """Tokens with their ranks, and which tokens can stand side by side."""
 
-    def __init__(self, ranks: dict[bytes, int]) -> None:
+    def __init__(self, ranks: dict[bytes, int], tables: Tables = LARGE) -> None:
         self.ranks = ranks
+        self.tables = tables
         self.tokens = {rank: token for token, rank in ranks.items()}
         self._ends: dict[int, tuple[list, list]] = {}
         self._apart: dict[int, bool] = {}
@@ -100,7 +118,7 @@ class Merges:
                         break
                 if not known:
                     break
-            if len(self._apart) >= PAIRS_KEPT:
+            if len(self._apart) >= self.tables.pairs:
                 self._apart.clear()
             self._apart[one << 32 | two] = known
         return known
@@ -184,7 +202,7 @@ class Transducer:
         exact = self.merges.ranks.get(piece)
         if exact is not None:
             return [exact]
-        if len(self._steps) >= TRANSITIONS_KEPT:
+        if len(self._steps) >= self.merges.tables.transitions:
             self._restart()
         steps, number, ids = self._steps.get, 0, []
         for byte in piece:
@@ -201,13 +219,19 @@ class Transducer:
 class ByteBpe:
     """Texts to ids and back, with the words seen so far kept."""
 
-    def __init__(self, vocabulary: bytes, pattern: str = public_tokenizers.PATTERN) -> None:
+    def __init__(
+        self, vocabulary: bytes, pattern: str = public_tokenizers.PATTERN, tables: Tables = LARGE
+    ) -> None:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
-        self.merges = Merges(ranks)
+        self.merges = Merges(ranks, tables)
         self._transducer = Transducer(self.merges)
         self._pattern = regex.compile(pattern)
         self._size = max(ranks.values()) + 1
-        self._tokens = [self.merges.tokens.get(rank) for rank in range(self._size)]
+        # Token bytes one after the other, with the start and length of each; length -1 is no token.
+        tokens = [self.merges.tokens.get(rank) for rank in range(self._size)]
+        self._lengths = np.array([-1 if token is None else len(token) for token in tokens])
+        self._starts = np.cumsum(np.maximum(self._lengths, 0)) - np.maximum(self._lengths, 0)
+        self._flat = np.frombuffer(b"".join(token or b"" for token in tokens), np.uint8)
         self._words: dict[str, bytes] = {}
         self._words_before: dict[str, bytes] = {}
 
@@ -243,16 +267,22 @@ class ByteBpe:
     def _new_word(self, word: str) -> bytes:
         ids = self._words.get(word) or self._words_before.get(word) or self._pieces(" " + word)
         if not word[-1].isspace():
-            if len(self._words) >= WORDS_KEPT:
+            if len(self._words) >= self.merges.tables.words:
                 self._words, self._words_before = {}, self._words
             self._words[word] = ids
         return ids
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:
         """Bytes of the ids; an id without a token is an error."""
-        if ids.size and int(ids.max()) >= self._size:
+        if not ids.size:
+            return b""
+        lengths = self._lengths[np.minimum(ids, self._size - 1)]
+        if int(ids.max()) >= self._size or int(lengths.min()) < 0:
             raise ValueError("id outside the vocabulary")
-        return b"".join(map(self._tokens.__getitem__, ids.tolist()))
+        ends = np.cumsum(lengths)
+        places = np.repeat(self._starts[ids] - (ends - lengths), lengths)
+        places += np.arange(places.size)
+        return self._flat[places].tobytes()
 
     def decode(self, ids: bytes) -> Iterator[str]:
         """Text of the ids, block by block."""
@@ -313,15 +343,15 @@ class Utf8Stream:
         return held.decode("utf-8", "replace")
 
 
-_coders: dict[tuple[str, str], ByteBpe] = {}
+_coders: dict[tuple, ByteBpe] = {}
 
 
-def _coder(vocabulary: bytes, pattern: str) -> ByteBpe:
+def _coder(vocabulary: bytes, pattern: str, tables: Tables = LARGE) -> ByteBpe:
     """The worker's coder for a vocabulary; it lives as long as the worker."""
-    key = (hashlib.sha256(vocabulary).hexdigest(), pattern)
+    key = (hashlib.sha256(vocabulary).hexdigest(), pattern, tables)
     if key not in _coders:
         _coders.clear()
-        _coders[key] = ByteBpe(vocabulary, pattern)
+        _coders[key] = ByteBpe(vocabulary, pattern, tables)
     return _coders[key]
 
 
@@ -336,8 +366,10 @@ def _texts(column: pa.Array) -> Iterable[str]:
         yield text.as_py() or ""
 
 
-def _encoded(coder: ByteBpe, text: pa.Array) -> list[bytes]:
-    return [coder.encode(value) for value in _texts(text)]
+def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, OUTPUT_ROWS):
+            yield batch.slice(start, OUTPUT_ROWS)
 
 
 def encode(
@@ -346,6 +378,7 @@ def encode(
     keep: tuple[str, ...] = ("doc_id",),
     vocabulary: str = VOCABULARY,
     pattern: str = public_tokenizers.PATTERN,
+    tables: Tables = SMALL,
 ) -> DataFrame:
     """``keep`` columns, ``ids`` (little-endian unsigned 32-bit integers) and ``n_tokens``."""
     ranks = _read_vocabulary(df.sparkSession, vocabulary)
@@ -353,9 +386,9 @@ def encode(
     names = list(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(ranks.value, pattern)
-        for batch in batches:
-            ids = _encoded(coder, batch.column("_text"))
+        coder = _coder(ranks.value, pattern, tables)
+        for batch in _slices(batches):
+            ids = [coder.encode(text) for text in _texts(batch.column("_text"))]
             counts = [len(value) // 4 for value in ids]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(name) for name in names), pa.array(ids, pa.binary()), pa.array(counts, pa.int64())],
@@ -379,8 +412,8 @@ def decode(
     names = list(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(ranks.value, pattern)
-        for batch in batches:
+        coder = _coder(ranks.value, pattern, SMALL)
+        for batch in _slices(batches):
             ids = batch.column("_ids").to_pylist()
             texts = [None if value is None else "".join(coder.decode(value)) for value in ids]
             yield pa.RecordBatch.from_arrays(
@@ -400,7 +433,7 @@ def digests(df: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(ranks.value, pattern)
-        for batch in batches:
+        for batch in _slices(batches):
             counts, encoded, decoded = [], [], []
             for text in _texts(batch.column("_text")):
                 ids = coder.encode(text)

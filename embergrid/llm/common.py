@@ -1,14 +1,11 @@
-"""Small helpers shared by the operators: tables, the shared folder, table steps, text bytes."""
+"""Small helpers shared by the operators: tables, the shared folder, table steps."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,14 +44,3 @@ def staged(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def text_bytes(column: pa.Array) -> Iterator[bytes]:
-    """UTF-8 bytes of each text; null counts as empty."""
-    for value in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()):
-        yield value.as_py() or b""
-
-
-def id_key(name: str) -> "F.Column":
-    """Key for tables that may hold the same id, or none, several times."""
-    return F.coalesce(F.col(name).cast("string"), F.lit(""))

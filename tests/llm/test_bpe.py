@@ -65,12 +65,9 @@ def test_random_tokens_in_one_piece(coder):
         assert coder._transducer.encode(piece) == merged
 
 
-def test_full_tables_start_anew(monkeypatch, library):
-    monkeypatch.setattr(byte_bpe, "WORDS_KEPT", 3)
-    monkeypatch.setattr(byte_bpe, "TRANSITIONS_KEPT", 5)
-    monkeypatch.setattr(byte_bpe, "PAIRS_KEPT", 2)
+def test_full_tables_start_anew(library):
     with open(byte_bpe.VOCABULARY, "rb") as file:
-        coder = byte_bpe.ByteBpe(file.read())
+        coder = byte_bpe.ByteBpe(file.read(), tables=byte_bpe.Tables(3, 5, 2))
     text = "several unusual words xqzzt recombining xqzzt several wobblywords"
     for _ in range(2):
         assert np.frombuffer(coder.encode(text), "<u4").tolist() == library.encode_ordinary(text)
