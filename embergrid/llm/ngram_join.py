@@ -48,8 +48,9 @@ WORDS = 5
 # Similarity of linked documents, in hundredths.
 SIMILARITY = 75
 
-# The table of counts has a fixed size: slices of cells, whatever the data.
-CELL_BITS = 23
+# The table of counts has a fixed size: slices of cells, whatever the data. A task's counts stop here.
+MOST_COUNTED = 1 << 15
+CELL_BITS = 24
 SLICES = 64
 WEIGHT_STEPS = 4
 
@@ -59,8 +60,10 @@ FILTER_BITS = 1 << 23
 # Another round of pivots is taken while more than this many pairs per row are left.
 PAIRS_PER_ROW = 20
 ROUNDS = 4
-# Sizes within about three percent share a step.
-SIZE_STEPS = 34.0
+# Sizes within about eight percent share a step.
+SIZE_STEPS = 12.0
+# Of so many anchors one is looked at to estimate the pairs that are left.
+ESTIMATE_FROM = 16
 
 # Classes that a task remembers to have listed.
 CLASSES_KEPT = 400_000
@@ -209,13 +212,15 @@ def set_facts(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """Set size and class of every row of ``docs(id, text)``, and each task's counts by slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(1 << CELL_BITS, np.uint32)
+        cells = np.zeros(1 << CELL_BITS, np.uint16)
         for batch in batches:
             sizes, classes = [], []
             for hashes in _batch_sets(batch.column("text"), words):
                 sizes.append(hashes.size)
                 classes.append(_class_id(hashes) if hashes.size else None)
-                np.add.at(cells, _cells(hashes), 1)
+                # Counted up to the limit; cells that two shingles of a text share count once.
+                touched = _cells(hashes)
+                cells[touched] = np.minimum(cells[touched] + 1, MOST_COUNTED)
             rows = batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [
@@ -430,15 +435,26 @@ def _pivot_round(
     ``rows`` has ``a, c, n, i, w, regions, near``: the regions a class is in as bits, and its
     similarities to the pivots so far, null where only a bound below a link is known.
     """
+    rows = rows.withColumn("cap", _largest_partner())
     free = F.col("regions") == 0
     central = F.max(F.when(free, F.struct("w", F.bitwise_not("c").alias("other"), "c", "n", "i"))).alias("pivot")
+    # At the first shared anchor of two linked sets, the smaller one's place leaves room for a
+    # partner of its own size. Rows without that room need such a row of a size within their cap.
+    smallest = F.min(F.when(F.col("cap") >= F.col("n"), F.col("n"))).alias("smallest")
     pivots = (
         rows.groupBy("a")
-        .agg(central)
-        .where("pivot IS NOT NULL")
-        .select("a", F.col("pivot.c").alias("p"), F.col("pivot.n").alias("pn"), F.col("pivot.i").alias("pi"))
+        .agg(central, smallest)
+        .where("pivot IS NOT NULL AND smallest IS NOT NULL")
+        .select(
+            "a",
+            "smallest",
+            F.col("pivot.c").alias("p"),
+            F.col("pivot.n").alias("pn"),
+            F.col("pivot.i").alias("pi"),
+        )
     )
-    met = rows.join(pivots, "a").where("c <> p")
+    met = rows.join(pivots, "a").where("c <> p AND (cap >= n OR smallest <= cap)")
+    met = staged(met.drop("cap", "smallest"), "join-met")
     # Of a pair's shared anchors the first leaves the most that can be common; not all can link.
     most = F.max(F.least(F.col("n") - F.col("i"), F.col("pn") - F.col("pi"))).alias("most")
     pairs = met.groupBy("c", "p", "n", "pn").agg(most)
@@ -479,20 +495,24 @@ def _pivot_round(
     return links, left.drop("s", "inside", "at_most", "nearest")
 
 
+def _largest_partner() -> Column:
+    """Largest size of a set that can link to this one if the anchor is their first shared one.
+
+    With the anchor at place ``i``, at most ``n - i`` shingles are common, and a link needs
+    ``SIMILARITY / (100 + SIMILARITY)`` of both sizes together.
+    """
+    room = (100 + SIMILARITY) * (F.col("n") - F.col("i").cast("bigint"))
+    return F.floor(room / SIMILARITY) - F.col("n")
+
+
 def _size_step(size: Column) -> Column:
     return F.floor(F.log(size.cast("double")) * SIZE_STEPS).cast("int")
 
 
 def _meeting_points(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows outside the first region by the size steps they look in, and all rows by their own.
-
-    With a shared anchor at place ``i``, at most ``n - i`` shingles are common, and a link needs
-    three sevenths of both sizes together. That bounds the partner's size from above.
-    """
-    low = SIMILARITY
-    top = F.floor((100 + low) * (F.col("n") - F.col("i")) / low) - F.col("n")
-    most = F.least(top, F.floor(F.col("n") * 100 / low))
-    least = F.ceil(F.col("n") * low / 100)
+    """Rows outside the first region by the size steps they look in, and all rows by their own."""
+    most = F.least(_largest_partner(), F.floor(F.col("n") * 100 / SIMILARITY))
+    least = F.ceil(F.col("n") * SIMILARITY / 100)
     sized = rows.withColumns({"most": most, "least": least}).where("most >= least")
     steps = F.sequence(_size_step(F.col("least")), _size_step(F.col("most")))
     asking = sized.where(F.col("regions").bitwiseAND(F.lit(1)) == 0).withColumn("step", F.explode(steps))
@@ -519,11 +539,12 @@ def left_pairs(rows: DataFrame) -> DataFrame:
 
 
 def _pairs_to_meet(rows: DataFrame) -> int:
-    """Upper bound of the pairs that ``left_pairs`` looks at."""
-    asking, present = _meeting_points(rows)
+    """About how many pairs ``left_pairs`` looks at, from a part of the anchors."""
+    asking, present = _meeting_points(rows.where(F.pmod("a", F.lit(ESTIMATE_FROM)) == 0))
     asked = asking.groupBy("a", "step").agg(F.count("*").alias("k"))
     there = present.groupBy("a", "step").agg(F.count("*").alias("m"))
-    return asked.join(there, ["a", "step"]).agg(F.sum(F.col("k") * F.col("m"))).first()[0] or 0
+    met = asked.join(there, ["a", "step"]).agg(F.sum(F.col("k") * F.col("m"))).first()[0] or 0
+    return met * ESTIMATE_FROM
 
 
 def find_links(docs: DataFrame, facts: DataFrame, classes: DataFrame, words: int = WORDS) -> DataFrame:
