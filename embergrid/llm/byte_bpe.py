@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from embergrid.llm.common import read_table
+from embergrid.llm.common import read_table, slices
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -366,12 +366,6 @@ def _texts(column: pa.Array) -> Iterable[str]:
         yield text.as_py() or ""
 
 
-def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for start in range(0, batch.num_rows, OUTPUT_ROWS):
-            yield batch.slice(start, OUTPUT_ROWS)
-
-
 def encode(
     df: DataFrame,
     text_column: str = "text",
@@ -387,7 +381,7 @@ def encode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(ranks.value, pattern, tables)
-        for batch in _slices(batches):
+        for batch in slices(batches, OUTPUT_ROWS):
             ids = [coder.encode(text) for text in _texts(batch.column("_text"))]
             counts = [len(value) // 4 for value in ids]
             yield pa.RecordBatch.from_arrays(
@@ -413,7 +407,7 @@ def decode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(ranks.value, pattern, SMALL)
-        for batch in _slices(batches):
+        for batch in slices(batches, OUTPUT_ROWS):
             ids = batch.column("_ids").to_pylist()
             texts = [None if value is None else "".join(coder.decode(value)) for value in ids]
             yield pa.RecordBatch.from_arrays(
@@ -433,7 +427,7 @@ def digests(df: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(ranks.value, pattern)
-        for batch in _slices(batches):
+        for batch in slices(batches, OUTPUT_ROWS):
             counts, encoded, decoded = [], [], []
             for text in _texts(batch.column("_text")):
                 ids = coder.encode(text)

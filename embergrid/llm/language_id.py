@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from embergrid.llm.common import read_table
+from embergrid.llm.common import read_table, slices
 
 UNKNOWN = "und"
 DIMENSIONS = 512
@@ -33,6 +33,9 @@ SEED = 5
 # Vectors in use: the space, a to z, and the slots that other letters share.
 SYMBOLS = 64
 HELD_OUT = 2
+# Languages that a task counts at a time, and rows that go back at a time.
+LANGS_COUNTED = 64
+OUTPUT_ROWS = 1_000
 
 _PLANE = 0x10000
 
@@ -108,8 +111,8 @@ def learn(
 ) -> dict[str, np.ndarray]:
     """Prototype of each language, from all rows with a text and a language.
 
-    A task sends one count per language and n-gram it has seen; the driver gets one vector of
-    ``dimensions`` numbers per language.
+    A task sends one vector per language it has seen; the driver gets one vector of ``dimensions``
+    numbers per language.
     """
     rows = labelled.select(
         F.col(text_column).cast("string").alias("text"), F.col(lang_column).cast("string").alias("lang")
@@ -117,17 +120,26 @@ def learn(
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiles = _shared(dimensions, seed)
-        for batch in batches:
-            found: dict[str, list[np.ndarray]] = {}
-            for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
-                found.setdefault(lang, []).append(profiles.grams(text))
-            for lang, parts in found.items():
-                grams, counts = np.unique(np.concatenate(parts), return_counts=True)
+        counts: dict[str, np.ndarray] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for lang, cells in counts.items():
+                grams = np.flatnonzero(cells)
                 if grams.size:
-                    total = np.rint(profiles.bundle(grams, counts)).astype(np.int64)
+                    total = np.rint(profiles.bundle(grams, cells[grams])).astype(np.int64)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([lang]), pa.array([total], pa.list_(pa.int64()))], ["lang", "part"]
                     )
+            counts.clear()
+
+        for batch in batches:
+            for text, lang in zip(batch.column("text"), batch.column("lang").to_pylist()):
+                if lang not in counts:
+                    if len(counts) >= LANGS_COUNTED:
+                        yield from flush()
+                    counts[lang] = np.zeros(SYMBOLS**ORDER, np.int64)
+                np.add.at(counts[lang], profiles.grams(text.as_py()), 1)
+        yield from flush()
 
     parts = rows.mapInArrow(count, "lang string, part array<bigint>")
     sums = (
@@ -161,7 +173,7 @@ def predict(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiles = _shared(dimensions, seed)
-        for batch in batches:
+        for batch in slices(batches, OUTPUT_ROWS):
             found, scores = [], []
             for text in batch.column("_text").to_pylist():
                 grams = profiles.grams(text) if text else np.zeros(0, np.int64)
