@@ -17,8 +17,8 @@ regions cannot grow around arbitrary pivots; they grow around pivots near the da
    most ``t`` (triangle inequality). The outsiders and the members in that window go on, and the
    step repeats with a pivot among the outsiders while many pairs are left.
 5. The pairs left are those in no common region, inside each window, and within the limits that set
-   sizes and the place of the anchor put on the overlap. They meet in an equi-join on anchor and
-   size step, and their distances are computed.
+   sizes and the place of the anchor put on the overlap. They meet in an equi-join on the anchor,
+   and their distances are computed.
 6. Links to pivots and from pairs make the components, by minimum labels with pointer jumping.
 
 No step lists the pairs of a group: regions cost one row per member, and pairs only arise between
@@ -58,10 +58,8 @@ WEIGHT_STEPS = 4
 FILTER_BITS = 1 << 23
 
 # Another round of pivots is taken while more than this many pairs per row are left.
-PAIRS_PER_ROW = 20
+PAIRS_PER_ROW = 100
 ROUNDS = 4
-# Sizes within about eight percent share a step.
-SIZE_STEPS = 12.0
 # Of so many anchors one is looked at to estimate the pairs that are left.
 ESTIMATE_FROM = 16
 
@@ -505,30 +503,24 @@ def _largest_partner() -> Column:
     return F.floor(room / SIMILARITY) - F.col("n")
 
 
-def _size_step(size: Column) -> Column:
-    return F.floor(F.log(size.cast("double")) * SIZE_STEPS).cast("int")
-
-
-def _meeting_points(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows outside the first region by the size steps they look in, and all rows by their own."""
+def _meeting_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows outside the first region, and all rows, with the sizes that their partners can have."""
     most = F.least(_largest_partner(), F.floor(F.col("n") * 100 / SIMILARITY))
     least = F.ceil(F.col("n") * SIMILARITY / 100)
     sized = rows.withColumns({"most": most, "least": least}).where("most >= least")
-    steps = F.sequence(_size_step(F.col("least")), _size_step(F.col("most")))
-    asking = sized.where(F.col("regions").bitwiseAND(F.lit(1)) == 0).withColumn("step", F.explode(steps))
-    return asking, sized.withColumn("step", _size_step(F.col("n")))
+    return sized.where(F.col("regions").bitwiseAND(F.lit(1)) == 0), sized
 
 
 def left_pairs(rows: DataFrame) -> DataFrame:
     """Distinct class pairs that no region connects and no bound rules out."""
-    asking, present = _meeting_points(rows)
-    one = asking.select("a", "step", *[F.col(name).alias(f"_{name}") for name in ("c", "n", "most", "least", "regions", "near")])
+    asking, present = _meeting_rows(rows)
+    one = asking.select("a", *[F.col(name).alias(f"_{name}") for name in ("c", "n", "most", "least", "regions", "near")])
     t = 1 - SIMILARITY / 100 + 1e-9
     windows = F.forall(
         F.arrays_zip(F.col("_near").alias("x"), F.col("near").alias("y")),
         lambda pair: F.coalesce(F.abs(pair["x"] - pair["y"]) <= t, F.lit(True)),
     )
-    pairs = one.join(present, ["a", "step"]).where(
+    pairs = one.join(present, "a").where(
         (F.col("c") != F.col("_c"))
         & F.col("n").between(F.col("_least"), F.col("_most"))
         & F.col("_n").between(F.col("least"), F.col("most"))
@@ -540,10 +532,10 @@ def left_pairs(rows: DataFrame) -> DataFrame:
 
 def _pairs_to_meet(rows: DataFrame) -> int:
     """About how many pairs ``left_pairs`` looks at, from a part of the anchors."""
-    asking, present = _meeting_points(rows.where(F.pmod("a", F.lit(ESTIMATE_FROM)) == 0))
-    asked = asking.groupBy("a", "step").agg(F.count("*").alias("k"))
-    there = present.groupBy("a", "step").agg(F.count("*").alias("m"))
-    met = asked.join(there, ["a", "step"]).agg(F.sum(F.col("k") * F.col("m"))).first()[0] or 0
+    asking, present = _meeting_rows(rows.where(F.pmod("a", F.lit(ESTIMATE_FROM)) == 0))
+    asked = asking.groupBy("a").agg(F.count("*").alias("k"))
+    there = present.groupBy("a").agg(F.count("*").alias("m"))
+    met = asked.join(there, "a").agg(F.sum(F.col("k") * F.col("m"))).first()[0] or 0
     return met * ESTIMATE_FROM
 
 
