@@ -15,7 +15,8 @@ regions cannot grow around arbitrary pivots; they grow around pivots near the da
    distances to one another.
 4. A class outside the region can only link to members whose distance to the pivot differs by at
    most ``t`` (triangle inequality). The outsiders and the members in that window go on, and the
-   step repeats with a pivot among the outsiders while many pairs are left.
+   step repeats with a pivot among the outsiders, or among the members of several regions when there
+   are none, while many pairs are left.
 5. The pairs left are those in no common region, inside each window, and within the limits that set
    sizes and the place of the anchor put on the overlap. They meet in an equi-join on the anchor,
    and their distances are computed.
@@ -434,15 +435,19 @@ def _pivot_round(
     similarities to the pivots so far, null where only a bound below a link is known.
     """
     rows = rows.withColumn("cap", _largest_partner())
-    free = F.col("regions") == 0
-    central = F.max(F.when(free, F.struct("w", F.bitwise_not("c").alias("other"), "c", "n", "i"))).alias("pivot")
+    # Classes in no region first. Where each is in one, those of different regions may still link, so
+    # any class that was no pivot yet can be the next; pivots themselves have left the rows.
+    free = (F.col("regions") == 0).alias("free")
+    central = F.max(F.struct(free, "w", F.bitwise_not("c").alias("other"), "c", "n", "i")).alias("pivot")
+    # A region that holds all of an anchor's classes connects them all.
+    shared = F.bit_and("regions").alias("shared")
     # At the first shared anchor of two linked sets, the smaller one's place leaves room for a
     # partner of its own size. Rows without that room need such a row of a size within their cap.
     smallest = F.min(F.when(F.col("cap") >= F.col("n"), F.col("n"))).alias("smallest")
     pivots = (
         rows.groupBy("a")
-        .agg(central, smallest)
-        .where("pivot IS NOT NULL AND smallest IS NOT NULL")
+        .agg(central, smallest, shared)
+        .where("shared = 0 AND smallest IS NOT NULL")
         .select(
             "a",
             "smallest",

@@ -76,5 +76,33 @@ def test_chain_is_one_component(spark):
     assert len({row[2] for row in expected}) == 1
 
 
+@pytest.mark.parametrize("versions,rounds", [(2, 3), (3, 4)])
+def test_links_between_regions_of_versions(spark, monkeypatch, versions, rounds):
+    # The pivot of each version is far from the other versions; only members of the regions link.
+    monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
+    monkeypatch.setattr(ngram_join, "PAIRS_PER_ROW", 0)
+    monkeypatch.setattr(ngram_join, "ESTIMATE_FROM", 1)
+    core = [f"core{k}" for k in range(60)]
+    rows, sets = [], []
+    for version in range(versions):
+        own = [f"v{version}_{k}" for k in range(18)]
+        sets.append(core + own)
+        for member in range(4):
+            sets.append(core + own[:4] + [f"u{version}_{member}_{k}" for k in range(4)])
+        # Elsewhere these words are common, so the order of anchors puts them behind the core.
+        sets += [own + [f"f{version}_{number}_{k}" for k in range(100)] for number in range(40)]
+    rows = [(k, " ".join(words), "en", "s", 1) + CLASHING for k, words in enumerate(sets)]
+    label = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(set(sets[i]) & set(sets[j]))
+            if 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both) and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = [low if at == high else at for at in label]
+    found = ngram_join.jaccard_components(documents(spark, rows), words=1).collect()
+    assert {row["doc_id"]: row["component_id"] for row in found} == dict(enumerate(label))
+    assert sum(at == 0 for at in label) == 5 * versions
+
+
 def test_empty_table(spark):
     assert ngram_join.jaccard_components(documents(spark, [])).collect() == []
