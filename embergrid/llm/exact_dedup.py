@@ -22,7 +22,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from embergrid.llm.common import read_table, shuffle_partitions, staged
@@ -33,7 +33,7 @@ MAX_DEPTH = 14
 BUCKET_ROWS = 1_000
 
 # Columns of the working tables.
-_ROWS = "id bigint, key bigint, sha binary"
+_ROWS = "id bigint, key bigint, sha binary, mark binary"
 _ENTRIES = "bucket int, key bigint, text binary, id bigint, n bigint"
 _INDEX = "key bigint, sha binary, chain int, keep_id bigint, group_size bigint"
 
@@ -52,7 +52,7 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
 
 
 def row_keys(docs: DataFrame, bits: int = KEY_BITS) -> DataFrame:
-    """``id, key, sha`` of every row of ``docs(id, text)``."""
+    """``id, key, sha, mark`` of every row of ``docs(id, text, mark)``."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -62,8 +62,9 @@ def row_keys(docs: DataFrame, bits: int = KEY_BITS) -> DataFrame:
                     batch.column("id"),
                     pa.array([_key(digest, bits) for digest in digests], pa.int64()),
                     pa.array(digests, pa.binary()),
+                    batch.column("mark"),
                 ],
-                ["id", "key", "sha"],
+                ["id", "key", "sha", "mark"],
             )
 
     return docs.mapInArrow(hashed, _ROWS)
@@ -176,11 +177,18 @@ def exact_dedup(
     bucket_rows: int = BUCKET_ROWS,
     max_depth: int = MAX_DEPTH,
     key_bits: int = KEY_BITS,
+    mark: Column | None = None,
 ) -> DataFrame:
-    """``doc_id, keep_id, group_size, kept, text_sha256`` for every row."""
+    """``doc_id, keep_id, group_size, kept, text_sha256`` for every row.
+
+    With ``mark``, a binary value of each row, also ``mark``: the smallest one of the rows that are
+    repeated with one id and text.
+    """
     spark = df.sparkSession
     docs = df.select(
-        F.col(id_column).cast("bigint").alias("id"), F.col(text_column).alias("text")
+        F.col(id_column).cast("bigint").alias("id"),
+        F.col(text_column).alias("text"),
+        (F.lit(None).cast("binary") if mark is None else mark).alias("mark"),
     )
     depth = min(max_depth, key_bits)
     keyed = staged(row_keys(docs, key_bits), "dedup-keys")
@@ -190,14 +198,15 @@ def exact_dedup(
     slots = directory_slots(build_directory(counts, depth, bucket_rows), depth)
     owners = max(shuffle_partitions(spark), 1)
     index = (
-        _collapsed(docs, slots, depth, key_bits)
+        _collapsed(docs.drop("mark"), slots, depth, key_bits)
         .repartition(owners, "bucket")
         .sortWithinPartitions("bucket", "key")
         .mapInArrow(_chained, _INDEX)
     )
     index = staged(index, "dedup-index")
     # Rows repeated with one id are counted, looked up once, and listed again.
-    rows = keyed.groupBy("id", "key", "sha").agg(F.count("*").alias("copies"))
+    smallest = [] if mark is None else [F.min("mark").alias("mark")]
+    rows = keyed.groupBy("id", "key", "sha").agg(F.count("*").alias("copies"), *smallest)
     hot = hot_keys(index.groupBy("key").agg(F.sum("group_size").alias("n")), sum(counts.values()))
     found = join_split(rows, index.withColumnRenamed("sha", "_sha"), ["key"], hot, F.col("id"))
     copy = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
@@ -210,6 +219,7 @@ def exact_dedup(
             "group_size",
             (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"),
             F.lower(F.hex("sha")).alias("text_sha256"),
+            *([] if mark is None else ["mark"]),
         )
     )
 

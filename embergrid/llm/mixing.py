@@ -52,8 +52,8 @@ def domain_of(source: Column) -> Column:
     return F.concat(F.lit("d"), F.crc32(source.cast("binary")) % 4)
 
 
-def with_tree(df: DataFrame) -> DataFrame:
-    """``id, domain, lang, source, tokens`` of documents."""
+def with_tree(df: DataFrame, keep: Mapping[str, Column] | None = None) -> DataFrame:
+    """``id, domain, lang, source, tokens`` of documents, and the columns ``keep`` by name."""
     source = F.coalesce(F.col("source").cast("string"), F.lit(MISSING))
     return df.select(
         F.col("doc_id").alias("id"),
@@ -61,6 +61,7 @@ def with_tree(df: DataFrame) -> DataFrame:
         F.coalesce(F.col("lang").cast("string"), F.lit(MISSING)).alias("lang"),
         source.alias("source"),
         n_words(F.col("text")).alias("tokens"),
+        *[column.alias(name) for name, column in (keep or {}).items()],
     )
 
 
@@ -147,10 +148,15 @@ def select_mix(
     epochs: int = EPOCHS,
     seed: int = SEED,
     slice_rows: int = SLICE_ROWS,
+    mark: str | None = None,
 ) -> DataFrame:
-    """Chosen rows of ``rows(id, *levels, tokens)`` with ``epoch`` and ``tokens_before``."""
-    keys = list(levels)
-    rows = staged(rows.select("id", *keys, "tokens"), "mix-rows")
+    """Chosen rows of ``rows(id, *levels, tokens)`` with ``epoch`` and ``tokens_before``.
+
+    A binary column ``mark`` tells rows with one id apart: it orders them, places those with a null
+    id, and is returned.
+    """
+    keys, marks = list(levels), [mark] if mark else []
+    rows = staged(rows.select("id", *keys, "tokens", *marks), "mix-rows")
     leaves = rows.groupBy(*keys).agg(
         F.sum("tokens").alias("tokens"), F.count("*").alias("n_docs")
     )
@@ -168,7 +174,7 @@ def select_mix(
         F.col("tokens").alias("leaf_tokens"),
         F.greatest(F.ceil(F.col("n_docs") / slice_rows), F.lit(1)).cast("bigint").alias("slices"),
     )
-    order = F.md5(F.concat_ws(":", F.lit(str(seed)), "epoch", F.coalesce(F.col("id").cast("string"), F.lit(""))))
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), "epoch", F.coalesce(F.col("id").cast("string"), *map(F.hex, marks), F.lit(""))))
     leading = F.conv(F.substring("order", 1, 8), 16, 10).cast("bigint")
     drawn = (
         rows.join(plan, keys)
@@ -183,13 +189,13 @@ def select_mix(
     # At most one row per slice of a leaf.
     earlier = Window.partitionBy(*keys, "epoch").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(*part, F.coalesce(F.sum("slice_tokens").over(earlier), F.lit(0)).alias("start"))
-    within = Window.partitionBy(*part).orderBy("order", "id", "tokens")
+    within = Window.partitionBy(*part).orderBy("order", "id", "tokens", *marks)
     return (
         drawn.withColumn("upto", F.sum("tokens").over(within.rowsBetween(Window.unboundedPreceding, 0)))
         .join(starts, part)
         .withColumn("tokens_before", (F.col("start") + F.col("upto") - F.col("tokens")).cast("bigint"))
         .where(F.col("tokens_before") + F.col("tokens") <= F.col("room"))
-        .select("id", *keys, "epoch", "tokens", "tokens_before")
+        .select("id", *marks, *keys, "epoch", "tokens", "tokens_before")
     )
 
 

@@ -204,11 +204,11 @@ def _cells(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
 
-_SETS = "id bigint, n bigint, c bigint, slice int, cells binary"
+_SETS = "id bigint, mark binary, n bigint, c bigint, slice int, cells binary"
 
 
 def set_facts(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """Set size and class of every row of ``docs(id, text)``, and each task's counts by slice."""
+    """Set size and class of every row of ``docs(id, mark, text)``, and each task's counts by slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(1 << CELL_BITS, np.uint16)
@@ -224,12 +224,13 @@ def set_facts(docs: DataFrame, words: int = WORDS) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id"),
+                    batch.column("mark"),
                     pa.array(sizes, pa.int64()),
                     pa.array(classes, pa.int64()),
                     pa.nulls(rows, pa.int32()),
                     pa.nulls(rows, pa.binary()),
                 ],
-                ["id", "n", "c", "slice", "cells"],
+                ["id", "mark", "n", "c", "slice", "cells"],
             )
         # A task's counts in one byte each; what is as common as that is common enough.
         cells = np.minimum(cells, 255).astype(np.uint8)
@@ -237,12 +238,13 @@ def set_facts(docs: DataFrame, words: int = WORDS) -> DataFrame:
         yield pa.RecordBatch.from_arrays(
             [
                 pa.nulls(SLICES, pa.int64()),
+                pa.nulls(SLICES, pa.binary()),
                 pa.nulls(SLICES, pa.int64()),
                 pa.nulls(SLICES, pa.int64()),
                 pa.array(range(SLICES), pa.int32()),
                 pa.array(packed, pa.binary()),
             ],
-            ["id", "n", "c", "slice", "cells"],
+            ["id", "mark", "n", "c", "slice", "cells"],
         )
 
     return docs.mapInArrow(run, _SETS)
@@ -593,30 +595,56 @@ def components(links: DataFrame, classes: DataFrame) -> DataFrame:
             return labels
 
 
-def jaccard_components(
-    df: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = WORDS
+def labelled_rows(
+    df: DataFrame, id_column: str, text_column: str, words: int, mark: Column | None = None
 ) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every row."""
+    """``id, mark, n, c, first_id, first`` of every row.
+
+    ``first_id`` is the smallest id of the row's class, and ``first`` the smallest ``(id, class)``
+    of its component, null if the class has no link.
+    """
     docs = df.select(
-        F.col(id_column).cast("bigint").alias("id"), F.col(text_column).cast("string").cast("binary").alias("text")
+        F.col(id_column).cast("bigint").alias("id"),
+        (F.lit(None).cast("binary") if mark is None else mark).alias("mark"),
+        F.col(text_column).cast("string").cast("binary").alias("text"),
     )
     facts = staged(set_facts(docs, words), "join-facts")
-    rows = facts.where("slice IS NULL")
+    rows = facts.where("slice IS NULL").select("id", "mark", "n", "c")
     classes = staged(
         rows.where("n > 0").groupBy("c").agg(F.min("id").alias("first_id")), "join-classes"
     )
     labels = components(find_links(docs, facts, classes, words), classes)
+    return rows.join(classes.join(labels, "c", "left"), "c", "left")
+
+
+def jaccard_components(
+    df: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = WORDS
+) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every row."""
     label = F.nullif(F.col("first.id"), F.lit((1 << 63) - 1))
-    named = classes.join(labels, "c", "left").select(
-        "c", F.coalesce(label, F.col("first_id")).alias("component_id")
-    )
-    return rows.join(named, "c", "left").select(
+    return labelled_rows(df, id_column, text_column, words).select(
         F.col("id").alias("doc_id"),
         F.col("n").alias("n_shingles"),
-        F.coalesce("component_id", F.col("id")).alias("component_id"),
+        F.coalesce(label, "first_id", "id").alias("component_id"),
     )
 
 
+def component_heads(
+    df: DataFrame, mark: Column, id_column: str = "doc_id", text_column: str = "text", words: int = WORDS
+) -> DataFrame:
+    """``id, mark`` of one row of each component: the smallest id, null last, then the smallest mark.
+
+    Rows are told apart by id and ``mark``, so ids may be null or shared. Rows without shingles are
+    all listed.
+    """
+    rows = labelled_rows(df, id_column, text_column, words, mark)
+    # The class whose smallest id is the component's; of its rows, those with that id.
+    own = F.col("first").isNull() | (F.col("first.at") == F.col("c"))
+    at_head = rows.where(F.col("c").isNotNull() & own & F.col("id").eqNullSafe(F.col("first_id")))
+    heads = at_head.groupBy("c").agg(F.first("first_id").alias("id"), F.min("mark").alias("mark"))
+    return heads.select("id", "mark").unionByName(rows.where("c IS NULL").select("id", "mark"))
+
+
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read_table(spark, sf_dir, "documents"))
 

@@ -1,27 +1,34 @@
 """Pipeline stages: ``(spark, docs, sf_dir)`` to the documents that go on.
 
-All but the last return the columns they were given. A document is found again by its id; ids are
-unique from the exact deduplication on, which also drops rows that repeat an id with one text.
+All but the last return the columns they were given. Ids may be null or shared by different texts, so
+a document is found again by its id and its text's digest. Both together are unique from the exact
+deduplication on, which also drops rows that repeat an id with one text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from embergrid.llm import byte_bpe, language_id, mixing
 from embergrid.llm.common import staged
 from embergrid.llm.exact_dedup import exact_dedup
-from embergrid.llm.ngram_join import jaccard_components
+from embergrid.llm.ngram_join import component_heads
 
 # Budget of the mix as a part of the tokens that reach it, in hundredths; each document at most once.
 MIX_PERCENT = 80
 
 
-def _only(docs: DataFrame, ids: DataFrame, id_column: str) -> DataFrame:
-    """Documents whose id is listed, with their own columns."""
-    listed = ids.select(F.col(id_column).alias("_listed"))
-    return docs.join(listed, docs["doc_id"].eqNullSafe(listed["_listed"]), "left_semi")
+def _mark() -> Column:
+    """Digest of the text, null like empty, which tells rows with one id apart."""
+    return F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
+
+
+def _only(docs: DataFrame, rows: DataFrame, id_column: str) -> DataFrame:
+    """Documents whose id and mark are listed, with their own columns."""
+    listed = rows.select(F.col(id_column).alias("_listed"), F.col("mark").alias("_listed_mark"))
+    same = F.col("doc_id").eqNullSafe(F.col("_listed")) & (F.col("_mark") == F.col("_listed_mark"))
+    return docs.withColumn("_mark", _mark()).join(listed, same, "left_semi").drop("_mark")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,23 +41,23 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays (operator 7)."""
-    found = staged(exact_dedup(docs), "stage-dedup")
+    found = staged(exact_dedup(docs, mark=_mark()), "stage-dedup")
     kept = _only(docs, found.where("kept"), "doc_id")
     if found.where("doc_id <=> keep_id AND NOT kept").isEmpty():
         return kept
-    # Rows repeated with one id and text: the first by its other columns stays.
-    return kept.dropDuplicates(["doc_id"])
+    # Of rows repeated with one id and text one stays.
+    return kept.withColumn("_mark", _mark()).dropDuplicates(["doc_id", "_mark"]).drop("_mark")
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of linked documents stays (operator 2)."""
-    found = jaccard_components(docs)
-    return _only(docs, found.where("doc_id <=> component_id"), "doc_id")
+    return _only(docs, component_heads(docs, _mark()), "id")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the budgets of their leaves take (operator 10)."""
-    chosen = mixing.select_mix(mixing.with_tree(docs), budget_percent=MIX_PERCENT, epochs=1)
+    rows = mixing.with_tree(docs, keep={"mark": _mark()})
+    chosen = mixing.select_mix(rows, budget_percent=MIX_PERCENT, epochs=1, mark="mark")
     return _only(docs, chosen, "id")
 
 

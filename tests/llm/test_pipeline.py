@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import corpus_pipeline
 from embergrid.llm import mixing, stages
 from embergrid.llm.common import read_table
-from tests.llm.data import awkward_rows, documents
+from tests.llm.data import BASE, CLASHING, awkward_rows, documents, near
 from tests.llm.test_bpe import library  # noqa: F401
-from tests.llm.test_join import brute_force
+from tests.llm.test_join import brute_force, sets_of
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -59,3 +61,41 @@ def test_mix_takes_each_document_once(spark, sf_dir):
     out = stages.mixing_stage(spark, docs, sf_dir)
     assert out.count() == out.select("doc_id").distinct().count()
     assert mixing.with_tree(docs).count() == docs.count()
+
+
+def test_null_and_shared_ids_keep_their_texts(spark, sf_dir):
+    texts = {
+        None: ["n1 some text", "n2 other text", "N2 OTHER text", BASE, near(BASE, 1, 3), near(BASE, 40, 4)],
+        5: ["five one", "five two", "shared text", near(BASE, 35, 9), near(BASE, 35, 9) + "  "],
+        6: ["shared text", "six one", near(BASE, 45, 2), near(BASE, 45, 2) + " z"],
+    }
+    rows = [(k, text, "en", "s", 1) + CLASHING for k, many in texts.items() for text in many]
+    for repeated in ([], [rows[0]], [rows[8], rows[8], rows[2]]):
+        docs = documents(spark, rows + repeated)
+        groups = {}
+        for row in rows + repeated:
+            groups.setdefault(row[1].lower(), []).append(row[0])
+        largest = {text: max(ids, key=lambda k: -1 if k is None else k) for text, ids in groups.items()}
+        out = stages.exact_dedup_stage(spark, docs, sf_dir).collect()
+        found = Counter((row["doc_id"], row["text"].lower()) for row in out)
+        assert found == Counter((k, text) for text, k in largest.items())
+        kept = [tuple(row) for row in out]
+        deduped = documents(spark, kept)
+        heads = stages.jaccard_stage(spark, deduped, sf_dir).collect()
+        # One row for each group of linked rows, with the smallest id of the group.
+        labels = list(range(len(kept)))
+        sets = [sets_of(row[1]) for row in kept]
+        for i in range(len(kept)):
+            for j in range(i):
+                both = len(sets[i] & sets[j])
+                if 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                    labels = [labels[j] if at == labels[i] else at for at in labels]
+        smallest = Counter(
+            min((row[0] for row, at in zip(kept, labels) if at == label and row[0] is not None), default=None)
+            for label in set(labels)
+        )
+        assert Counter(row["doc_id"] for row in heads) == smallest
+        assert {row["text"] for row in heads} <= {row[1] for row in kept} and len({row["text"] for row in heads}) == len(heads)
+        mixed = stages.mixing_stage(spark, deduped, sf_dir).collect()
+        words = sum(len(row[1].split()) for row in kept)
+        assert 0 < sum(len(row["text"].split()) for row in mixed) <= words * stages.MIX_PERCENT // 100
