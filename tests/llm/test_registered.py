@@ -15,4 +15,4 @@ def test_query_equals_checking_sql(spark, sf_dir, name):
 
 
 def test_every_operator_is_registered():
-    assert {int(name[2:].split("_")[0]) for name in QUERIES} == set(range(1, 11))
+    assert {int(name[2:].split("_")[0]) for name in QUERIES} == set(range(1, 14))
