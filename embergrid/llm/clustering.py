@@ -61,7 +61,7 @@ _FOUND = "vec_id bigint, cluster int, distance bigint"
 
 def _whole(components: np.ndarray) -> np.ndarray:
     """Integers that the distances can be computed in: 64 bits, or any size where needed."""
-    if components.dtype != object and (not components.size or np.abs(components).max() < _SMALL):
+    if not components.size or np.abs(components).max() < _SMALL:
         return components.astype(np.int64)
     return components.astype(object)
 
