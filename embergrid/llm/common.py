@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,3 +54,38 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+
+
+def text_slices(
+    batch: pa.RecordBatch, column: str, size: int
+) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Rows of about ``size`` bytes of text, with the text's bytes and the rows' offsets in them.
+
+    Null text is empty; one text longer than that stays whole.
+    """
+    text = batch.column(column).cast(pa.large_binary())
+    offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+    content = text.buffers()[2]
+    data = np.frombuffer(content, np.uint8) if content is not None else np.empty(0, np.uint8)
+    start = 0
+    while start < batch.num_rows:
+        stop = int(np.searchsorted(offsets, offsets[start] + size, side="right")) - 1
+        stop = min(max(stop, start + 1), batch.num_rows)
+        part = offsets[start : stop + 1]
+        yield batch.slice(start, stop - start), data[part[0] : part[-1]], part - part[0]
+        start = stop
+
+
+def runs_inside(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, length and row of each run of marked bytes; a run never goes over a row's end."""
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    last = inside.copy()
+    last[:-1] &= ~inside[1:]
+    edges = offsets[1:-1]
+    edges = edges[(edges > 0) & (edges < inside.size)]
+    first[edges] = inside[edges]
+    last[edges - 1] = inside[edges - 1]
+    starts = np.flatnonzero(first)
+    lengths = np.flatnonzero(last) + 1 - starts
+    return starts, lengths, np.searchsorted(offsets, starts, side="right") - 1

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from embergrid.llm.common import read_table, shuffle_partitions, staged
+from embergrid.llm.common import read_table, runs_inside, shuffle_partitions, staged, text_slices
 
 MIN_DOCS = 3
 SCALE = 1_000_000_000
@@ -65,19 +65,7 @@ def term_places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]
     goes over one.
     """
     low = _LOWER[data]
-    inside = low != 0
-    first = inside.copy()
-    first[1:] &= ~inside[:-1]
-    last = inside.copy()
-    last[:-1] &= ~inside[1:]
-    edges = offsets[1:-1]
-    edges = edges[(edges > 0) & (edges < data.size)]
-    first[edges] = inside[edges]
-    last[edges - 1] = inside[edges - 1]
-    starts = np.flatnonzero(first)
-    lengths = np.flatnonzero(last) + 1 - starts
-    documents = np.searchsorted(offsets, starts, side="right") - 1
-    return low, starts, lengths, documents
+    return low, *runs_inside(low != 0, offsets)
 
 
 def _bucket(lengths: np.ndarray) -> np.ndarray:
@@ -206,28 +194,13 @@ class RunCounter:
         self.groups, self.runs, self.held = {}, {}, 0
 
 
-def _text_slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Rows of about ``SLICE_BYTES`` of text with its bytes and offsets; a long text stays whole."""
-    text = batch.column("text").cast(pa.large_binary())
-    offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
-    content = text.buffers()[2]
-    data = np.frombuffer(content, np.uint8) if content is not None else np.empty(0, np.uint8)
-    start = 0
-    while start < batch.num_rows:
-        stop = int(np.searchsorted(offsets, offsets[start] + SLICE_BYTES, side="right")) - 1
-        stop = min(max(stop, start + 1), batch.num_rows)
-        part = offsets[start : stop + 1]
-        yield batch.slice(start, stop - start), data[part[0] : part[-1]], part - part[0]
-        start = stop
-
-
 def term_counts(docs: DataFrame) -> DataFrame:
     """``lang, source, term, n, docs`` of every group and term, and of every group without a term."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter, full = RunCounter(), HELD_RUNS
         for batch in batches:
-            for rows, data, offsets in _text_slices(batch):
+            for rows, data, offsets in text_slices(batch, "text", SLICE_BYTES):
                 counter.add(rows.column("lang").to_pylist(), rows.column("source").to_pylist(), data, offsets)
                 if counter.held > full:
                     counter.combine()

@@ -7,7 +7,8 @@ many. Reading looks the control bytes up in a table of lengths, which gives the
 at once.
 
 Tokens of a text are those of the tokenizers library. White space always ends a token, so texts are
-cut there and each word is encoded once per worker, as long as it stays in a table of bounded size.
+cut there. Arrow numbers the words of a slice of texts, each distinct word is encoded once per worker,
+as long as it stays in a table of bounded size, and one numpy gather writes the ids of all texts.
 
 Cases: null text counts as empty, so its document has the end id alone; a null doc_id comes first;
 rows repeated with one doc_id follow one another, ordered by their ids; special tokens in a text are
@@ -28,18 +29,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from embergrid.llm.common import new_path, read_table, shuffle_partitions, staged
+from embergrid.llm.common import new_path, read_table, runs_inside, shuffle_partitions, staged, text_slices
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 2
 # Ids after which a block ends; a block holds whole documents.
 BLOCK_IDS = 1 << 18
-# Words and pieces that a worker keeps in each of two generations.
+# Words and pieces that a worker keeps in each of two generations, and the longest ones it keeps.
 WORDS_KEPT = 400_000
+LONGEST_KEPT = 64
+# Bytes of text whose words are numbered at a time.
+SLICE_BYTES = 8 << 20
 
-# Fixed by the tokenizer file: its pieces, and the ending of a piece's last token.
+# Fixed by the tokenizer file: its pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-WORD_END = "</w>"
 
 _BLOCK = (
     "part int, block int, ids_before bigint, n_ids bigint, doc_ids array<bigint>, "
@@ -50,6 +53,10 @@ _BLOCK = (
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
 
 
+_WHITE = np.zeros(256, bool)
+_WHITE[[0x09, 0x0A, 0x0D, 0x20]] = True
+
+
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data bytes of ranks below ``2 ** 32``."""
     ranks = np.ascontiguousarray(ranks, "<u4")
@@ -74,79 +81,129 @@ def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
     return ranks
 
 
+def _byte_letters() -> dict[int, str]:
+    """Letter of each byte in the vocabulary: printable ones stand for themselves, the others follow
+    the 256 in order."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [byte for byte in range(256) if byte not in printable]
+    return {byte: chr(byte) for byte in printable} | {byte: chr(256 + at) for at, byte in enumerate(others)}
+
+
+class Known:
+    """Ids of strings, in two generations of bounded size: what is in use moves to the newer one."""
+
+    def __init__(self) -> None:
+        self.now: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def find(self, keys: list[str]) -> list[bytes | None]:
+        found = list(map(self.now.get, keys))
+        if self.before and None in found:
+            for at, ids in enumerate(found):
+                if ids is None and (ids := self.before.get(keys[at])) is not None:
+                    found[at] = self.now[keys[at]] = ids
+        return found
+
+    def add(self, keys: list[str], ids: list[bytes]) -> None:
+        if len(self.now) >= WORDS_KEPT:
+            self.now, self.before = {}, self.now
+        self.now.update((key, value) for key, value in zip(keys, ids) if len(key) <= LONGEST_KEPT)
+
+
 class WordCoder:
-    """Ids of texts as little-endian unsigned 16-bit integers, with known words kept."""
+    """Ids of texts as little-endian unsigned 16-bit integers.
+
+    Texts are cut at white space in the bytes of an Arrow column, and words are numbered by Arrow's
+    dictionary, so each distinct word of a slice is looked up once and the ids of all texts are one
+    gather. New words are cut into pieces, and new pieces are merged by the library.
+    """
 
     def __init__(self, vocabulary: str) -> None:
         self._library = Tokenizer.from_str(vocabulary)
         self._library.encode_special_tokens = True
         if self._library.get_vocab_size() > 1 << 16:
             raise ValueError("ids do not fit 16 bits")
-        ids = self._library.get_vocab(with_added_tokens=True)
-        self._ends = np.zeros(max(ids.values()) + 1, bool)
-        self._ends[[number for token, number in ids.items() if token.endswith(WORD_END)]] = True
-        self._split = regex.compile(PIECES)
-        self._words: dict[str, bytes] = {"": b""}
-        self._words_before: dict[str, bytes] = {}
-        self._parts: dict[str, bytes] = {}
-        self._parts_before: dict[str, bytes] = {}
-
-    def _library_ids(self, text: str) -> np.ndarray:
-        return np.array(self._library.encode(text, add_special_tokens=False).ids, "<u2")
-
-    def _learn_parts(self, parts: list[str]) -> None:
-        """Encodes pieces in one call; the last token of each is marked by its ending."""
-        ids = self._library_ids(" ".join(parts))
-        cuts = np.flatnonzero(self._ends[ids]) + 1
-        if cuts.size == len(parts):
-            found = [part.tobytes() for part in np.split(ids, cuts[:-1])]
-        else:
-            found = [self._library_ids(part).tobytes() for part in parts]
-        if len(self._parts) >= WORDS_KEPT:
-            self._parts, self._parts_before = {}, self._parts
-        self._parts.update(zip(parts, found))
-
-    def _learn_words(self, words: set[str]) -> None:
-        split: dict[str, list[str]] = {}
-        missing: dict[str, None] = {}
-        if len(self._words) >= WORDS_KEPT:
-            self._words, self._words_before = {"": b""}, self._words
+        self._merge = self._library.model.tokenize
+        self._split = regex.compile(PIECES).findall
+        self._words = Known()
+        self._pieces = Known()
+
+    def _library_ids(self, text: str) -> bytes:
+        return np.array(self._library.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+
+    def _learn_pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        found = dict(zip(pieces, self._pieces.find(pieces)))
+        new = [piece for piece, ids in found.items() if ids is None]
+        for piece in new:
+            letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_LETTERS)
+            found[piece] = np.array([token.id for token in self._merge(letters)], "<u2").tobytes()
+        self._pieces.add(new, [found[piece] for piece in new])
+        return found
+
+    def _learn_words(self, words: list[str]) -> list[bytes]:
+        split: list[list[str] | None] = []
         for word in words:
-            before = self._words_before.get(word)
-            if before is not None:
-                self._words[word] = before
-            elif max(word) < "̀" and word.isprintable():
+            if max(word) < "̀" and word.isprintable():
                 # Composed already and lower-cased alike everywhere: the pieces are known.
-                split[word] = parts = self._split.findall(word.lower())
-                for part in parts:
-                    if part not in self._parts:
-                        before = self._parts_before.get(part)
-                        if before is None:
-                            missing[part] = None
-                        else:
-                            self._parts[part] = before
+                low = word.lower()
+                split.append([low] if low.isalpha() else self._split(low))
             else:
-                self._words[word] = self._library_ids(word).tobytes()
+                split.append(None)
+        known = self._learn_pieces(list({piece: None for pieces in split if pieces for piece in pieces}))
+        return [
+            self._library_ids(word)
+            if pieces is None
+            else known[pieces[0]]
+            if len(pieces) == 1
+            else b"".join([known[piece] for piece in pieces])
+            for word, pieces in zip(words, split)
+        ]
+
+    def word_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words."""
+        found = self._words.find(words)
+        missing = [at for at, ids in enumerate(found) if ids is None]
         if missing:
-            self._learn_parts(list(missing))
-        known, before = self._parts, self._parts_before
-        for word, parts in split.items():
-            self._words[word] = b"".join([known[p] if p in known else before[p] for p in parts])
-
-    def encode(self, text: str) -> bytes:
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        found = list(map(self._words.get, words))
-        if None in found:
-            self._learn_words({word for word, ids in zip(words, found) if ids is None})
-            known, before = self._words, self._words_before
-            found = [known[word] if word in known else before[word] for word in words]
-        return b"".join(found)
-
-
+            new = [words[at] for at in missing]
+            ids = self._learn_words(new)
+            for at, value in zip(missing, ids):
+                found[at] = value
+            self._words.add(new, ids)
+        return found
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray, end: bytes = b"") -> pa.Array:
+        """Ids of the texts in ``data``, cut at ``offsets``, each followed by ``end``."""
+        inside = ~_WHITE[data]
+        _, lengths, rows = runs_inside(inside, offsets)
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        words = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), lengths.size, [None, pa.py_buffer(ends), pa.py_buffer(data[inside])]
+        ).dictionary_encode()
+        distinct = words.dictionary.cast(pa.large_string()).to_pylist()
+        ids = [*self.word_ids(distinct), end]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
+        starts = np.cumsum(sizes) - sizes
+        texts = offsets.size - 1
+        after = np.searchsorted(rows, np.arange(texts), side="right")
+        order = np.insert(words.indices.to_numpy().astype(np.int64), after, len(distinct))
+        used = sizes[order]
+        upto = np.cumsum(used)
+        places = np.repeat(starts[order] - (upto - used), used)
+        places += np.arange(places.size)
+        flat = np.frombuffer(b"".join(ids), "<u2")[places]
+        # The ids of a text end with those of its end mark.
+        bounds = np.concatenate([[0], upto[after + np.arange(texts)]]) * 2
+        return pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), texts, [None, pa.py_buffer(bounds), pa.py_buffer(flat)]
+        ).cast(pa.binary())
+
+
+_LETTERS = _byte_letters()
 _coders: dict[str, WordCoder] = {}
 
 
 def _coder(vocabulary: str) -> WordCoder:
+    """The worker's coder for a vocabulary; it lives as long as the worker."""
     key = hashlib.sha256(vocabulary.encode()).hexdigest()
     if key not in _coders:
         _coders.clear()
@@ -165,10 +222,9 @@ def tokenize(df: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(shared.value)
         for batch in batches:
-            ids = [coder.encode(text.as_py() or "") + end for text in batch.column("text")]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"]
-            )
+            for rows, data, offsets in text_slices(batch, "text", SLICE_BYTES):
+                ids = coder.encode(data, offsets, end)
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), ids], ["doc_id", "ids"])
 
     return rows.mapInArrow(run, "doc_id bigint, ids binary")
 
