@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from embergrid.llm.common import read_table, slices
+from embergrid.llm.common import free_name, read_table, slices
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -376,16 +376,16 @@ def encode(
 ) -> DataFrame:
     """``keep`` columns, ``ids`` (little-endian unsigned 32-bit integers) and ``n_tokens``."""
     ranks = _read_vocabulary(df.sparkSession, vocabulary)
-    rows = df.select(*keep, F.col(text_column).cast("string").alias("_text"))
+    rows = df.select(*keep, F.col(text_column).cast("string").alias(free_name(df, "text_")))
     names = list(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(ranks.value, pattern, tables)
         for batch in slices(batches, OUTPUT_ROWS):
-            ids = [coder.encode(text) for text in _texts(batch.column("_text"))]
+            ids = [coder.encode(text) for text in _texts(batch.column(len(names)))]
             counts = [len(value) // 4 for value in ids]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(name) for name in names), pa.array(ids, pa.binary()), pa.array(counts, pa.int64())],
+                [*batch.columns[:-1], pa.array(ids, pa.binary()), pa.array(counts, pa.int64())],
                 [*names, "ids", "n_tokens"],
             )
 

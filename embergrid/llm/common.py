@@ -49,6 +49,25 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+# Bytes that a task exchanges with its Python worker at a time, where the session has Spark's default.
+BATCH_BYTES = 8 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes, so that long texts do not add up; a session's own bound stays."""
+    if spark.conf.get(_BATCH_SETTING) in ("64MB", "67108864b"):
+        spark.conf.set(_BATCH_SETTING, f"{BATCH_BYTES}b")
+
+
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` does not have, whatever the case."""
+    taken = {name.lower() for name in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``rows``, which bounds what a task holds at a time."""
     for batch in batches:

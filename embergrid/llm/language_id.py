@@ -17,14 +17,14 @@ an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from embergrid.llm.common import read_table, slices
+from embergrid.llm.common import free_name, read_table, slices
 
 UNKNOWN = "und"
 DIMENSIONS = 512
@@ -164,30 +164,15 @@ def predict(
     seed: int = SEED,
 ) -> DataFrame:
     """``keep`` columns, ``lang_pred`` and ``score`` of every row."""
-    rows = df.select(*keep, F.col(text_column).cast("string").alias("_text"))
+    rows = df.select(*keep, F.col(text_column).cast("string").alias(free_name(df, "text_")))
     names = list(keep)
-    langs = sorted(prototypes)
-    matrix = np.array([prototypes[lang] for lang in langs]).reshape(len(langs), dimensions)
-    norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-    matrix = matrix / np.where(norms > 0, norms, 1)
+    judge = _judge(prototypes, dimensions, seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        profiles = _shared(dimensions, seed)
         for batch in slices(batches, OUTPUT_ROWS):
-            found, scores = [], []
-            for text in batch.column("_text").to_pylist():
-                grams = profiles.grams(text) if text else np.zeros(0, np.int64)
-                best, score = UNKNOWN, 0.0
-                if grams.size and langs:
-                    bundle = profiles.bundle(*np.unique(grams, return_counts=True))
-                    length = np.linalg.norm(bundle)
-                    cosines = matrix @ bundle / (length if length > 0 else 1.0)
-                    at = int(np.argmax(cosines))
-                    best, score = langs[at], float(min(max(cosines[at], 0.0), 1.0))
-                found.append(best)
-                scores.append(score)
+            found, scores = judge(batch.column(len(names)))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(name) for name in names), pa.array(found, pa.string()), pa.array(scores, pa.float64())],
+                [*batch.columns[:-1], pa.array(found, pa.string()), pa.array(scores, pa.float64())],
                 [*names, "lang_pred", "score"],
             )
 
@@ -195,6 +180,54 @@ def predict(
     return rows.mapInArrow(run, f"{kept}, lang_pred string, score double")
 
 
+def keep_known(
+    df: DataFrame,
+    prototypes: dict[str, np.ndarray],
+    text_column: str = "text",
+    dimensions: int = DIMENSIONS,
+    seed: int = SEED,
+) -> DataFrame:
+    """Rows in which a language is found, with their own columns. Each text moves once each way."""
+    place = df.columns.index(text_column)
+    judge = _judge(prototypes, dimensions, seed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, OUTPUT_ROWS):
+            found, _ = judge(batch.column(place))
+            yield batch.filter(pa.array([lang != UNKNOWN for lang in found]))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def _judge(
+    prototypes: dict[str, np.ndarray], dimensions: int, seed: int
+) -> Callable[[pa.Array], tuple[list[str], list[float]]]:
+    """Function from texts to their languages and scores."""
+    langs = sorted(prototypes)
+    matrix = np.array([prototypes[lang] for lang in langs]).reshape(len(langs), dimensions)
+    norms = np.linalg.norm(matrix, axis=1, keepdims=True)
+    matrix = matrix / np.where(norms > 0, norms, 1)
+
+    def judge(texts: pa.Array) -> tuple[list[str], list[float]]:
+        profiles = _shared(dimensions, seed)
+        found, scores = [], []
+        for value in texts:
+            text = value.as_py()
+            grams = profiles.grams(text) if text else np.zeros(0, np.int64)
+            best, score = UNKNOWN, 0.0
+            if grams.size and langs:
+                bundle = profiles.bundle(*np.unique(grams, return_counts=True))
+                length = np.linalg.norm(bundle)
+                cosines = matrix @ bundle / (length if length > 0 else 1.0)
+                at = int(np.argmax(cosines))
+                best, score = langs[at], float(min(max(cosines[at], 0.0), 1.0))
+            found.append(best)
+            scores.append(score)
+        return found, scores
+
+    return judge
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether a document is held out from learning; a null id is not."""
     text = F.coalesce(doc_id.cast("string"), F.lit(""))

@@ -50,7 +50,7 @@ WORDS = 5
 SIMILARITY = 75
 
 # The table of counts has a fixed size: slices of cells, whatever the data. A task's counts stop here.
-MOST_COUNTED = 1 << 15
+MOST_COUNTED = 255
 CELL_BITS = 24
 SLICES = 64
 WEIGHT_STEPS = 4
@@ -211,15 +211,16 @@ def set_facts(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """Set size and class of every row of ``docs(id, mark, text)``, and each task's counts by slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(1 << CELL_BITS, np.uint16)
+        # A task's counts in one byte each; what is as common as that is common enough.
+        cells = np.zeros(1 << CELL_BITS, np.uint8)
         for batch in batches:
             sizes, classes = [], []
             for hashes in _batch_sets(batch.column("text"), words):
                 sizes.append(hashes.size)
                 classes.append(_class_id(hashes) if hashes.size else None)
-                # Counted up to the limit; cells that two shingles of a text share count once.
+                # Cells that two shingles of a text share count once.
                 touched = _cells(hashes)
-                cells[touched] = np.minimum(cells[touched] + 1, MOST_COUNTED)
+                cells[touched] = np.minimum(cells[touched], MOST_COUNTED - 1) + 1
             rows = batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [
@@ -232,8 +233,6 @@ def set_facts(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 ],
                 ["id", "mark", "n", "c", "slice", "cells"],
             )
-        # A task's counts in one byte each; what is as common as that is common enough.
-        cells = np.minimum(cells, 255).astype(np.uint8)
         packed = [zlib.compress(part.tobytes(), 1) for part in np.split(cells, SLICES)]
         yield pa.RecordBatch.from_arrays(
             [

@@ -1,8 +1,12 @@
 """Pipeline stages: ``(spark, docs, sf_dir)`` to the documents that go on.
 
-All but the last return the columns they were given. Ids may be null or shared by different texts, so
-a document is found again by its id and its text's digest. Both together are unique from the exact
-deduplication on, which also drops rows that repeat an id with one text.
+All but the last return the columns they were given, whatever their names. Ids may be null or shared
+by different texts, so a document is found again by its id and its text's digest. Both together are
+unique from the exact deduplication on, which also drops rows that repeat an id with one text.
+
+Other cases: null and empty texts have no letter, so the language stage drops them; texts of any
+length are read whole; an empty table gives an empty table. The last stage replaces ``text`` by the
+columns ``ids`` and ``n_tokens``, and so do columns of these names that the documents bring.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from embergrid.llm import byte_bpe, language_id, mixing
-from embergrid.llm.common import staged
+from embergrid.llm.common import bound_batches, free_name, staged
 from embergrid.llm.exact_dedup import exact_dedup
 from embergrid.llm.ngram_join import component_heads
 
@@ -26,31 +30,34 @@ def _mark() -> Column:
 
 def _only(docs: DataFrame, rows: DataFrame, id_column: str) -> DataFrame:
     """Documents whose id and mark are listed, with their own columns."""
-    listed = rows.select(F.col(id_column).alias("_listed"), F.col("mark").alias("_listed_mark"))
-    same = F.col("doc_id").eqNullSafe(F.col("_listed")) & (F.col("_mark") == F.col("_listed_mark"))
-    return docs.withColumn("_mark", _mark()).join(listed, same, "left_semi").drop("_mark")
+    own, listed_id, listed_mark = (free_name(docs, stem) for stem in ("own_mark", "listed_id", "listed_mark"))
+    listed = rows.select(F.col(id_column).alias(listed_id), F.col("mark").alias(listed_mark))
+    same = F.col("doc_id").eqNullSafe(F.col(listed_id)) & (F.col(own) == F.col(listed_mark))
+    return docs.withColumn(own, _mark()).join(listed, same, "left_semi").drop(own)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language is found stay (operator 6)."""
+    bound_batches(spark)
     prototypes = language_id.learn(docs.where(~language_id.held_out(F.col("doc_id"))))
-    names = docs.columns
-    judged = language_id.predict(docs, prototypes, keep=tuple(names))
-    return judged.where(F.col("lang_pred") != language_id.UNKNOWN).select(*names)
+    return language_id.keep_known(docs, prototypes)
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays (operator 7)."""
+    bound_batches(spark)
     found = staged(exact_dedup(docs, mark=_mark()), "stage-dedup")
     kept = _only(docs, found.where("kept"), "doc_id")
     if found.where("doc_id <=> keep_id AND NOT kept").isEmpty():
         return kept
     # Of rows repeated with one id and text one stays.
-    return kept.withColumn("_mark", _mark()).dropDuplicates(["doc_id", "_mark"]).drop("_mark")
+    own = free_name(kept, "own_mark")
+    return kept.withColumn(own, _mark()).dropDuplicates(["doc_id", own]).drop(own)
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of linked documents stays (operator 2)."""
+    bound_batches(spark)
     return _only(docs, component_heads(docs, _mark()), "id")
 
 
@@ -63,5 +70,6 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each document and their number, with its other columns (operator 4)."""
-    names = tuple(name for name in docs.columns if name != "text")
+    bound_batches(spark)
+    names = tuple(name for name in docs.columns if name.lower() not in ("text", "ids", "n_tokens"))
     return byte_bpe.encode(docs, keep=names)

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 SCHEMA = (
     "doc_id bigint, text string, lang string, source string, n_chars bigint, "
-    "id bigint, key string, c bigint, n bigint, a string, tokens string, weight double, bucket string"
+    "id bigint, key string, c bigint, n bigint, a string, tokens string, weight double, bucket string, "
+    "score string, lang_pred bigint, _text bigint, text_ string, _mark string, own_mark bigint, mark double, "
+    "ids string, n_tokens string, listed_id string, row string, lines string"
 )
-CLASHING = (7, "k", 7, 7, "a", "t", 0.5, "b")
+CLASHING = (7, "k", 7, 7, "a", "t", 0.5, "b", "s", 1, 2, "x", "m", 3, 0.5, "i", "n", "l", "r", "l")
 
 BASE = " ".join(f"w{number}" for number in range(60))
 
