@@ -25,23 +25,30 @@ def hot_keys(counts: DataFrame, total: int, n: str = "n", shares: int = HOT_SHAR
 
 
 def join_split(
-    many: DataFrame, few: DataFrame, keys: list[str], hot: DataFrame, spread_by: Column
+    many: DataFrame,
+    few: DataFrame,
+    keys: list[str],
+    hot: DataFrame,
+    spread_by: Column,
+    hot_by: list[str] | None = None,
 ) -> DataFrame:
     """Inner join with the hot keys split.
 
     Rows of a hot key on the ``many`` side are spread by hash over its splits, and the matching
     rows on the ``few`` side are copied once per split. Each pair still meets exactly once.
-    ``few`` may bring a ``splits`` column of its own, which stays in the result.
+    ``few`` may bring a ``splits`` column of its own, which stays in the result. ``hot`` lists the keys,
+    or those of them in ``hot_by``.
     """
+    hot_by = hot_by or keys
     own = F.coalesce("hot_splits", F.lit(1))
     renamed = F.broadcast(hot.withColumnRenamed("splits", "hot_splits"))
     spread = (
-        many.join(renamed, keys, "left")
+        many.join(renamed, hot_by, "left")
         .withColumn("split", F.pmod(F.xxhash64(spread_by), own).cast("int"))
         .drop("hot_splits")
     )
     copies = (
-        few.join(renamed, keys, "left")
+        few.join(renamed, hot_by, "left")
         .withColumn("split", F.explode(F.sequence(F.lit(0), own - 1)))
         .drop("hot_splits")
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import SparkRuntimeException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,16 +33,21 @@ from embergrid.operators.skew import BROADCAST_ROWS, lookup_join
 from embergrid.operators.spatial import clip_points, points_in_polygons, top_polygon
 from embergrid.plans import inputs
 from embergrid.plans.layers import (
+    IncompletePages,
     Loader,
     as_features,
     edges_of,
+    layer_versions,
     load_status,
+    publish_layers,
+    read_layers,
     require_complete,
     visible_features,
     with_shape,
 )
 from embergrid.plans.layers import features_union as union_of_layers
-from embergrid.sources.camera_feed import camera_records, payload_shapes
+from embergrid.session import scratch_path
+from embergrid.sources.camera_feed import camera_records, payload_shapes, read_camera_feed
 from embergrid.sources.landed_pages import (
     page_facts,
     page_features,
@@ -67,6 +73,13 @@ def camera_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return camera_features(camera_records(inputs.camera_payloads(spark, sf_dir)))
 
 
+def camera_feed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cameras of payloads landed as files, read by byte ranges."""
+    folder = scratch_path(spark, "feed")
+    inputs.camera_payloads(spark, sf_dir, 5_000).write.partitionBy("feed").text(folder)
+    return camera_features(read_camera_feed(spark, f"{folder}/*/*"))
+
+
 def camera_card_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return camera_cards(cameras_in_state(spark, sf_dir), keep=["cam_key"])
 
@@ -280,6 +293,37 @@ def _layers(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
+def layer_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two publishes of three layers: one is replaced, one has bad data, one meets a lost executor."""
+    frames = {name: frame for name, frame in _layers(spark, sf_dir).items() if name in ("cameras", "fires", "burns")}
+    schemas = {
+        name: ", ".join(f"{field.name} {field.dataType.simpleString()}" for field in frame.schema)
+        for name, frame in frames.items()
+    }
+
+    def incomplete() -> DataFrame:
+        raise IncompletePages("pages: unfinished")
+
+    def lost() -> DataFrame:
+        raise SparkRuntimeException("executor lost")
+
+    path = scratch_path(spark, "layers")
+    publish_layers(spark, {name: lambda frame=frame: frame for name, frame in frames.items()}, path, schemas)
+    in_state = frames["fires"].where(F.col("poo_state") == fixed.STATE_CODE)
+    again: dict[str, Loader] = {"fires": lambda: in_state, "burns": incomplete, "cameras": lost}
+    try:
+        publish_layers(spark, again, path, schemas)
+    except SparkRuntimeException:
+        # What the lost executor left behind is the layer's last version.
+        pass
+    current = layer_versions(spark, path, schemas).drop("version", "rows")
+    read = [
+        frame.agg(F.count("*").alias("rows")).select(F.lit(name).alias("layer"), "rows")
+        for name, frame in read_layers(spark, path, schemas).items()
+    ]
+    return current.join(read[0].unionByName(read[1]).unionByName(read[2]), "layer")
+
+
 def features_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     def named(key: str):
         return F.get_json_object("properties", f"$.{key}")
@@ -434,4 +478,6 @@ QUERIES: dict[str, Query] = {
     "feed_shapes": feed_shapes,
     "load_status": event_load_status,
     "perimeters_shaped": perimeters_shaped,
+    "camera_feed_files": camera_feed_files,
+    "layer_versions": layer_commits,
 }

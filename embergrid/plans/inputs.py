@@ -223,7 +223,6 @@ def camera_payloads(spark: SparkSession, sf_dir: str, records: int = 100) -> Dat
         raw_cameras(spark, sf_dir)
         .groupBy(F.floor(F.col("cam_key") / records).alias("feed"))
         .agg(F.to_json(F.collect_list(record)).alias("payload"))
-        .select("payload")
     )
 
 

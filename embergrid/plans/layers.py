@@ -6,6 +6,7 @@ import logging
 from collections.abc import Callable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +29,7 @@ from embergrid.operators.geometry import (
 )
 from embergrid.operators.paging import page_status
 from embergrid.schemas import LAYERS, LOAD_STATUS, empty_frame
+from embergrid.sources import versions
 from embergrid.sources.camera_feed import read_camera_feed
 from embergrid.sources.landed_pages import (
     NUMBER_KIND,
@@ -36,7 +38,6 @@ from embergrid.sources.landed_pages import (
     page_outcomes,
     property_text,
 )
-from embergrid.sources.sinks import replace_folder, write_layer
 
 log = logging.getLogger(__name__)
 
@@ -241,21 +242,48 @@ def loaders(spark: SparkSession, camera_path: str, pages: DataFrame) -> dict[str
     }
 
 
+# Conditions under which Spark reports bad data: payloads refused by name, texts that are no values,
+# a place where nothing has landed, and fields that are not there.
+DATA_CONDITIONS = (
+    "USER_RAISED_EXCEPTION",
+    "CAST_INVALID_INPUT",
+    "MALFORMED_RECORD_IN_PARSING",
+    "PATH_NOT_FOUND",
+    "UNRESOLVED_COLUMN",
+    "FIELD_NOT_FOUND",
+    "DATATYPE_MISMATCH",
+)
+
+
+def is_data_error(error: Exception) -> bool:
+    """Whether a layer failed by its data; a lost executor or a full disk says nothing about it."""
+    if isinstance(error, (IncompletePages, MissingBoundary)):
+        return True
+    condition = error.getCondition() if isinstance(error, PySparkException) else None
+    return condition is not None and condition.startswith(DATA_CONDITIONS)
+
+
+def _message(error: Exception) -> str:
+    lines = str(error).splitlines()
+    return lines[0] if lines and lines[0].strip() else type(error).__name__
+
+
 def guarded(
     spark: SparkSession, name: str, load: Loader, schema: str, use: Callable[[DataFrame], int]
 ) -> tuple[DataFrame, tuple[str, bool, str | None, int]]:
     """A layer and its ``load_status`` row: the loaded table, or an empty one of its schema.
 
-    Spark is lazy, so ``use``, which reads the table and gives its row count, runs inside the guard.
+    Only bad data empties a layer; other errors are raised. Spark is lazy, so ``use``, which reads the
+    table and gives its row count, runs inside the guard.
     """
     try:
         frame = load()
         return frame, (name, True, None, use(frame))
-    except Exception as error:  # any failure empties this layer only
+    except Exception as error:
+        if not is_data_error(error):
+            raise
         log.error("layer %s failed: %s", name, error)
-        lines = str(error).splitlines()
-        message = lines[0] if lines and lines[0].strip() else type(error).__name__
-        return empty_frame(spark, schema), (name, False, message, 0)
+        return empty_frame(spark, schema), (name, False, _message(error), 0)
 
 
 def load_status(
@@ -274,38 +302,59 @@ def load_status(
 
 
 def publish_layers(
-    spark: SparkSession, layer_loaders: Mapping[str, Loader], path: str
+    spark: SparkSession,
+    layer_loaders: Mapping[str, Loader],
+    path: str,
+    schemas: Mapping[str, str] = LAYERS,
 ) -> DataFrame:
-    """Loads and writes all layers side by side; returns ``load_status``.
+    """Loads and publishes all layers side by side; returns ``load_status``.
 
-    A layer is written to a folder beside its table first and takes the table's place only when it
-    is whole, so a write that breaks off leaves no half table. A bad layer is replaced by an empty
-    table of its schema, while the others go on.
+    Each layer is written as a new version, which a commit makes the current one when it is whole. A
+    layer with bad data gets an empty version, while the others go on. Any other error leaves the
+    layer's last version in use; it is raised when all layers are done.
     """
 
     def publish(name: str) -> tuple[str, bool, str | None, int]:
-        fresh = f"{path}/_loading_{name}"
+        version = versions.new_version()
+        folder = f"{versions.data_folder(path, version)}/layer={name}"
 
         def use(frame: DataFrame) -> int:
-            write_layer(frame, fresh)
-            return spark.read.schema(LAYERS[name]).parquet(fresh).count()
+            frame.write.parquet(folder)
+            return spark.read.schema(schemas[name]).parquet(folder).count()
 
-        frame, status = guarded(spark, name, layer_loaders[name], LAYERS[name], use)
+        frame, status = guarded(spark, name, layer_loaders[name], schemas[name], use)
         if not status[1]:
-            write_layer(frame, fresh)
-        replace_folder(spark, fresh, f"{path}/{name}")
+            # The folder of a write that broke off is not used again.
+            version = versions.new_version()
+            frame.write.parquet(f"{versions.data_folder(path, version)}/layer={name}")
+        versions.commit(spark, f"{path}/{name}", version, [status])
         return status
 
     with ThreadPoolExecutor(max_workers=len(layer_loaders)) as pool:
-        statuses = list(pool.map(publish, layer_loaders))
-    return spark.createDataFrame(statuses, LOAD_STATUS)
+        results = [pool.submit(publish, name) for name in layer_loaders]
+    return spark.createDataFrame([result.result() for result in results], LOAD_STATUS)
+
+
+def layer_versions(spark: SparkSession, path: str, schemas: Mapping[str, str] = LAYERS) -> DataFrame:
+    """The commit that counts, for each published layer: ``layer, seq, version, ok, error, rows``."""
+    parts = [versions.current(spark, f"{path}/{name}") for name in schemas]
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    return found
 
 
-def read_layers(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Published layers, by name."""
+def read_layers(
+    spark: SparkSession, path: str, schemas: Mapping[str, str] = LAYERS
+) -> dict[str, DataFrame]:
+    """Current versions of the published layers, by name; one never published is empty."""
+    # One row per layer.
+    chosen = {row["layer"]: row["version"] for row in layer_versions(spark, path, schemas).collect()}
     return {
-        name: spark.read.schema(schema).parquet(f"{path}/{name}")
-        for name, schema in LAYERS.items()
+        name: spark.read.schema(schema).parquet(f"{versions.data_folder(path, chosen[name])}/layer={name}")
+        if name in chosen
+        else empty_frame(spark, schema)
+        for name, schema in schemas.items()
     }
 
 

@@ -263,6 +263,9 @@ ORACLE: dict[str, str] = {
     "camera_feed": _camera(
         "SELECT id, name, pan, image, state, county, lon, lat FROM in_state"
     ),
+    "camera_feed_files": _camera(
+        "SELECT id, name, pan, image, state, county, lon, lat FROM in_state"
+    ),
     "camera_cards": _camera(
         f"SELECT {CAMERA_HEADING}, 'Pan: ' || coalesce(pan || '°', '—') AS pan_text, "
         "CASE WHEN starts_with(lower(image), 'https:') THEN image END AS image_url, "
@@ -386,6 +389,16 @@ ORACLE: dict[str, str] = {
         "SELECT o_orderkey, ROW_NUMBER() OVER (ORDER BY o_orderkey) - 1 AS rank, "
         f"(ROW_NUMBER() OVER (ORDER BY o_orderkey) - 1) // {fixed.PAGE_SIZE} AS page_no FROM orders"
     ),
+    "layer_versions": _with(
+        "SELECT layer, CAST(seq AS BIGINT) AS seq, ok, error, rows FROM ("
+        f"SELECT 'fires' AS layer, 2 AS seq, true AS ok, NULL AS error, (SELECT count(*) FROM fx_fires "
+        f"WHERE poo_state = '{fixed.STATE_CODE}') AS rows "
+        "UNION ALL SELECT 'burns', 2, false, 'pages: unfinished', 0 "
+        "UNION ALL SELECT 'cameras', 1, true, NULL, (SELECT count(*) FROM in_state))",
+        *LAYER_TABLES,
+        in_state=STATE_CAMERAS,
+        focus=FOCUS,
+    ),
     "features_union": _with(FEATURES, *LAYER_TABLES, in_state=STATE_CAMERAS, focus=FOCUS),
     "visible_features": _with(
         "SELECT layer, feature_id FROM all_features "

@@ -4,11 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Provider numbers land as text: feeds may send them quoted.
-RAW_CAMERA = (
-    "name STRING, source STRING, position STRUCT<pan: STRING>, image STRUCT<url: STRING>, "
-    "site STRUCT<id: STRING, state: STRING, latitude: STRING, longitude: STRING, county: STRING>"
-)
 LANDED_PAGE = "layer STRING, result_offset BIGINT, http_status INT, body STRING"
 
 EDGES = "geom_id BIGINT, ring INT, seq INT, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE"
@@ -43,6 +38,7 @@ FEATURES = (
     "geometry STRING, properties STRING"
 )
 LOAD_STATUS = "layer STRING, ok BOOLEAN, error STRING, rows BIGINT"
+COMMITS = "layer STRING, seq BIGINT, version STRING, ok BOOLEAN, error STRING, rows BIGINT"
 
 
 def empty_frame(spark: SparkSession, schema: str) -> DataFrame:

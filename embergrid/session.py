@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -19,3 +22,17 @@ def build_session(app_name: str = "embergrid", **settings: str) -> SparkSession:
     for key, value in {**SETTINGS, **settings}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the cluster shares (``spark.checkpoint.dir``).
+
+    A local session without the setting gets a temporary folder; a cluster must name one.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="embergrid-shared-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return f"{shared}/{name}-{uuid.uuid4().hex}"

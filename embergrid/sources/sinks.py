@@ -1,4 +1,4 @@
-"""Layer tables out: Parquet per layer, one partitioned feature table, GeoJSON lines."""
+"""Layer tables out: versions of layers, one partitioned feature table, GeoJSON lines."""
 
 from __future__ import annotations
 
@@ -7,40 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from embergrid.schemas import LAYERS
-
-
-def write_layer(df: DataFrame, path: str) -> None:
-    """Replaces the whole content of one layer's table."""
-    df.write.mode("overwrite").parquet(path)
-
-
-def replace_folder(spark: SparkSession, fresh: str, target: str) -> None:
-    """Puts a written folder in the place of another, through Spark's own file system."""
-    jvm = spark.sparkContext._jvm
-    source, place = (jvm.org.apache.hadoop.fs.Path(path) for path in (fresh, target))
-    files = source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files.delete(place, True)
-    files.rename(source, place)
-
-
-def _clear_layers(spark: SparkSession, path: str, layers: Sequence[str]) -> None:
-    """Removes the partitions of some layers, so that a layer without rows ends empty."""
-    jvm = spark.sparkContext._jvm
-    for layer in layers:
-        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/layer={layer}")
-        files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        files.delete(folder, True)
+from embergrid.schemas import FEATURES, LAYERS
+from embergrid.sources import versions
 
 
 def write_features(
     features: DataFrame, path: str, layers: Sequence[str] = tuple(LAYERS), cluster: bool = False
 ) -> None:
-    """Replaces ``layers`` in the partitioned feature table; one without rows ends empty.
+    """Replaces ``layers`` in the feature table by a new version; one without rows ends empty.
 
-    Rows of other layers are not written, and other layers in the table stay. ``cluster`` sorts files
-    by place so that a bounds filter can skip row groups. The range keys end in the feature id, so
-    rows at one spot can still be spread over several files.
+    Rows of other layers are not written, and other layers in the table stay. All layers change in
+    one step, after the last file is written. ``cluster`` sorts files by place so that a bounds filter
+    can skip row groups. The range keys end in the feature id, so rows at one spot can still be spread
+    over several files.
     """
     features = features.where(F.col("layer").isin(*layers))
     if cluster:
@@ -49,8 +28,13 @@ def write_features(
         placed = features.select("*", *cell)
         features = placed.repartitionByRange(*keys).sortWithinPartitions(*keys)
         features = features.drop("_lat", "_lon")
-    _clear_layers(features.sparkSession, path, layers)
-    features.write.mode("append").partitionBy("layer").parquet(path)
+    versions.publish(features, path, layers)
+
+
+def read_features(spark: SparkSession, path: str) -> DataFrame:
+    """The current feature table."""
+    names = [part.split(" ")[0] for part in FEATURES.split(", ")]
+    return versions.read(spark, path, FEATURES).select(*names)
 
 
 def geojson_lines(features: DataFrame) -> DataFrame:
@@ -74,7 +58,12 @@ def geojson_lines(features: DataFrame) -> DataFrame:
 def write_geojson_lines(
     features: DataFrame, path: str, layers: Sequence[str] = tuple(LAYERS)
 ) -> None:
-    """GeoJSON text, one feature per line, in one folder per layer; ``layers`` are replaced."""
-    _clear_layers(features.sparkSession, path, layers)
+    """GeoJSON text, one feature per line, as a new version of ``layers``."""
     own = features.where(F.col("layer").isin(*layers))
-    geojson_lines(own).write.mode("append").partitionBy("layer").text(path)
+    versions.publish(geojson_lines(own), path, layers, text=True)
+
+
+def read_geojson_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``layer, value`` of the current lines."""
+    lines = versions.read(spark, path, "value STRING, layer STRING", text=True)
+    return lines.select("layer", "value")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pytest
-from pyspark.errors import PySparkException
+from pyspark.errors import PySparkException, SparkRuntimeException
 from pyspark.sql import functions as F
 
 from embergrid import fixed_values as fixed
@@ -14,10 +14,14 @@ from embergrid.operators.features import in_bounds
 from embergrid.operators.spatial import clip_points, points_in_polygons
 from embergrid.plans.layers import (
     IncompletePages,
+    MissingBoundary,
+    as_features,
     burn_layer,
     edges_of,
     features_union,
+    is_data_error,
     layer_groups,
+    layer_versions,
     loaders,
     publish_layers,
     read_layers,
@@ -27,7 +31,8 @@ from embergrid.plans.layers import (
 from embergrid.schemas import LANDED_PAGE, LAYERS, empty_frame
 from embergrid.sources.camera_feed import camera_records, feed_shapes, read_camera_feed
 from embergrid.sources.landed_pages import read_landed_pages
-from embergrid.sources.sinks import write_features, write_geojson_lines
+from embergrid.sources import versions
+from embergrid.sources.sinks import read_features, read_geojson_lines, write_features, write_geojson_lines
 from embergrid.streaming.landed_stream import append_layer, stream_landed_pages
 
 CAMERAS = [
@@ -187,8 +192,74 @@ def test_publish_replaces_the_whole_layer(spark, tmp_path):
     row = ("1", "a", None, None, None, None, -120.0, 43.0)
     full = spark.createDataFrame([row], LAYERS["burns"])
     assert publish_layers(spark, {"burns": lambda: full}, out).first().rows == 1
+    assert read_layers(spark, out)["burns"].count() == 1
     assert publish_layers(spark, {"burns": lambda: burns}, out).first().rows == 0
-    assert spark.read.parquet(f"{out}/burns").count() == 0
+    assert read_layers(spark, out)["burns"].count() == 0
+    # A layer can be published from itself.
+    doubled = [lambda: full, lambda: read_layers(spark, out)["burns"].union(full)]
+    for load in doubled:
+        publish_layers(spark, {"burns": load}, out)
+    assert read_layers(spark, out)["burns"].count() == 2
+    assert [row.seq for row in layer_versions(spark, out).collect()] == [4]
+
+
+def lost_executor():
+    raise SparkRuntimeException("Job aborted: ExecutorLostFailure (executor 3 exited)")
+
+
+def test_errors_that_are_no_data_errors_keep_the_last_version(spark, tmp_path):
+    out = str(tmp_path / "layers")
+    row = ("1", "a", None, None, None, None, -120.0, 43.0)
+    full = spark.createDataFrame([row], LAYERS["burns"])
+    fire = ("1", *[None] * 6, -120.0, 43.0, 1.0)
+    fires = spark.createDataFrame([fire], LAYERS["fires"])
+    publish_layers(spark, {"burns": lambda: full, "fires": lambda: fires}, out)
+
+    @F.udf("bigint")
+    def breaks(value):
+        raise OSError("no space left on device")
+
+    broken_write = spark.range(40, numPartitions=4).select(
+        *[F.lit(value).cast(kind).alias(name) for (name, kind), value in zip(burn_columns(), row[:2])],
+        F.when(F.col("id") == 35, breaks("id")).cast("bigint").alias("start_ms"),
+        *[F.lit(None).cast(kind).alias(name) for name, kind in burn_columns()[3:]],
+    )
+    for load in (lost_executor, lambda: broken_write):
+        two = fires.union(fires)
+        with pytest.raises(PySparkException):
+            publish_layers(spark, {"burns": load, "fires": lambda: two}, out)
+        layers = read_layers(spark, out)
+        # The broken layer is as it was, the other one is new.
+        assert [tuple(found) for found in layers["burns"].collect()] == [row]
+        assert layers["fires"].count() == 2
+    features = as_features(fires, "fires", "feature_id", ("acres",), "Point")
+    table = str(tmp_path / "features")
+    write_features(features, table, ["fires", "burns"])
+    bad = features.withColumn("lon", breaks(F.lit(1)).cast("double"))
+    with pytest.raises(PySparkException):
+        write_features(bad, table, ["fires"])
+    assert read_features(spark, table).count() == 1
+    # A table that is read while it is replaced, and again after that.
+    grown = read_features(spark, table)
+    write_features(grown.union(grown), table, ["fires"])
+    assert read_features(spark, table).count() == 2 and grown.count() == 1
+    assert versions.superseded(spark, table, keep=1).count() == 0
+    write_features(grown.where("false"), table, ["burns"])
+    assert versions.superseded(spark, table, keep=1).count() == 1
+    assert read_features(spark, table).count() == 2
+
+
+def burn_columns():
+    return [tuple(part.split(" ")) for part in LAYERS["burns"].split(", ")]
+
+
+def test_only_named_errors_are_data_errors(spark):
+    assert is_data_error(IncompletePages("x")) and is_data_error(MissingBoundary("x"))
+    assert not is_data_error(ValueError("x")) and not is_data_error(SparkRuntimeException("x"))
+    for text in ("raise_error('x')", "cast('a' AS int)", "no_such_column"):
+        with pytest.raises(PySparkException) as caught:
+            spark.range(1).selectExpr(text).collect()
+        assert is_data_error(caught.value), text
 
 
 def test_incomplete_pages_without_failed_page(spark):
@@ -232,7 +303,7 @@ def test_feature_table_and_visibility(spark, landed, tmp_path):
     path = str(tmp_path / "features")
     write_features(features, path, cluster=True)
     write_features(features.where("layer = 'fires'").limit(1), path, ["fires", "burns"])
-    again = spark.read.parquet(path)
+    again = read_features(spark, path)
     counts = {row.layer: row["count"] for row in again.groupBy("layer").count().collect()}
     # A layer that failed or became empty does not keep its old rows.
     assert counts == {"cameras": 1, "fires": 1, "perimeters": 1, "boundary": 2}
@@ -241,21 +312,26 @@ def test_feature_table_and_visibility(spark, landed, tmp_path):
 def test_geojson_lines(spark, landed, tmp_path):
     path = str(tmp_path / "lines")
     write_geojson_lines(published(spark, landed), path)
-    lines = [json.loads(row.value) for row in spark.read.text(f"{path}/layer=fires").collect()]
+    published_lines = read_geojson_lines(spark, path)
+
+    def lines_of(layer):
+        return [json.loads(row.value) for row in published_lines.where(F.col("layer") == layer).collect()]
+
+    lines = lines_of("fires")
     by_id = {line["id"]: line for line in lines}
     assert by_id["1"]["geometry"] == {"type": "Point", "coordinates": [-121.0, 44.0]}
     assert by_id["1"]["properties"]["incident_name"] == "Ash"
     assert by_id["1"]["properties"]["acres"] == 1234.5
-    lines = [json.loads(row.value) for row in spark.read.text(f"{path}/layer=boundary").collect()]
+    lines = lines_of("boundary")
     assert {line["geometry"]["type"] for line in lines} <= {"Polygon", "MultiPolygon"}
-    lines = [json.loads(row.value) for row in spark.read.text(f"{path}/layer=perimeters").collect()]
+    lines = lines_of("perimeters")
     rings = lines[0]["geometry"]["coordinates"]
     assert rings[0][0] == rings[0][-1] and len(rings[0]) >= 4
 
 
 def test_bounds_filter_reaches_the_scan(spark, landed, capsys):
     published(spark, landed)
-    burns = spark.read.parquet(f"{landed[2]}/burns")
+    burns = read_layers(spark, landed[2])["burns"]
     in_bounds(burns).select("name").explain("formatted")
     plan = capsys.readouterr().out
     pushed = plan[plan.index("PushedFilters") :].split("]")[0]
@@ -292,12 +368,12 @@ def test_an_error_without_text_empties_one_layer(spark, landed):
     _, _, out = landed
 
     def bad():
-        raise ValueError
+        raise IncompletePages
 
     full = spark.createDataFrame([("1", "a", None, None, None, None, -120.0, 43.0)], LAYERS["burns"])
     status = publish_layers(spark, {"fires": bad, "burns": lambda: full}, out).collect()
     assert {row.layer: (row.ok, row.error, row.rows) for row in status} == {
-        "fires": (False, "ValueError", 0),
+        "fires": (False, "IncompletePages", 0),
         "burns": (True, None, 1),
     }
 
