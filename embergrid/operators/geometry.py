@@ -102,28 +102,36 @@ def thin_edges(edges: DataFrame, max_offset: float, geom_id: str = "geom_id") ->
 def shaped_rings(rings: Column, decimals: int, max_offset: float) -> Column:
     """Rings of one polygon thinned, then rounded, by the rules of ``thin_edges`` and ``round_edges``.
 
-    ``rings`` are arrays of ``[x, y]`` as text. Positions without two finite numbers are left out,
-    and so are rings that the grid leaves with fewer than three edges.
+    ``rings`` are arrays of ``[x, y]`` as text. Positions without two finite numbers are left out. An
+    outer ring, the first, that the grid leaves with fewer than three edges is rounded only, and if
+    that is too coarse too it stays as it is: a polygon never vanishes for being small, and all its
+    vertices are within the offset. Holes that enclose nothing on the grid go.
     """
     steps, scale = round(1 / max_offset, 9), 10**decimals
 
-    def shaped(ring: Column) -> Column:
-        placed = F.transform(
-            ring,
-            lambda at: F.struct(
-                snapped(finite_number(F.get(at, F.lit(0))), steps).alias("x"),
-                snapped(finite_number(F.get(at, F.lit(1))), steps).alias("y"),
-            ),
-        )
+    def moved(ring: Column, *grids: float) -> Column:
+        def place(at: Column, index: int) -> Column:
+            number = finite_number(F.get(at, F.lit(index)))
+            # Only the first grid decides which vertices fall together.
+            return snapped(number, grids[0]) if grids else number
+
+        placed = F.transform(ring, lambda at: F.struct(place(at, 0).alias("x"), place(at, 1).alias("y")))
         whole = F.filter(placed, lambda at: at["x"].isNotNull() & at["y"].isNotNull())
         # Of neighbours on one spot one stays.
         following = F.slice(whole, 2, F.greatest(F.size(whole) - 1, F.lit(0)))
         pairs = F.arrays_zip(whole.alias("at"), following.alias("then"))
-        moved = F.filter(pairs, lambda pair: pair["then"].isNull() | (pair["at"] != pair["then"]))
-        return F.transform(
-            moved,
-            lambda pair: F.array(snapped(pair["at"]["x"], scale), snapped(pair["at"]["y"], scale)),
-        )
+        kept = F.filter(pairs, lambda pair: pair["then"].isNull() | (pair["at"] != pair["then"]))
+
+        def position(pair: Column) -> Column:
+            numbers = [pair["at"][name] for name in ("x", "y")]
+            return F.array(*[snapped(number, grids[1]) if len(grids) > 1 else number for number in numbers])
+
+        return F.transform(kept, position)
+
+    def shaped(ring: Column, index: Column) -> Column:
+        thinned = moved(ring, steps, scale)
+        small = F.when(F.size(moved(ring, scale)) >= 4, moved(ring, scale)).otherwise(moved(ring))
+        return F.when((index > 0) | (F.size(thinned) >= 4), thinned).otherwise(small)
 
     return F.filter(F.transform(rings, shaped), lambda ring: F.size(ring) >= 4)
 
@@ -147,3 +155,33 @@ def boxes_overlapping(boxes: DataFrame, bounds: tuple[float, float, float, float
         & (F.col("ymax") >= south)
         & (F.col("ymin") <= north)
     )
+
+
+def polygons_in_envelope(
+    edges: DataFrame, bounds: tuple[float, float, float, float], geom_id: str = "geom_id"
+) -> DataFrame:
+    """Polygons whose area meets west, south, east, north, touching included.
+
+    That is so if an edge meets the envelope, or if none does and the envelope lies in the polygon,
+    which one of its corners tells. An edge meets it unless it is all on one side, or all corners are
+    on one side of the edge's line. One aggregation over the edges, with map-side combine; holes and
+    parts need nothing extra.
+    """
+    west, south, east, north = (F.lit(float(value)) for value in bounds)
+    x1, y1, x2, y2 = (F.col(name) for name in COORDINATES)
+    beside = (
+        (F.greatest(x1, x2) < west)
+        | (F.least(x1, x2) > east)
+        | (F.greatest(y1, y2) < south)
+        | (F.least(y1, y2) > north)
+    )
+    sides = [(x2 - x1) * (y - y1) - (y2 - y1) * (x - x1) for x in (west, east) for y in (south, north)]
+    meets = ~beside & (F.least(*sides) <= 0) & (F.greatest(*sides) >= 0)
+    # The ray from the south-west corner towards larger x.
+    crosses = ((y1 > south) != (y2 > south)) & (west < (x2 - x1) * (south - y1) / F.nullif(y2 - y1, F.lit(0.0)) + x1)
+    return (
+        edges.groupBy(geom_id)
+        .agg(F.bool_or(meets).alias("meets"), F.count_if(crosses).alias("crossings"))
+        .where("meets OR crossings % 2 = 1")
+        .select(geom_id)
+    )

@@ -26,7 +26,7 @@ from embergrid.operators.features import (
     point_columns,
     polygons_only,
 )
-from embergrid.operators.geometry import boxes_overlapping, edge_boxes, round_edges, thin_edges
+from embergrid.operators.geometry import boxes_overlapping, edge_boxes, polygons_in_envelope, round_edges, thin_edges
 from embergrid.operators.paging import assign_pages, page_slice, page_status
 from embergrid.operators.query import feature_query
 from embergrid.operators.skew import BROADCAST_ROWS, lookup_join
@@ -378,6 +378,10 @@ def perimeter_bbox_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes_overlapping(edge_boxes(inputs.edges(spark, sf_dir)), INNER_BOUNDS)
 
 
+def perimeters_in_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return polygons_in_envelope(inputs.edges(spark, sf_dir), INNER_BOUNDS)
+
+
 def fires_in_perimeters(
     spark: SparkSession, sf_dir: str, broadcast_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
@@ -480,4 +484,5 @@ QUERIES: dict[str, Query] = {
     "perimeters_shaped": perimeters_shaped,
     "camera_feed_files": camera_feed_files,
     "layer_versions": layer_commits,
+    "perimeters_in_envelope": perimeters_in_envelope,
 }

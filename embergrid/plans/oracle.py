@@ -433,6 +433,21 @@ ORACLE: dict[str, str] = {
             "FROM ring_texts GROUP BY geom_id"
         ),
     ),
+    "perimeters_in_envelope": _with(
+        # Clipping: the part of each edge, as a range of its length, that lies between both sides.
+        f"SELECT geom_id FROM (SELECT geom_id, bool_or(low <= high) AS meets, "
+        f"count(*) FILTER ((y1 > {_SOUTH}) <> (y2 > {_SOUTH}) "
+        f"AND {_WEST} < (x2 - x1) * ({_SOUTH} - y1) / (y2 - y1) + x1) AS crossings FROM ("
+        "SELECT *, greatest(0, CASE WHEN dx = 0 THEN (CASE WHEN x1 BETWEEN "
+        f"{_WEST} AND {_EAST} THEN 0 ELSE 2 END) ELSE least(({_WEST} - x1) / dx, ({_EAST} - x1) / dx) END, "
+        f"CASE WHEN dy = 0 THEN (CASE WHEN y1 BETWEEN {_SOUTH} AND {_NORTH} THEN 0 ELSE 2 END) "
+        f"ELSE least(({_SOUTH} - y1) / dy, ({_NORTH} - y1) / dy) END) AS low, "
+        f"least(1, CASE WHEN dx = 0 THEN 1 ELSE greatest(({_WEST} - x1) / dx, ({_EAST} - x1) / dx) END, "
+        f"CASE WHEN dy = 0 THEN 1 ELSE greatest(({_SOUTH} - y1) / dy, ({_NORTH} - y1) / dy) END) AS high "
+        "FROM (SELECT *, x2 - x1 AS dx, y2 - y1 AS dy FROM fx_edges)) GROUP BY geom_id) "
+        "WHERE meets OR crossings % 2 = 1",
+        "fx_edges",
+    ),
     "perimeters_shaped": _with(
         "SELECT geom_id, x AS x1, y AS y1, nx AS x2, ny AS y2 FROM (SELECT *, LEAD(x) OVER w AS nx, "
         "LEAD(y) OVER w AS ny, COUNT(*) OVER (PARTITION BY geom_id, ring) AS corners FROM "

@@ -16,6 +16,8 @@ from embergrid.operators.geometry import (
     edge_boxes,
     polygon_edges,
     rings_from_geojson,
+    polygons_in_envelope,
+    shaped_rings,
     thin_edges,
 )
 from embergrid.operators.query import feature_query
@@ -157,6 +159,51 @@ def test_box_overlap_includes_touching(spark):
     assert boxes_overlapping(boxes, (1.001, 0.0, 2.0, 2.0)).count() == 0
 
 
+ENVELOPE = (0.0, 0.0, 1.0, 1.0)
+IN_ENVELOPE = {
+    "inside": ([[[0.2, 0.2], [0.4, 0.2], [0.4, 0.4], [0.2, 0.2]]], True),
+    "around": ([[[-5, -5], [5, -5], [5, 5], [-5, 5], [-5, -5]]], True),
+    "in its hole": ([[[-5, -5], [5, -5], [5, 5], [-5, 5], [-5, -5]], [[-1, -1], [2, -1], [2, 2], [-1, 2], [-1, -1]]], False),
+    "across": ([[[-1, 0.4], [2, 0.5], [2, 0.6], [-1, 0.4]]], True),
+    "only its box": ([[[1.5, -1], [2, -1], [2, 3], [-1, 3], [-1, 2.5], [1.5, 2.5], [1.5, -1]]], False),
+    "past a corner": ([[[0.5, 3], [3, 0.5], [3, 3], [0.5, 3]]], False),
+    "at a corner": ([[[1, 1], [2, 1], [2, 2], [1, 1]]], True),
+    "through a corner": ([[[0.5, 1.5], [1.5, 0.5], [2, 2], [0.5, 1.5]]], True),
+    "along a side": ([[[1, 0.2], [2, 0.2], [2, 0.8], [1, 0.8], [1, 0.2]]], True),
+    "beside": ([[[1.01, 0], [2, 0], [2, 1], [1.01, 0]]], False),
+}
+
+
+def test_area_in_envelope(spark):
+    rows = [(name, rings) for name, (rings, _) in IN_ENVELOPE.items()]
+    rows = [(name, [[[float(x) for x in at] for at in ring] for ring in rings]) for name, rings in rows]
+    frame = spark.createDataFrame(rows, "geom_id STRING, rings ARRAY<ARRAY<ARRAY<DOUBLE>>>")
+    found = {row.geom_id for row in polygons_in_envelope(polygon_edges(frame), ENVELOPE).collect()}
+    assert found == {name for name, (_, meets) in IN_ENVELOPE.items() if meets}
+    boxes = {row.geom_id for row in boxes_overlapping(edge_boxes(polygon_edges(frame)), ENVELOPE).collect()}
+    assert found < boxes
+
+
+def test_small_polygons_keep_a_ring(spark):
+    def ring(size):
+        return [[str(-121 + x * size), str(44 + y * size)] for x, y in ((0, 0), (1, 0), (1, 1), (0, 1), (0, 0))]
+
+    sizes = (0.5, 0.003, 0.0004, 1e-6)
+    frame = spark.createDataFrame(
+        [(number, [ring(size), ring(size / 2)]) for number, size in enumerate(sizes)],
+        "id INT, rings ARRAY<ARRAY<ARRAY<STRING>>>",
+    )
+    rows = frame.select("id", shaped_rings(F.col("rings"), 3, 0.01).alias("rings")).orderBy("id").collect()
+    assert [len(row.rings) for row in rows] == [2, 1, 1, 1]
+    for row, size in zip(rows, sizes):
+        outer = row.rings[0]
+        assert outer[0] == outer[-1] and len({tuple(at) for at in outer}) >= 3
+        for x, y in outer:
+            assert min(max(abs(x - float(a)), abs(y - float(b))) for a, b in ring(size)) <= 0.01
+    assert rows[1].rings[0][1] == [-120.997, 44.0]
+    assert rows[3].rings[0][1] == [-121 + 1e-6, 44.0]
+
+
 def test_feature_query_defaults_and_overrides(spark):
     frame = spark.createDataFrame(
         [(3, "a", -120.0, 44.0), (1, "b", -120.1234, 44.5678), (2, "a", 0.0, 0.0)],
