@@ -152,6 +152,26 @@ def test_date_text(spark, zone):
             "Tue Nov 14 2023": "Nov 14, 2023",
             "2023/11/14": "Nov 14, 2023",
             "November 14, 2023 18:05": "Nov 14, 2023",
+            "Nov. 14, 2023": "Nov 14, 2023",
+            "14-Nov-2023": "Nov 14, 2023",
+            "14 Nov. 2023": "Nov 14, 2023",
+            "Sept 5, 2023": "Sep 5, 2023",
+            "Tue Nov 14 2023 23:30:00 GMT-0800 (Pacific Standard Time)": "Nov 15, 2023",
+            "Nov 14, 2023 23:30 GMT-0800": "Nov 15, 2023",
+            "11/14/2023 01:00 +02:00": "Nov 13, 2023",
+            "Tue, 14 Nov 2023 23:59:59 +0000": "Nov 14, 2023",
+            "2024-03-05 23:30-0800": "Mar 6, 2024",
+            "2024-02-30": None,
+            "2/29/2023": None,
+            "2024-02-29T24:00:00+00:00": "Mar 1, 2024",
+            "2024": "Jan 1, 2024",
+            "2024-03": "Mar 1, 2024",
+            "2024 10:30": None,
+            "13/1/2024": None,
+            "Nov 14, 2023 13:00 PM": None,
+            "Nov 14, 2023 12:10 am": "Nov 14, 2023",
+            "=|2024|1|1||||": None,
+            "Foo 14, 2023": None,
             "1700000000000": None,
             "soon": None,
             "10:30": None,
