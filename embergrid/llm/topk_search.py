@@ -12,7 +12,8 @@ go to the trees in blocks of bounded size; (tree, block) pairs are spread over a
 
 Cases: vectors that are null or hold null or non-finite components, and null ids, take no part; only
 vectors of the same length meet; of rows repeated with one id the largest vector stands for all;
-extra columns are ignored; an empty table gives an empty result.
+extra columns are ignored; an empty table gives an empty result. Large components are ranked in exact
+integers; a scaled component, or a score among a query's best, that does not fit a long is an error.
 """
 
 from __future__ import annotations
@@ -113,11 +114,18 @@ class KdTree:
 
 
 def product(one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """Exact integer products of rows; in doubles while every sum is exact in them."""
-    largest = float(np.abs(one).max(initial=0)) * float(np.abs(two).max(initial=0)) * one.shape[1]
+    """Exact integer products of rows: in doubles or longs while every sum is exact in them, else in
+    integers of any size."""
+    largest = _largest(one) * _largest(two) * one.shape[1]
     if largest < _EXACT:
         return np.rint(one.astype(np.float64) @ two.astype(np.float64).T).astype(np.int64)
-    return one.astype(np.int64) @ two.astype(np.int64).T
+    if largest < 2**63:
+        return one.astype(np.int64) @ two.astype(np.int64).T
+    return one.astype(object) @ two.astype(object).T
+
+
+def _largest(rows: np.ndarray) -> int:
+    return max(int(rows.max(initial=0)), -int(rows.min(initial=0)))
 
 
 def whole_vectors(df: DataFrame, id_column: str, vector_column: str, scale: int) -> DataFrame:

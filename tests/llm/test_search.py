@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from embergrid.llm import topk_search
@@ -60,3 +61,13 @@ def test_boxes_are_tight_and_bound_scores():
 def test_large_components_stay_exact():
     one = np.array([[2**40, 3]])
     assert topk_search.product(one, np.array([[2**20, 1]]))[0, 0] == 2**60 + 3
+    two = np.array([[2**62, 2**61, 2**60]])
+    assert topk_search.product(two, two)[0, 0] == 2**124 + 2**122 + 2**120
+
+
+def test_sums_beyond_a_long_do_not_wrap(spark):
+    # The opposite vector is the worst match, though its product would wrap to a large number.
+    rows = [(0, [2.0**20, 1.0]), (1, [-(2.0**23), 2.0]), (2, [2.0**10, 0.0]), (3, [0.0, 1.0])]
+    assert search(spark, rows, k=3) == brute_force(rows, 3)
+    with pytest.raises(Exception, match="(?i)too large|overflow|out of bounds"):
+        search(spark, [(0, [2.0**30, 1.0]), (1, [2.0**30, 1.0]), (2, [-(2.0**30), 2.0])])
