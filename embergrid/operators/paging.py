@@ -9,9 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from embergrid import fixed_values as fixed
-
-# Rows that a bucket of ranks should hold.
-BUCKET_ROWS = 250_000
+from embergrid.operators.page_directory import BUCKET_ROWS, page_between, page_directory
 
 # Rows looked at per bucket when choosing cuts; a hundred keep buckets within about a third of even.
 SAMPLES_PER_BUCKET = 100
@@ -73,18 +71,22 @@ def _cuts(df: DataFrame, order: str, buckets: int, total: int) -> list[float]:
 
 
 def page_slice(
-    df: DataFrame, order: str, offset: int, limit: int | None = fixed.PAGE_SIZE
+    df: DataFrame,
+    order: str,
+    offset: int,
+    limit: int | None = fixed.PAGE_SIZE,
+    distinct: bool = False,
+    bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """One page in stable id order, or all rows from ``offset`` on (O1, O2).
 
-    Rows are ranked and the range is filtered, so a late page costs no more than an early one and
-    no task holds the rows before it. Rows come in no order of their own; sort by ``order``.
+    The page is a filter between its first and its last key, which a directory of the keys gives; see
+    ``page_directory``, also for many pages of one table. A late page costs no more than an early one
+    and no task holds the rows before it. ``order`` must be unique; with ``distinct`` the page is
+    ``limit`` keys with all their rows. Rows come in no order of their own; sort by ``order``.
     """
-    rank = F.col("rank")
-    wanted = rank >= offset if limit is None else (rank >= offset) & (rank < offset + limit)
-    names = [F.col(f"_row.`{name}`") for name in df.columns]
-    rows = df.select(F.col(order).alias("_key"), F.struct("*").alias("_row"))
-    return rank_rows(rows, "_key").where(wanted).select(*names)
+    directory = page_directory(df, order, distinct, bucket_rows)
+    return page_between(df, order, directory, offset, limit, distinct)
 
 
 def assign_pages(

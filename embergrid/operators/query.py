@@ -46,7 +46,8 @@ def feature_query(
     polygons ``geom_id`` whose box meets it. ``precision`` rounds point or edge coordinates and
     ``max_offset`` thins edges. The default order is that of the layer's id column;
     ``order_by=None`` leaves out the sort, for whole-layer reads that need no order. A page, by
-    ``offset`` or ``limit``, is cut by rank in that order, which must then be a unique number.
+    ``offset`` or ``limit``, is cut in that order, which must then be unique; on an edge table it
+    counts whole polygons.
     """
     rows = df.where(where)
     is_edges = set(COORDINATES) <= set(rows.columns)
@@ -64,7 +65,7 @@ def feature_query(
     if offset or limit is not None:
         if order_by is None:
             raise ValueError("a page needs an order")
-        rows = page_slice(rows, order_by, offset, limit)
+        rows = page_slice(rows, order_by, offset, limit, distinct=is_edges)
     if order_by is not None:
         rows = rows.orderBy(F.col(order_by).asc_nulls_first())
     return rows.select(fields)

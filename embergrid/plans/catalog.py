@@ -27,6 +27,7 @@ from embergrid.operators.features import (
     polygons_only,
 )
 from embergrid.operators.geometry import boxes_overlapping, edge_boxes, polygons_in_envelope, round_edges, thin_edges
+from embergrid.operators.page_directory import page_between, page_directory
 from embergrid.operators.paging import assign_pages, page_slice, page_status
 from embergrid.operators.query import feature_query
 from embergrid.operators.skew import BROADCAST_ROWS, lookup_join
@@ -204,6 +205,21 @@ def event_page_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_slice(events, "event_id", offset=fixed.PAGE_SIZE // 2)
 
 
+def part_page_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A late page in the order of a text, by a stored directory of many buckets."""
+    parts = inputs.table(spark, sf_dir, "part").select(
+        F.concat_ws(" ", "p_name", "p_partkey").alias("name"), "p_partkey"
+    )
+    path = scratch_path(spark, "page-directory")
+    page_directory(parts, "name", bucket_rows=100).write.parquet(path)
+    return page_between(parts, "name", spark.read.parquet(path), offset=750, limit=600)
+
+
+def edges_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of whole polygons of an edge table, through the feature query."""
+    return feature_query(inputs.edges(spark, sf_dir), offset=20, limit=50)
+
+
 def page_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = inputs.table(spark, sf_dir, "orders").select("o_orderkey")
     return assign_pages(orders, "o_orderkey")
@@ -485,4 +501,6 @@ QUERIES: dict[str, Query] = {
     "camera_feed_files": camera_feed_files,
     "layer_versions": layer_commits,
     "perimeters_in_envelope": perimeters_in_envelope,
+    "page_slice_by_text": part_page_by_name,
+    "edges_page": edges_page,
 }

@@ -385,6 +385,14 @@ ORACLE: dict[str, str] = {
         "SELECT event_id, event_type, value FROM events ORDER BY event_id "
         f"LIMIT {fixed.PAGE_SIZE} OFFSET {fixed.PAGE_SIZE // 2}"
     ),
+    "page_slice_by_text": (
+        "SELECT p_name || ' ' || p_partkey AS name, p_partkey FROM part ORDER BY name LIMIT 600 OFFSET 750"
+    ),
+    "edges_page": _with(
+        "SELECT * FROM fx_edges WHERE geom_id IN "
+        "(SELECT DISTINCT geom_id FROM fx_edges ORDER BY geom_id LIMIT 50 OFFSET 20)",
+        "fx_edges",
+    ),
     "page_numbers": (
         "SELECT o_orderkey, ROW_NUMBER() OVER (ORDER BY o_orderkey) - 1 AS rank, "
         f"(ROW_NUMBER() OVER (ORDER BY o_orderkey) - 1) // {fixed.PAGE_SIZE} AS page_no FROM orders"

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import datetime
 import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from embergrid.operators.page_directory import page_between, page_directory
 from embergrid.operators.paging import assign_pages, page_slice, page_status, rank_rows
 from embergrid.sources.landed_pages import (
     page_facts,
@@ -260,3 +262,45 @@ def test_page_slice_at_any_offset(spark):
     assert page_slice(frame, "id", 4990, None).count() == 10
     plan = late._jdf.queryExecution().toString()
     assert "CollectLimit" not in plan and "TakeOrdered" not in plan
+    assert "Window" not in plan.split("Physical Plan")[-1]
+
+
+KEYS = {
+    "BIGINT": [None, *range(-40, 60)],
+    "STRING": [None, "", "\u00e9", "Z", "a", "a b", "\U0001f600", *(f"k{n}" for n in range(90))],
+    "DATE": [datetime.date(2020, 1, 1) + datetime.timedelta(days=3 * n) for n in range(80)],
+    "DOUBLE": [None, -0.5, 0.25, float("inf"), float("nan"), *(n / 3 for n in range(1, 70))],
+}
+
+
+@pytest.mark.parametrize("kind", KEYS)
+def test_directory_gives_every_page_of_keys_of_any_type(spark, kind):
+    keys = KEYS[kind]
+    frame = spark.createDataFrame([(key, at) for at, key in enumerate(keys)], f"`a key` {kind}, rank INT")
+    in_order = [row.rank for row in frame.orderBy(frame["a key"].asc_nulls_first()).collect()]
+    directory = page_directory(frame, "a key", bucket_rows=9).cache()
+    assert directory.count() > 5
+    for offset, limit in [(0, 1), (0, 17), (8, 2), (9, 9), (33, 30), (len(keys) - 1, 5), (len(keys), 5), (3, 0), (50, None)]:
+        page = page_between(frame, "a key", directory, offset, limit)
+        end = None if limit is None else offset + limit
+        assert sorted(row.rank for row in page.collect()) == sorted(in_order[offset:end]), (offset, limit)
+
+
+def test_page_of_keys_with_many_rows_holds_all_their_rows(spark):
+    frame = spark.range(3000).select((F.col("id") % 30).alias("id"), F.col("id").alias("row"))
+    hot = frame.union(spark.range(1000).select(F.lit(7), F.col("id") + 3000))
+    page = page_slice(hot, "id", 5, 4, distinct=True, bucket_rows=10).groupBy("id").count()
+    assert {row["id"]: row["count"] for row in page.collect()} == {5: 100, 6: 100, 7: 1100, 8: 100}
+
+
+def test_page_of_an_empty_table(spark):
+    assert page_slice(spark.createDataFrame([], "id BIGINT"), "id", 0, 10).count() == 0
+
+
+def test_page_reaches_the_scan_as_a_key_range(spark, tmp_path):
+    spark.range(10_000).write.parquet(str(tmp_path / "t"))
+    page = page_slice(spark.read.parquet(str(tmp_path / "t")), "id", 4_000, 50)
+    plan = page._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(id,4000)" in plan and "LessThanOrEqual(id,4049)" in plan
+    assert "Exchange" not in plan
+    assert page.count() == 50
