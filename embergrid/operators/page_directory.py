@@ -33,7 +33,10 @@ def page_directory(
     shuffled, by range; a key is in one bucket. Planning runs a count and Spark's sample of the keys.
     """
     keys = _keys(df, order, distinct)
-    buckets = min(MAX_BUCKETS, max(1, -(-keys.count() // bucket_rows)))
+    return _buckets(keys, min(MAX_BUCKETS, max(1, -(-keys.count() // bucket_rows))))
+
+
+def _buckets(keys: DataFrame, buckets: int) -> DataFrame:
     placed = keys.repartitionByRange(buckets, "key")
     sizes = placed.groupBy(F.spark_partition_id().alias("bucket")).agg(
         F.min("key").alias("first"),
@@ -62,7 +65,7 @@ def page_between(
     """
     if limit is not None and limit <= 0:
         return df.where(F.lit(False))
-    ends = [offset] if limit is None else [offset, offset + limit - 1]
+    ends = _ends(offset, limit)
     holding = F.lit(False)
     for rank in ends:
         holding |= (F.col("start") <= rank) & (F.lit(rank) < F.col("start") + F.col("rows"))
@@ -70,7 +73,35 @@ def page_between(
     found = directory.where(holding).orderBy("start").collect()
     if not found or found[0]["start"] > offset:
         return df.where(F.lit(False))
-    at = _keys_at(_keys(df, order, distinct), found, ends)
+    return _between(df, order, _keys_at(_keys(df, order, distinct), found, ends), offset, limit)
+
+
+def page_of(
+    df: DataFrame,
+    order: str,
+    offset: int,
+    limit: int | None = None,
+    distinct: bool = False,
+    bucket_rows: int = BUCKET_ROWS,
+) -> DataFrame:
+    """``page_between`` by a directory made for this page alone; none is needed within one bucket."""
+    keys = _keys(df, order, distinct)
+    total = keys.count()
+    if total > bucket_rows:
+        directory = _buckets(keys, min(MAX_BUCKETS, -(-total // bucket_rows)))
+        return page_between(df, order, directory, offset, limit, distinct)
+    if offset >= total or (limit is not None and limit <= 0):
+        return df.where(F.lit(False))
+    return _between(df, order, _ranked(keys.withColumn("start", F.lit(0)), _ends(offset, limit)), offset, limit)
+
+
+def _ends(offset: int, limit: int | None) -> list[int]:
+    """Ranks of the first and the last key of a page; only the first of one without a limit."""
+    return [offset] if limit is None else [offset, offset + limit - 1]
+
+
+def _between(df: DataFrame, order: str, at: dict[int, object], offset: int, limit: int | None) -> DataFrame:
+    ends = _ends(offset, limit)
     kind = df.schema[order].dataType
     key, wanted = F.col(f"`{order}`"), F.lit(True)
     if at[offset] is not None:
@@ -104,7 +135,11 @@ def _keys_at(keys: DataFrame, buckets: list[Row], ranks: list[int]) -> dict[int,
     inside = F.lit(False)
     for bucket in buckets:
         inside |= _within(keys, bucket)
-    near = keys.where(inside).withColumn("start", start)
+    return _ranked(keys.where(inside).withColumn("start", start), ranks)
+
+
+def _ranked(near: DataFrame, ranks: list[int]) -> dict[int, object]:
+    """Keys at ``ranks``, where ``start`` keys come before those with the same ``start``."""
     place = F.row_number().over(Window.partitionBy("start").orderBy("key")) - 1
     ranked = near.withColumn("rank", F.col("start") + place)
     return {row["rank"]: row["key"] for row in ranked.where(F.col("rank").isin(ranks)).collect()}

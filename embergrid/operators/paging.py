@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from embergrid import fixed_values as fixed
-from embergrid.operators.page_directory import BUCKET_ROWS, page_between, page_directory
+from embergrid.operators.page_directory import BUCKET_ROWS, page_of
 
 # Rows looked at per bucket when choosing cuts; a hundred keep buckets within about a third of even.
 SAMPLES_PER_BUCKET = 100
@@ -85,8 +85,7 @@ def page_slice(
     and no task holds the rows before it. ``order`` must be unique; with ``distinct`` the page is
     ``limit`` keys with all their rows. Rows come in no order of their own; sort by ``order``.
     """
-    directory = page_directory(df, order, distinct, bucket_rows)
-    return page_between(df, order, directory, offset, limit, distinct)
+    return page_of(df, order, offset, limit, distinct, bucket_rows)
 
 
 def assign_pages(
