@@ -42,6 +42,7 @@ from embergrid.plans.layers import (
     load_status,
     publish_layers,
     read_layers,
+    read_visible_features,
     require_complete,
     visible_features,
     with_shape,
@@ -56,7 +57,7 @@ from embergrid.sources.landed_pages import (
     property_text,
     refetch_list,
 )
-from embergrid.sources.sinks import geojson_lines
+from embergrid.sources.sinks import geojson_lines, write_features
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -361,6 +362,20 @@ def shown_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return visible_features(features, {"prescribed": True}).select("layer", "feature_id")
 
 
+def shown_by_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Published features by a group table read at run time: one layer in two groups, one in none."""
+    path = scratch_path(spark, "features")
+    layers = {name: frame for name, frame in _layers(spark, sf_dir).items() if name != "perimeters"}
+    write_features(union_of_layers(layers), path, tuple(layers))
+    # Groups from the regions: the first two hold fires, off and on, the third burns and the fourth cameras.
+    sources = F.array(*map(F.lit, ("fires", "fires", "burns", "cameras")))
+    groups = inputs.table(spark, sf_dir, "region").select(
+        F.get(sources, F.col("r_regionkey").cast("int")).alias("source"),
+        (F.col("r_regionkey") % 2 == 1).alias("visible"),
+    )
+    return read_visible_features(spark, path, groups).select("layer", "feature_id", "geom_type")
+
+
 def feature_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points and polygons as GeoJSON lines, with text and number properties."""
     fires = numeric_property(
@@ -501,6 +516,7 @@ QUERIES: dict[str, Query] = {
     "camera_feed_files": camera_feed_files,
     "layer_versions": layer_commits,
     "perimeters_in_envelope": perimeters_in_envelope,
+    "visible_features_by_groups": shown_by_groups,
     "page_slice_by_text": part_page_by_name,
     "edges_page": edges_page,
 }

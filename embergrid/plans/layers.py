@@ -38,6 +38,7 @@ from embergrid.sources.landed_pages import (
     page_outcomes,
     property_text,
 )
+from embergrid.sources.sinks import read_features
 
 log = logging.getLogger(__name__)
 
@@ -434,3 +435,19 @@ def visible_features(features: DataFrame, visible: Mapping[str, bool] | None = N
     shown = {source for _, _, source, on in rows if on}
     hidden = sorted({source for _, _, source, _ in rows} - shown)
     return features.where(F.coalesce(~F.col("layer").isin(*hidden), F.lit(True)))
+
+
+def read_visible_features(spark: SparkSession, path: str, groups: DataFrame) -> DataFrame:
+    """Features of a published table that a group table of the caller's does not hide.
+
+    ``groups``: ``source, visible``, one row per group and source layer, as ``layer_groups`` gives. A
+    layer is shown when any of its groups is on, or when it is in none; a NULL ``visible`` is off, and
+    a NULL ``source`` counts for nothing. The groups are read when the query runs. The layers that the
+    table has, which the commit log names, are joined with it and the rest are not read: the join
+    prunes the partitions of ``layer`` at run time.
+    """
+    on = F.max(F.coalesce("visible", F.lit(False)).cast("int"))
+    hidden = groups.groupBy(F.col("source").alias("layer")).agg(on.alias("shows")).where(F.col("shows") < 1)
+    # One row per layer on both sides.
+    shown = versions.current(spark, path).where(F.col("rows") > 0).select("layer").join(hidden, "layer", "left_anti")
+    return read_features(spark, path).join(F.broadcast(shown), "layer", "left_semi")

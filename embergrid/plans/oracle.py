@@ -416,6 +416,14 @@ ORACLE: dict[str, str] = {
         focus=FOCUS,
         all_features=FEATURES,
     ),
+    "visible_features_by_groups": _with(
+        "SELECT layer, feature_id, geom_type FROM all_features "
+        "WHERE layer IN ('fires', 'cameras', 'boundary')",
+        *LAYER_TABLES,
+        in_state=STATE_CAMERAS,
+        focus=FOCUS,
+        all_features=FEATURES,
+    ),
     "feature_lines": _with(
         "SELECT 'fires' AS layer, '{\"type\":\"Feature\",\"id\":\"' || objectid || "
         "'\",\"geometry\":{\"type\":\"Point\",\"coordinates\":[' || lon || ',' || lat || "

@@ -25,10 +25,11 @@ from embergrid.plans.layers import (
     loaders,
     publish_layers,
     read_layers,
+    read_visible_features,
     require_complete,
     visible_features,
 )
-from embergrid.schemas import LANDED_PAGE, LAYERS, empty_frame
+from embergrid.schemas import FEATURES, LANDED_PAGE, LAYERS, empty_frame
 from embergrid.sources.camera_feed import camera_records, feed_shapes, read_camera_feed
 from embergrid.sources.landed_pages import read_landed_pages
 from embergrid.sources import versions
@@ -385,3 +386,27 @@ def test_camera_items_that_are_no_objects_are_skipped(spark):
     for bad in ("[1] oops", "[1],[2]", "[1]]", '{"a":1}', "", None):
         with pytest.raises(PySparkException, match=fixed.CAMERA_PAYLOAD_ERROR):
             camera_records(spark.createDataFrame([(bad,)], "payload STRING")).collect()
+
+
+def test_group_table_of_the_caller_prunes_layers_at_run_time(spark, tmp_path):
+    path = str(tmp_path / "features")
+    features = spark.createDataFrame(
+        [(layer, str(at), "Point", 0.0, 0.0, None, "{}") for layer in "abcd" for at in range(3)], FEATURES
+    )
+    write_features(features, path, list("abcde"))
+
+    def shown(*groups):
+        table = spark.createDataFrame(groups, "source STRING, visible BOOLEAN")
+        return read_visible_features(spark, path, table)
+
+    def layers(*groups):
+        return {row["layer"] for row in shown(*groups).collect()}
+
+    assert layers(("a", False), ("b", True)) == set("bcd")
+    assert layers(("a", False), ("a", True), ("b", None), (None, False), ("x", False)) == set("acd")
+    assert layers() == set("abcd")
+    assert layers(*[(layer, False) for layer in "abcd"]) == set()
+    rows = shown(("a", False), ("b", False))
+    assert rows.columns == features.columns
+    assert rows.count() == 6
+    assert "dynamicpruning" in rows._jdf.queryExecution().executedPlan().toString()
