@@ -58,6 +58,7 @@ from embergrid.sources.landed_pages import (
     refetch_list,
 )
 from embergrid.sources.sinks import geojson_lines, write_features
+from embergrid.streaming.page_facts import read_facts, record_facts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -190,6 +191,23 @@ def page_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_status(pages, inputs.EVENT_PAGE_SIZE).select("layer", "status", "pages")
 
 
+def recorded_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page-set status from facts stored while pages land: the broken sets in two landings, none twice."""
+    landed, path = scratch_path(spark, "landed"), scratch_path(spark, "page-facts")
+    # The landing is told by the offset, so every layer comes in both.
+    pages = inputs.broken_event_pages(spark, sf_dir).persist()
+    try:
+        for part in (0, 1):
+            own = pages.where(F.floor(F.col("result_offset") / inputs.EVENT_PAGE_SIZE) % 2 == part)
+            own.write.mode("append").parquet(landed)
+            record_facts(spark, landed, path)
+    finally:
+        pages.unpersist()
+    good = read_facts(spark, path).where(F.col("outcome") == "ok")
+    status = page_status(good, inputs.EVENT_PAGE_SIZE)
+    return status.select("layer", "status", "pages")
+
+
 def paged_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     features = page_features(inputs.landed_event_pages(spark, sf_dir))
     return features.select(
@@ -517,6 +535,7 @@ QUERIES: dict[str, Query] = {
     "layer_versions": layer_commits,
     "perimeters_in_envelope": perimeters_in_envelope,
     "visible_features_by_groups": shown_by_groups,
+    "page_completeness_recorded": recorded_completeness,
     "page_slice_by_text": part_page_by_name,
     "edges_page": edges_page,
 }

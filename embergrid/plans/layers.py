@@ -76,17 +76,20 @@ class IncompletePages(Exception):
     """The landed pages of a layer are not a whole layer."""
 
 
-def require_complete(pages: DataFrame, page_size: int = fixed.PAGE_SIZE) -> int:
+def require_complete(
+    pages: DataFrame, page_size: int = fixed.PAGE_SIZE, facts: DataFrame | None = None
+) -> int:
     """Offset of the last page of one layer; raises when its landed pages are not a whole layer.
 
     The reason is the first page that failed and was not fetched again, if there is one. One row
-    comes back to the driver.
+    comes back to the driver. With the stored ``facts`` of the pages, no body is parsed for it.
     """
-    state = page_status(page_facts(pages), page_size).first()
+    good = page_facts(pages) if facts is None else facts.where(F.col("outcome") == "ok")
+    state = page_status(good, page_size).first()
     if state is not None and state["status"] == "complete":
         return state["stop_at"]
     failed = (
-        page_outcomes(pages)
+        (page_outcomes(pages) if facts is None else facts)
         .groupBy("result_offset")
         .agg(F.bool_or(F.col("outcome") == "ok").alias("ok"), F.max("message").alias("message"))
         .where(~F.col("ok"))
@@ -221,15 +224,22 @@ def edges_of(
     return edges if decimals is None else round_edges(edges, decimals)
 
 
-def loaders(spark: SparkSession, camera_path: str, pages: DataFrame) -> dict[str, Loader]:
-    """A loader per layer. ``pages`` is the landed page table of all paged layers."""
+def loaders(
+    spark: SparkSession, camera_path: str, pages: DataFrame, facts: DataFrame | None = None
+) -> dict[str, Loader]:
+    """A loader per layer. ``pages`` is the landed page table of all paged layers.
+
+    With ``facts``, those of the same pages as ``record_facts`` stores them, a load parses each body
+    once, to build the layer.
+    """
 
     def paged(
         layer: str, build: Callable[[DataFrame], DataFrame], page_size: int = fixed.PAGE_SIZE
     ) -> Loader:
         def load() -> DataFrame:
             own = pages.where(F.col("layer") == layer)
-            last = require_complete(own, page_size)
+            own_facts = None if facts is None else facts.where(F.col("layer") == layer)
+            last = require_complete(own, page_size, own_facts)
             return build(own.where(F.col("result_offset") <= last))
 
         return load

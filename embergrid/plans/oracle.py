@@ -369,6 +369,11 @@ ORACLE: dict[str, str] = {
         f"WITH {PAGE_STATES} SELECT layer, status, (SELECT COUNT(*) FROM pages_in p "
         "WHERE p.layer = states.layer) AS pages FROM states"
     ),
+    # The landed pages lack the stray empty end that the page table has for one layer.
+    "page_completeness_recorded": (
+        f"WITH {PAGE_STATES} SELECT layer, status, (SELECT COUNT(*) FROM pages_in p WHERE p.layer = "
+        "states.layer AND (p.page_len > 0 OR states.layer <> 'click')) AS pages FROM states"
+    ),
     # The landed pages lack the stray end of the page table.
     "load_status": (
         f"WITH {PAGE_STATES} SELECT layer, status = 'complete' AS ok, CASE status "

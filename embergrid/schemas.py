@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 LANDED_PAGE = "layer STRING, result_offset BIGINT, http_status INT, body STRING"
 
+PAGE_FACTS = (
+    "layer STRING, result_offset BIGINT, http_status INT, outcome STRING, retryable BOOLEAN, "
+    "message STRING, page_len BIGINT, exceeded BOOLEAN"
+)
+
 EDGES = "geom_id BIGINT, ring INT, seq INT, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE"
 
 LAYERS = {

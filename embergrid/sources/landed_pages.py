@@ -132,16 +132,25 @@ def page_outcomes(pages: DataFrame) -> DataFrame:
 
 
 def page_facts(pages: DataFrame) -> DataFrame:
-    """Good pages with their length and transfer-limit flag.
+    """Good pages with their length and transfer-limit flag."""
+    return _measured(page_outcomes(pages).where(F.col("outcome") == "ok"))
+
+
+def page_measures(pages: DataFrame) -> DataFrame:
+    """All pages with outcome, length and flag; the latter two say nothing about a page that is not ``ok``."""
+    return _measured(page_outcomes(pages))
+
+
+def _measured(outcomes: DataFrame) -> DataFrame:
+    """Adds ``items``, ``page_len`` and ``exceeded``.
 
     The flag is the root one, or the one under ``properties`` when the root one is missing or
     null; only a true boolean counts.
     """
-    good = page_outcomes(pages).where(F.col("outcome") == "ok")
     root = _part(".exceededTransferLimit")
     nested = _part(".properties.exceededTransferLimit")
     parts = with_once(
-        good,
+        outcomes,
         flag=F.when(root.isNull() | (_kind(root) == "VOID"), nested).otherwise(root),
         items=_part(".features", "array<variant>"),
     )

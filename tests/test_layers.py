@@ -35,6 +35,7 @@ from embergrid.sources.landed_pages import read_landed_pages
 from embergrid.sources import versions
 from embergrid.sources.sinks import read_features, read_geojson_lines, write_features, write_geojson_lines
 from embergrid.streaming.landed_stream import append_layer, stream_landed_pages
+from embergrid.streaming.page_facts import read_facts, record_facts
 
 CAMERAS = [
     {
@@ -410,3 +411,32 @@ def test_group_table_of_the_caller_prunes_layers_at_run_time(spark, tmp_path):
     assert rows.columns == features.columns
     assert rows.count() == 6
     assert "dynamicpruning" in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stored_facts_take_each_landed_file_once_and_decide_as_bodies_do(spark, tmp_path):
+    folder, path = str(tmp_path / "pages"), str(tmp_path / "facts")
+
+    def land(*rows):
+        spark.createDataFrame(rows, LANDED_PAGE).coalesce(1).write.mode("append").parquet(folder)
+        record_facts(spark, folder, path)
+        facts, pages = read_facts(spark, path), read_landed_pages(spark, folder)
+        assert facts.count() == pages.count()
+        return facts, pages
+
+    def verdict(pages, facts):
+        try:
+            return require_complete(pages, 2, facts)
+        except IncompletePages as error:
+            return str(error)
+
+    facts, pages = land(page("fires", 0, FIRES[:2], exceeded=True), ("fires", 2, 503, "<html>"))
+    assert verdict(pages, facts) == verdict(pages, None) == "ArcGIS returned invalid JSON (HTTP 503): <html>"
+    facts, pages = land(page("fires", 2, FIRES[2:]), ("fires", 9, None, None))
+    # A whole set needs no page at all.
+    assert verdict(None, facts) == verdict(pages, None) == 2
+    record_facts(spark, folder, path)
+    assert read_facts(spark, path).count() == 4
+    row = read_facts(spark, path).where("outcome = 'invalid_json'").first()
+    assert (row.result_offset, row.retryable, row.page_len, row.exceeded) == (2, True, None, None)
+    layers = loaders(spark, "", pages.where("result_offset < 9"), facts)
+    assert layers["fires"]().count() == 2
