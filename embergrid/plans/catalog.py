@@ -40,6 +40,7 @@ from embergrid.plans.layers import (
     edges_of,
     layer_versions,
     load_status,
+    loaders,
     publish_layers,
     read_layers,
     read_visible_features,
@@ -51,13 +52,15 @@ from embergrid.plans.layers import features_union as union_of_layers
 from embergrid.session import scratch_path
 from embergrid.sources.camera_feed import camera_records, payload_shapes, read_camera_feed
 from embergrid.sources.landed_pages import (
+    NUMBER_KIND,
     page_facts,
     page_features,
     page_outcomes,
     property_text,
+    read_landed_pages,
     refetch_list,
 )
-from embergrid.sources.sinks import geojson_lines, write_features
+from embergrid.sources.sinks import geojson_lines, read_features, write_features
 from embergrid.streaming.page_facts import read_facts, record_facts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -359,6 +362,38 @@ def layer_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return current.join(read[0].unionByName(read[1]).unionByName(read[2]), "layer")
 
 
+def layers_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shipped loaders over landed feeds and pages, published, and read back as one feature table."""
+    feed, landed = scratch_path(spark, "feed"), scratch_path(spark, "landed")
+    facts, layers, features = (scratch_path(spark, name) for name in ("page-facts", "layers", "features"))
+    inputs.camera_payloads(spark, sf_dir, 5_000).write.partitionBy("feed").text(feed)
+    inputs.landed_layers(spark, sf_dir).write.parquet(landed)
+    record_facts(spark, landed, facts)
+    pages = read_landed_pages(spark, landed)
+    publish_layers(spark, loaders(spark, f"{feed}/*/*", pages, read_facts(spark, facts)), layers)
+    write_features(union_of_layers(read_layers(spark, layers)), features)
+
+    def number(name: str):
+        value = F.try_variant_get("sent", f"$.{name}", "variant")
+        return F.when(F.schema_of_variant(value).rlike(NUMBER_KIND), F.try_variant_get(value, "$", "double"))
+
+    def named(key: str):
+        return F.get_json_object("properties", f"$.{key}")
+
+    return read_features(spark, features).select(
+        "layer",
+        "feature_id",
+        "geom_type",
+        "lon",
+        "lat",
+        F.coalesce(named("name"), named("IncidentName"), named("attr_IncidentName"), named("kind")).alias("name"),
+        F.coalesce(number("IncidentSize"), number("poly_GISAcres"), number("acreage")).alias("size"),
+        named("acres").cast("double").alias("acres"),
+        F.size(F.json_object_keys("properties")).alias("n_properties"),
+        F.col("geometry").isNotNull().alias("has_geometry"),
+    )
+
+
 def features_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     def named(key: str):
         return F.get_json_object("properties", f"$.{key}")
@@ -534,6 +569,7 @@ QUERIES: dict[str, Query] = {
     "camera_feed_files": camera_feed_files,
     "layer_versions": layer_commits,
     "perimeters_in_envelope": perimeters_in_envelope,
+    "layers_loaded": layers_loaded,
     "visible_features_by_groups": shown_by_groups,
     "page_completeness_recorded": recorded_completeness,
     "page_slice_by_text": part_page_by_name,

@@ -6,9 +6,10 @@ valid in Spark and in the checking database, so both sides read the same values.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from embergrid import fixed_values as fixed
 from embergrid.operators.geometry import polygon_edges
 from embergrid.operators.paging import assign_pages
 
@@ -279,6 +280,103 @@ def burn_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived(spark, sf_dir, "fx_burns").withColumn("geometry", text).drop("lon", "lat")
 
 
+def landed_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four paged layers as landed response pages, with numbers sent as numbers."""
+
+    def pages(layer: str, rows: DataFrame, size: int) -> DataFrame:
+        feature = F.concat(
+            F.lit('{"type":"Feature","id":'),
+            F.col("key").cast("string"),
+            F.lit(',"geometry":'),
+            F.col("geometry"),
+            F.lit(',"properties":'),
+            F.col("sent"),
+            F.lit("}"),
+        )
+        in_order = F.array_sort(F.collect_list(F.struct("rank", feature.alias("text"))))
+        more = F.when(F.count("*") == size, "true").otherwise("false")
+        body = F.concat(
+            F.lit('{"features":['),
+            F.array_join(F.transform(in_order, lambda item: item["text"]), ","),
+            F.lit('],"exceededTransferLimit":'),
+            more,
+            F.lit("}"),
+        )
+        filled = (
+            assign_pages(rows, "key", size)
+            .groupBy("page_no")
+            .agg(F.min("rank").alias("result_offset"), body.alias("body"))
+        )
+        # A full last page is followed by an empty one.
+        end = rows.agg(F.count("*").alias("result_offset")).where(F.col("result_offset") % size == 0)
+        empty = end.withColumn("body", F.lit('{"features":[]}'))
+        return (
+            filled.select("result_offset", "body")
+            .unionByName(empty)
+            .select(F.lit(layer).alias("layer"), "result_offset", F.lit(200).alias("http_status"), "body")
+        )
+
+    def sent(fields: tuple[str, ...], *values: str) -> Column:
+        named = [F.expr(value).alias(field) for field, value in zip(fields, values)]
+        return F.to_json(F.struct(*named))
+
+    point = F.to_json(F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates")))
+    fires = derived(spark, sf_dir, "fx_fires").select(
+        F.col("objectid").alias("key"),
+        point.alias("geometry"),
+        sent(
+            fixed.FIRE_FIELDS,
+            "incident_name",
+            "try_cast(incident_size AS DOUBLE)",
+            "percent_contained",
+            "poo_county",
+            "poo_state",
+        ).alias("sent"),
+    )
+    perimeters = derived(spark, sf_dir, "fx_perimeters").join(polygon_geojson(spark, sf_dir), "geom_id")
+    perimeters = perimeters.select(
+        F.col("geom_id").alias("key"),
+        "geometry",
+        sent(
+            fixed.PERIMETER_FIELDS,
+            "poly_incident_name",
+            "attr_incident_name",
+            "try_cast(poly_gisacres AS DOUBLE)",
+            "attr_percent_contained",
+            "attr_poo_county",
+            "attr_poo_state",
+        ).alias("sent"),
+    )
+    by_number = sent(fixed.BURN_FIELDS, "name", "start_ms", "watchduty_url", "acreage")
+    by_text = sent(fixed.BURN_FIELDS, "name", "start_text", "watchduty_url", "acreage")
+    burns = burn_features(spark, sf_dir).select(
+        F.col("event_id").alias("key"),
+        "geometry",
+        F.when(F.col("start_ms").isNotNull(), by_number).otherwise(by_text).alias("sent"),
+    )
+    # A square per state; every second is a set of one, the first two are points.
+    corners = [(-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1)]
+    ring = ",".join(f"array(oid - 120 + {dx}, 44 + {dy})" for dx, dy in corners)
+    square = F.expr(f"to_json(array(array({ring})))")
+    coordinates = (
+        F.when(F.col("geom_type") == "Point", F.lit("[-120,44]"))
+        .when(F.col("geom_type") == "Polygon", square)
+        .otherwise(F.concat(F.lit("["), square, F.lit("]")))
+    )
+    shape = F.concat(F.lit('{"type":"'), "geom_type", F.lit('","coordinates":'), coordinates, F.lit("}"))
+    boundary = derived(spark, sf_dir, "fx_boundary").select(
+        F.col("oid").alias("key"),
+        shape.alias("geometry"),
+        sent(fixed.BOUNDARY_FIELDS, "state_fips", "geoid").alias("sent"),
+    )
+    return (
+        pages("fires", fires, fixed.PAGE_SIZE)
+        .unionByName(pages("perimeters", perimeters, fixed.PERIMETER_PAGE_SIZE))
+        .unionByName(pages("burns", burns, fixed.PAGE_SIZE))
+        .unionByName(pages("boundary", boundary, fixed.PAGE_SIZE))
+    )
+
+
 def event_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with their rank and page within their type, which serves as the layer."""
     events = table(spark, sf_dir, "events").select(

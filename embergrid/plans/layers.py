@@ -111,6 +111,10 @@ def _geometry_text() -> Column:
     return F.to_json("geometry").alias("geometry")
 
 
+def _sent() -> Column:
+    return F.col("properties").alias("sent")
+
+
 def camera_layer(records: DataFrame) -> DataFrame:
     """Cameras from raw records."""
     return camera_features(records)
@@ -120,7 +124,7 @@ def fire_layer(pages: DataFrame) -> DataFrame:
     """Fire incidents of the state, with ``acres``."""
     fires = (
         point_columns(page_features(pages))
-        .select("feature_id", *_texts(fixed.FIRE_FIELDS, FIRE_COLUMNS), "lon", "lat")
+        .select("feature_id", *_texts(fixed.FIRE_FIELDS, FIRE_COLUMNS), "lon", "lat", _sent())
         .where(F.col("poo_state") == fixed.STATE_CODE)
     )
     return numeric_property(fires, "acres", ["incident_size"])
@@ -135,6 +139,7 @@ def perimeter_layer(pages: DataFrame) -> DataFrame:
             *_texts(fixed.PERIMETER_FIELDS, PERIMETER_COLUMNS),
             "geom_type",
             _geometry_text(),
+            _sent(),
         )
         .where(F.col("attr_poo_state") == fixed.STATE_CODE)
     )
@@ -159,6 +164,7 @@ def burn_layer(pages: DataFrame) -> DataFrame:
         property_text("acreage").alias("acreage"),
         "lon",
         "lat",
+        _sent(),
     )
     return in_bounds(burns)
 
@@ -171,6 +177,7 @@ def boundary_layer(pages: DataFrame) -> DataFrame:
             *_texts(fixed.BOUNDARY_FIELDS, ("state_fips", "geoid")),
             "geom_type",
             _geometry_text(),
+            _sent(),
         ),
         "state_fips",
         fixed.STATE_FIPS,
@@ -370,12 +377,20 @@ def read_layers(
 
 
 def as_features(
-    df: DataFrame, layer: str, feature_id: str, properties: tuple[str, ...], geom_type: str
+    df: DataFrame,
+    layer: str,
+    feature_id: str,
+    properties: tuple[str, ...],
+    geom_type: str,
+    derived: tuple[str, ...] = (),
 ) -> DataFrame:
     """A layer in the common feature shape; a ``geom_type`` column wins over the given type.
 
     ``geometry`` is GeoJSON text: the layer's own, or that of its point. ``properties`` is a JSON
-    object without missing values, in which numbers stay numbers.
+    object. Where the layer has its properties as ``sent``, the object is these, each with the type it
+    came with, and the ``derived`` ones that were not sent under that name; else it is made of both
+    lists of columns, without missing values. ``sent`` stays a VARIANT, NULL where the layer has none:
+    it is stored in typed parts, so a filter on one property reads that part only and skips row groups.
     """
     present = set(df.columns)
 
@@ -389,6 +404,10 @@ def as_features(
         point = F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates"))
         placed = F.col("lon").isNotNull() & F.col("lat").isNotNull()
         geometry = F.when(placed, F.to_json(point))
+    if "sent" in present:
+        text, sent = _sent_and(derived), F.col("sent")
+    else:
+        text, sent = F.to_json(F.struct(*properties, *derived)), F.lit(None).cast("variant")
     return df.select(
         F.lit(layer).alias("layer"),
         F.col(feature_id).cast("string").alias("feature_id"),
@@ -396,17 +415,35 @@ def as_features(
         coordinate("lon"),
         coordinate("lat"),
         geometry.alias("geometry"),
-        F.to_json(F.struct(*properties)).alias("properties"),
+        text.alias("properties"),
+        sent.alias("sent"),
+    )
+
+
+def _sent_and(derived: tuple[str, ...]) -> Column:
+    """JSON text of the ``sent`` object, with the derived columns that it has no key for."""
+    is_object = F.coalesce(F.schema_of_variant("sent").startswith("OBJECT"), F.lit(False))
+    sent = F.when(is_object, F.to_json("sent")).otherwise("{}")
+    if not derived:
+        return sent
+    missing = [
+        F.when(F.try_variant_get("sent", f"$.{name}", "variant").isNull(), F.col(name)).alias(name)
+        for name in derived
+    ]
+    own = F.to_json(F.struct(*missing))
+    # JSON text holds no line break of its own, so the joint of the two is the only one.
+    return F.when(own == "{}", sent).when(sent == "{}", own).otherwise(
+        F.regexp_replace(F.concat_ws("\n", sent, own), r"\}\n\{", ",")
     )
 
 
-# Id, properties and geometry type of each layer in the feature table.
+# Id, properties, geometry type and derived properties of each layer in the feature table.
 FEATURE_SHAPES = {
     "cameras": ("id", ("id", "name", "pan", "image", "state", "county"), "Point"),
-    "fires": ("feature_id", (*FIRE_COLUMNS, "acres"), "Point"),
+    "fires": ("feature_id", FIRE_COLUMNS, "Point", ("acres",)),
     "perimeters": ("feature_id", PERIMETER_COLUMNS, "Polygon"),
     "burns": ("feature_id", ("name", "start_ms", "start_text", "watchduty_url", "acreage"), "Point"),
-    "boundary": ("oid", ("state_fips", "geoid", "kind"), "Polygon"),
+    "boundary": ("oid", ("state_fips", "geoid"), "Polygon", ("kind",)),
 }
 
 

@@ -182,6 +182,29 @@ FEATURES = (
     f"1 + {_count('state_fips', 'geoid')}, FALSE "
     "FROM fx_boundary b CROSS JOIN focus WHERE geom_type <> 'Point'"
 )
+_SIZE = "TRY_CAST(incident_size AS DOUBLE)"
+_GIS_ACRES = "TRY_CAST(poly_gisacres AS DOUBLE)"
+LOADED = (
+    "SELECT 'cameras' AS layer, id AS feature_id, 'Point' AS geom_type, lon, lat, name, "
+    "CAST(NULL AS DOUBLE) AS size, CAST(NULL AS DOUBLE) AS acres, "
+    f"{_count('id', 'name', 'pan', 'image', 'state', 'county')} AS n_properties, "
+    "TRUE AS has_geometry FROM in_state UNION ALL "
+    f"SELECT 'fires', CAST(objectid AS STRING), 'Point', lon, lat, incident_name, {_SIZE}, {_SIZE}, "
+    f"{_count('incident_name', 'percent_contained', 'poo_county', 'poo_state', _SIZE, _SIZE)}, TRUE "
+    f"FROM fx_fires WHERE poo_state = '{fixed.STATE_CODE}' UNION ALL "
+    "SELECT 'perimeters', CAST(geom_id AS STRING), "
+    "CASE WHEN geom_id % 3 = 0 THEN 'MultiPolygon' ELSE 'Polygon' END, NULL, NULL, "
+    f"attr_incident_name, {_GIS_ACRES}, NULL, "
+    f"{_count('poly_incident_name', 'attr_incident_name', 'poly_gisacres', 'attr_percent_contained', 'attr_poo_county', 'attr_poo_state')}, "
+    f"TRUE FROM fx_perimeters WHERE attr_poo_state = '{fixed.STATE_CODE}' UNION ALL "
+    "SELECT 'burns', CAST(event_id AS STRING), 'Point', lon, lat, name, acreage, NULL, "
+    f"{_count('name', 'coalesce(CAST(start_ms AS STRING), start_text)', 'watchduty_url', 'acreage')}, TRUE "
+    f"FROM fx_burns WHERE {IN_BOUNDS} AND geom_type <> 'Polygon' UNION ALL "
+    "SELECT 'boundary', CAST(b.oid AS STRING), geom_type, NULL, NULL, "
+    "CASE WHEN b.oid = focus.oid THEN 'oregon' ELSE 'outside' END, NULL, NULL, "
+    f"1 + {_count('state_fips', 'geoid')}, TRUE FROM fx_boundary b CROSS JOIN focus "
+    f"WHERE geom_type <> 'Point' AND state_fips IN {fixed.STATE_FIPS}"
+)
 LAYER_TABLES = ("fx_cameras", "fx_fires", "fx_perimeters", "fx_burns", "fx_boundary")
 
 PERIMETER_CARDS = (
@@ -413,6 +436,7 @@ ORACLE: dict[str, str] = {
         focus=FOCUS,
     ),
     "features_union": _with(FEATURES, *LAYER_TABLES, in_state=STATE_CAMERAS, focus=FOCUS),
+    "layers_loaded": _with(LOADED, *LAYER_TABLES, in_state=STATE_CAMERAS, focus=FOCUS),
     "visible_features": _with(
         "SELECT layer, feature_id FROM all_features "
         "WHERE layer IN ('cameras', 'burns', 'boundary')",

@@ -191,7 +191,7 @@ def test_one_broken_layer_leaves_the_others(spark, landed, layer, tmp_path):
 def test_publish_replaces_the_whole_layer(spark, tmp_path):
     out = str(tmp_path / "layers")
     burns = empty_frame(spark, LAYERS["burns"])
-    row = ("1", "a", None, None, None, None, -120.0, 43.0)
+    row = ("1", "a", None, None, None, None, -120.0, 43.0, None)
     full = spark.createDataFrame([row], LAYERS["burns"])
     assert publish_layers(spark, {"burns": lambda: full}, out).first().rows == 1
     assert read_layers(spark, out)["burns"].count() == 1
@@ -211,9 +211,9 @@ def lost_executor():
 
 def test_errors_that_are_no_data_errors_keep_the_last_version(spark, tmp_path):
     out = str(tmp_path / "layers")
-    row = ("1", "a", None, None, None, None, -120.0, 43.0)
+    row = ("1", "a", None, None, None, None, -120.0, 43.0, None)
     full = spark.createDataFrame([row], LAYERS["burns"])
-    fire = ("1", *[None] * 6, -120.0, 43.0, 1.0)
+    fire = ("1", *[None] * 6, -120.0, 43.0, 1.0, None)
     fires = spark.createDataFrame([fire], LAYERS["fires"])
     publish_layers(spark, {"burns": lambda: full, "fires": lambda: fires}, out)
 
@@ -322,7 +322,7 @@ def test_geojson_lines(spark, landed, tmp_path):
     lines = lines_of("fires")
     by_id = {line["id"]: line for line in lines}
     assert by_id["1"]["geometry"] == {"type": "Point", "coordinates": [-121.0, 44.0]}
-    assert by_id["1"]["properties"]["incident_name"] == "Ash"
+    assert by_id["1"]["properties"]["IncidentName"] == "Ash"
     assert by_id["1"]["properties"]["acres"] == 1234.5
     lines = lines_of("boundary")
     assert {line["geometry"]["type"] for line in lines} <= {"Polygon", "MultiPolygon"}
@@ -372,7 +372,7 @@ def test_an_error_without_text_empties_one_layer(spark, landed):
     def bad():
         raise IncompletePages
 
-    full = spark.createDataFrame([("1", "a", None, None, None, None, -120.0, 43.0)], LAYERS["burns"])
+    full = spark.createDataFrame([("1", "a", None, None, None, None, -120.0, 43.0, None)], LAYERS["burns"])
     status = publish_layers(spark, {"fires": bad, "burns": lambda: full}, out).collect()
     assert {row.layer: (row.ok, row.error, row.rows) for row in status} == {
         "fires": (False, "IncompletePages", 0),
@@ -392,7 +392,7 @@ def test_camera_items_that_are_no_objects_are_skipped(spark):
 def test_group_table_of_the_caller_prunes_layers_at_run_time(spark, tmp_path):
     path = str(tmp_path / "features")
     features = spark.createDataFrame(
-        [(layer, str(at), "Point", 0.0, 0.0, None, "{}") for layer in "abcd" for at in range(3)], FEATURES
+        [(layer, str(at), "Point", 0.0, 0.0, None, "{}", None) for layer in "abcd" for at in range(3)], FEATURES
     )
     write_features(features, path, list("abcde"))
 
@@ -440,3 +440,36 @@ def test_stored_facts_take_each_landed_file_once_and_decide_as_bodies_do(spark,
     assert (row.result_offset, row.retryable, row.page_len, row.exceeded) == (2, True, None, None)
     layers = loaders(spark, "", pages.where("result_offset < 9"), facts)
     assert layers["fires"]().count() == 2
+
+
+def test_properties_keep_the_types_they_were_sent_with(spark, landed, tmp_path):
+    feed, pages, out = landed
+    publish_layers(spark, loaders(spark, str(feed), read_landed_pages(spark, pages)), out)
+    table = str(tmp_path / "features")
+    write_features(features_union(read_layers(spark, out)), table)
+    found = {(row.layer, row.feature_id): json.loads(row.properties) for row in read_features(spark, table).collect()}
+    assert found["fires", "1"] == {
+        "IncidentName": "Ash", "IncidentSize": 1234.5, "PercentContained": 12.6, "POOCounty": "Lane",
+        "POOState": "US-OR", "acres": 1234.5,
+    }
+    assert found["fires", "2"] == {"IncidentName": "", "IncidentSize": "", "POOState": "US-OR"}
+    assert found["burns", "2"] == {"name": None, "prescribed_date_start": "2024-03-05"}
+    assert found["boundary", "1"] == {"STATE": "41", "GEOID": "41", "kind": "oregon"}
+    assert found["cameras", "7"]["name"] == "North"
+
+    size = F.try_variant_get("sent", "$.IncidentSize", "double")
+    large = read_features(spark, table).where((F.col("layer") == "fires") & (size > 1000)).select("feature_id")
+    assert [row.feature_id for row in large.collect()] == ["1"]
+    plan = large._jdf.queryExecution().executedPlan().toString()
+    # The scan reads the one property and has the comparison.
+    assert "GreaterThan(sent.`0`,1000.0)" in plan and "variant" not in plan.split("ReadSchema")[1]
+
+
+def test_derived_properties_do_not_replace_sent_ones(spark):
+    rows = ['{"acres":7}', '{"a":"x}\\n{y"}', "{}", "null", "[1]", None]
+    frame = spark.createDataFrame(list(enumerate(rows)), "id INT, text STRING").select(
+        "id", F.lit(1.5).alias("acres"), F.parse_json("text").alias("sent")
+    )
+    features = as_features(frame.withColumn("lon", F.lit(0.0)).withColumn("lat", F.lit(0.0)), "x", "id", (), "Point", ("acres",))
+    found = [json.loads(row.properties) for row in features.orderBy("feature_id").collect()]
+    assert found == [{"acres": 7}, {"a": "x}\n{y", "acres": 1.5}, *[{"acres": 1.5}] * 4]
