@@ -30,6 +30,7 @@ from embergrid.operators.geometry import boxes_overlapping, edge_boxes, polygons
 from embergrid.operators.page_directory import page_between, page_directory
 from embergrid.operators.paging import assign_pages, page_slice, page_status
 from embergrid.operators.query import feature_query
+from embergrid.operators.simplify import simplify_edges
 from embergrid.operators.skew import BROADCAST_ROWS, lookup_join
 from embergrid.operators.spatial import clip_points, points_in_polygons, top_polygon
 from embergrid.plans import inputs
@@ -68,6 +69,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 # Box used to show the overlap filter.
 INNER_BOUNDS = (-122.0, 43.0, -119.0, 45.0)
 
+# Offset used to show the simplification of common borders.
+DISTRICT_OFFSET = 0.003
+
 EVENT_LAYERS = ("click", "error", "purchase", "signup", "view")
 
 
@@ -458,6 +462,11 @@ def edges_thinned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return thin_edges(inputs.edges(spark, sf_dir), 0.05)
 
 
+def districts_simplified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Polygons that share their borders, simplified without a gap between them."""
+    return simplify_edges(inputs.district_edges(spark, sf_dir), DISTRICT_OFFSET)
+
+
 def perimeter_bbox_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes_overlapping(edge_boxes(inputs.edges(spark, sf_dir)), INNER_BOUNDS)
 
@@ -574,4 +583,5 @@ QUERIES: dict[str, Query] = {
     "page_completeness_recorded": recorded_completeness,
     "page_slice_by_text": part_page_by_name,
     "edges_page": edges_page,
+    "districts_simplified": districts_simplified,
 }

@@ -177,6 +177,23 @@ CENTRES = {
     "k": "10 + s_suppkey % 40",
 }
 
+# Districts side by side: squares of 16 steps a side whose borders wave, the same for both neighbours.
+DISTRICTS = {
+    "geom_id": "p_partkey",
+    "i": "(p_partkey - 1) % 40",
+    "j": "CAST(floor((p_partkey - 1) / 40) AS BIGINT)",
+}
+DISTRICT_STEPS = 64
+DISTRICT_GRID = {
+    "gx": "CASE WHEN t < 16 THEN 16 * i + t WHEN t < 32 THEN 16 * i + 16 WHEN t < 48 THEN 16 * i + 48 - t ELSE 16 * i END",
+    "gy": "CASE WHEN t < 16 THEN 16 * j WHEN t < 32 THEN 16 * j + t - 16 WHEN t < 48 THEN 16 * j + 16 ELSE 16 * j + 64 - t END",
+}
+_WAVE = "(gx * 7919 + gy * 104729) % 9 - 4"
+DISTRICT_PLACE = {
+    "x": f"CAST(5 * gx + CASE WHEN gy % 16 = 0 THEN 0 ELSE {_WAVE} END AS DOUBLE) / 1000",
+    "y": f"CAST(5 * gy + CASE WHEN gx % 16 = 0 THEN 0 ELSE {_WAVE} END AS DOUBLE) / 1000",
+}
+
 COLUMNS = {
     "fx_cameras": ("customer", CAMERAS),
     "fx_fires": ("orders", FIRES),
@@ -187,6 +204,7 @@ COLUMNS = {
     "fx_centres": ("supplier", CENTRES),
     "fx_payloads": ("customer", PAYLOADS),
     "fx_sites": ("orders", SITES),
+    "fx_districts": ("part", DISTRICTS),
 }
 
 
@@ -250,6 +268,20 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return polygon_edges(polygons(spark, sf_dir))
 
 
+def district_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edge table of polygons that share their borders."""
+    steps = derived(spark, sf_dir, "fx_districts").select(
+        "*", F.explode(F.sequence(F.lit(0), F.lit(DISTRICT_STEPS - 1))).alias("seq")
+    )
+
+    placed = steps.select("*", F.lit(0).alias("ring"))
+    for step, names in (("seq", ("x1", "y1")), ("seq + 1", ("x2", "y2"))):
+        placed = placed.withColumn("t", F.expr(step))
+        placed = placed.withColumns({name: F.expr(text) for name, text in DISTRICT_GRID.items()})
+        placed = placed.withColumns({name: F.expr(text) for name, text in zip(names, DISTRICT_PLACE.values())})
+    return placed.select("geom_id", "ring", "seq", "x1", "y1", "x2", "y2")
+
+
 def polygon_geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Perimeter polygons as GeoJSON text, every third one as a MultiPolygon."""
     shapes = polygons(spark, sf_dir)

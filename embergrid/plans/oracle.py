@@ -7,7 +7,8 @@ from __future__ import annotations
 
 from embergrid import fixed_values as fixed
 from embergrid.plans import inputs
-from embergrid.plans.catalog import INNER_BOUNDS
+from embergrid.operators.simplify import PIECE
+from embergrid.plans.catalog import DISTRICT_OFFSET, INNER_BOUNDS
 
 NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 PAGE = inputs.EVENT_PAGE_SIZE
@@ -265,6 +266,56 @@ def _thinned() -> str:
     )
 
 
+def _simplified() -> str:
+    """Arcs between cuts, each cut further at its farthest vertex by recursion."""
+    grid = ", ".join(f"{text} AS {name}" for name, text in inputs.DISTRICT_GRID.items())
+    place = ", ".join(f"{text} AS {name}" for name, text in inputs.DISTRICT_PLACE.items())
+    mixed = "xor(CAST(floor(x * 1000000.0) AS BIGINT) * 73856093, CAST(floor(y * 1000000.0) AS BIGINT) * 19349663)"
+    share = "CASE WHEN q > 0 THEN least(greatest(((x - ax) * dx + (y - ay) * dy) / q, 0), 1) ELSE 0 END"
+    return (
+        f"WITH RECURSIVE fx_districts AS ({_derived_sql('fx_districts')}), "
+        f"steps AS (SELECT geom_id, i, j, CAST(t AS BIGINT) AS t FROM fx_districts, range({inputs.DISTRICT_STEPS}) r(t)), "
+        f"v AS (SELECT geom_id, t AS seq, {place} FROM (SELECT *, {grid} FROM steps)), "
+        "ways AS (SELECT geom_id, seq, x, y, coalesce(lead(x) OVER w, first(x) OVER w) AS nx, "
+        "coalesce(lead(y) OVER w, first(y) OVER w) AS ny FROM v WINDOW w AS (PARTITION BY geom_id ORDER BY seq)), "
+        "met AS (SELECT x, y FROM (SELECT x, y, nx, ny FROM ways UNION SELECT nx, ny, x, y FROM ways) "
+        "GROUP BY x, y HAVING count(*) <> 2), "
+        f"cuts AS (SELECT ways.*, CASE WHEN met.x IS NOT NULL OR {mixed} % {PIECE} = 0 THEN seq END AS cut "
+        "FROM (SELECT * FROM ways) ways LEFT JOIN met USING (x, y)), "
+        "arcs AS (SELECT *, max(cut) OVER (PARTITION BY geom_id ORDER BY seq) AS start, "
+        "max(cut) OVER (PARTITION BY geom_id) AS last FROM cuts), "
+        "edged AS (SELECT geom_id, coalesce(start, last) AS arc, start IS NULL AS late, seq, x, y, nx, ny FROM arcs), "
+        "points AS (SELECT geom_id, arc, late, seq, x, y FROM edged UNION ALL SELECT geom_id, arc, TRUE, 1000 + max(seq), "
+        "arg_max(nx, (late, seq)), arg_max(ny, (late, seq)) FROM edged GROUP BY geom_id, arc), "
+        "ranked AS (SELECT *, row_number() OVER (PARTITION BY geom_id, arc ORDER BY late, seq) AS k, "
+        "count(*) OVER (PARTITION BY geom_id, arc) AS n FROM points), "
+        "ends AS (SELECT geom_id, arc, max(n) AS n, (max(x) FILTER (k = n), max(y) FILTER (k = n), "
+        "max(x) FILTER (k = n - 1), max(y) FILTER (k = n - 1)) < (max(x) FILTER (k = 1), max(y) FILTER (k = 1), "
+        "max(x) FILTER (k = 2), max(y) FILTER (k = 2)) AS flipped FROM ranked GROUP BY geom_id, arc), "
+        "d AS (SELECT r.geom_id, r.arc, r.seq, r.x, r.y, flipped, r.n, CASE WHEN flipped THEN r.n + 1 - k ELSE k END AS pos "
+        "FROM ranked r JOIN ends e ON r.geom_id = e.geom_id AND r.arc = e.arc), "
+        "parts(geom_id, arc, low, high, mid) AS (SELECT geom_id, arc, CAST(0 AS BIGINT), CAST(0 AS BIGINT), n FROM ends "
+        "UNION ALL SELECT geom_id, arc, low, high, "
+        "CASE WHEN max(far) > CAST({offset} AS DOUBLE) * CAST({offset} AS DOUBLE) THEN arg_max(pos, (far, -pos)) END FROM ("
+        "SELECT geom_id, arc, low, high, pos, ex * ex + ey * ey AS far FROM (SELECT *, x - (ax + s * dx) AS ex, y - (ay + s * dy) AS ey FROM ("
+        f"SELECT *, {share} AS s FROM (SELECT *, dx * dx + dy * dy AS q FROM (SELECT h.geom_id, h.arc, low, high, "
+        "d.pos, d.x, d.y, a.x AS ax, a.y AS ay, b.x - a.x AS dx, b.y - a.y AS dy FROM ("
+        "SELECT geom_id, arc, CASE WHEN low = 0 THEN 1 ELSE low END AS low, mid AS high FROM parts WHERE mid IS NOT NULL "
+        "UNION ALL SELECT geom_id, arc, mid, high FROM parts WHERE mid IS NOT NULL AND high > 0) h "
+        "JOIN d a ON a.geom_id = h.geom_id AND a.arc = h.arc AND a.pos = h.low "
+        "JOIN d b ON b.geom_id = h.geom_id AND b.arc = h.arc AND b.pos = h.high "
+        "JOIN d ON d.geom_id = h.geom_id AND d.arc = h.arc AND d.pos > h.low AND d.pos < h.high))))) "
+        "GROUP BY geom_id, arc, low, high), "
+        "stay AS (SELECT DISTINCT geom_id, arc, mid AS pos FROM parts WHERE mid IS NOT NULL "
+        "UNION SELECT geom_id, arc, 1 FROM ends), "
+        "kept AS (SELECT d.*, CASE WHEN flipped THEN -d.pos ELSE d.pos END AS own FROM d JOIN stay s "
+        "ON s.geom_id = d.geom_id AND s.arc = d.arc AND s.pos = d.pos) "
+        "SELECT geom_id, CAST(0 AS INTEGER) AS ring, CAST(seq AS INTEGER) AS seq, x AS x1, y AS y1, x2, y2 FROM ("
+        "SELECT *, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM kept "
+        "WINDOW w AS (PARTITION BY geom_id, arc ORDER BY own)) WHERE x2 IS NOT NULL"
+    ).replace("{offset}", str(DISTRICT_OFFSET))
+
+
 def _camera(select: str) -> str:
     return _with(select, "fx_cameras", in_state=STATE_CAMERAS)
 
@@ -502,6 +553,7 @@ ORACLE: dict[str, str] = {
         "fx_edges",
         **_shaped_tables(),
     ),
+    "districts_simplified": _simplified(),
     "feed_shapes": _with(
         "SELECT feed, ok, CASE WHEN NOT ok THEN "
         f"'{fixed.CAMERA_PAYLOAD_ERROR}' END AS error FROM (SELECT feed, CASE WHEN payload IS NULL "
