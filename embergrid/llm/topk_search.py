@@ -8,7 +8,9 @@ visited, so that the smaller id can win.
 
 Two rounds: in the first, every tree only gives the best leaf of each query; the kth best of these
 over all shards is the score each tree starts from in the second round. Queries are a stated set and
-go to the trees in blocks of bounded size; (tree, block) pairs are spread over all tasks.
+meet the trees in blocks about as large as a tree, so neither side is copied more often than the other;
+each (tree, block) pair is moved once and pairs are spread over all tasks. Trees hold their vectors in
+the smallest integers that fit.
 
 Cases: vectors that are null or hold null or non-finite components, and null ids, take no part; only
 vectors of the same length meet; of rows repeated with one id the largest vector stands for all;
@@ -33,8 +35,10 @@ TOP = 5
 SCALE = 256
 EVERY = 50
 SHARD_ROWS = 8192
-BLOCK_QUERIES = 256
+BLOCK_QUERIES = 8192
 LEAF_ROWS = 64
+# Queries of a block whose bounds a task holds at a time.
+QUERIES_AT_ONCE = 256
 
 # Whole numbers up to here add and multiply exactly as doubles.
 _EXACT = 2.0**53
@@ -71,9 +75,9 @@ class KdTree:
                 place = np.argpartition(rows[:, int(spread.argmax())], half)
                 order[start:stop] = order[start:stop][place]
                 todo += [(start, start + half, node, 0), (start + half, stop, node, 1)]
-        self.ids, self.vectors = ids[order], vectors[order]
-        self.low_faces = np.array(self.low).reshape(len(self.ends), -1)
-        self.high_faces = np.array(self.high).reshape(len(self.ends), -1)
+        self.ids, self.vectors = ids[order], _narrow(vectors[order])
+        self.low_faces = _narrow(np.array(self.low).reshape(len(self.ends), -1))
+        self.high_faces = _narrow(np.array(self.high).reshape(len(self.ends), -1))
         self.leaves = np.array([children is None for children in self.children])
         del self.low, self.high
 
@@ -85,14 +89,29 @@ class KdTree:
         positive, negative = np.maximum(queries, 0), np.minimum(queries, 0)
         return product(positive, self.high_faces) + product(negative, self.low_faces)
 
-    def scores(self, query: np.ndarray, node: int) -> tuple[np.ndarray, np.ndarray]:
-        start, stop = self.ends[node]
-        return self.ids[start:stop], product(query[None, :], self.vectors[start:stop])[0]
+    def rows_for(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The vectors and the queries in a type in which their products are exact, doubles if they can be."""
+        kind = _exact_kind(queries, self.vectors)
+        return self.vectors.astype(kind), queries.astype(kind)
+
+    def best_leaf(self, query_id: int, query: np.ndarray, rows: np.ndarray, bounds: np.ndarray, k: int) -> list[tuple[int, int]]:
+        """The ``k`` best ``(score, id)`` of the leaf with the highest bound."""
+        leaf = int(np.where(self.leaves, bounds, bounds.min() - 1).argmax())
+        return [(-score, number) for score, number in heapq.nsmallest(k, self._found(query_id, query, rows, leaf, None))]
 
-    def search(self, query_id: int, query: np.ndarray, bounds: np.ndarray, k: int, floor: int | None) -> list[tuple[int, int]]:
+    def _found(self, query_id: int, query: np.ndarray, rows: np.ndarray, node: int, floor: int | None) -> list[tuple[int, int]]:
+        start, stop = self.ends[node]
+        scores = rows[start:stop] @ query
+        near = np.arange(stop - start) if floor is None else np.flatnonzero(scores >= floor)
+        pairs = zip(scores[near].tolist(), self.ids[start + near].tolist())
+        return [(-int(score), number) for score, number in pairs if number != query_id]
+
+    def search(
+        self, query_id: int, query: np.ndarray, rows: np.ndarray, bounds: list[int], k: int, floor: int | None
+    ) -> list[tuple[int, int]]:
         """The ``k`` best ``(score, id)`` that reach ``floor``, best first."""
         best: list[tuple[int, int]] = []
-        open_nodes = [(-int(bounds[0]), 0)]
+        open_nodes = [(-bounds[0], 0)]
         while open_nodes:
             bound, node = heapq.heappop(open_nodes)
             if floor is not None and -bound < floor:
@@ -100,28 +119,34 @@ class KdTree:
             if self.children[node] is not None:
                 for child in self.children[node]:
                     if floor is None or bounds[child] >= floor:
-                        heapq.heappush(open_nodes, (-int(bounds[child]), child))
+                        heapq.heappush(open_nodes, (-bounds[child], child))
                 continue
-            ids, scores = self.scores(query, node)
-            near = ids != query_id
-            if floor is not None:
-                near &= scores >= floor
-            found = zip((-scores[near]).tolist(), ids[near].tolist())
-            best = heapq.nsmallest(k, [*best, *found])
-            if len(best) == k:
-                floor = -best[-1][0]
+            found = self._found(query_id, query, rows, node, floor)
+            if found:
+                best = heapq.nsmallest(k, [*best, *found])
+                if len(best) == k:
+                    floor = -best[-1][0]
         return [(-score, number) for score, number in best]
 
 
-def product(one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """Exact integer products of rows: in doubles or longs while every sum is exact in them, else in
-    integers of any size."""
+def _exact_kind(one: np.ndarray, two: np.ndarray) -> type:
+    """Type in which every product of rows is exact: doubles or longs while all sums fit, else integers of
+    any size."""
     largest = _largest(one) * _largest(two) * one.shape[1]
-    if largest < _EXACT:
-        return np.rint(one.astype(np.float64) @ two.astype(np.float64).T).astype(np.int64)
-    if largest < 2**63:
-        return one.astype(np.int64) @ two.astype(np.int64).T
-    return one.astype(object) @ two.astype(object).T
+    return np.float64 if largest < _EXACT else np.int64 if largest < 2**63 else object
+
+
+def product(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Exact integer products of rows."""
+    kind = _exact_kind(one, two)
+    found = one.astype(kind) @ two.astype(kind).T
+    return np.rint(found).astype(np.int64) if kind is np.float64 else found
+
+
+def _narrow(rows: np.ndarray) -> np.ndarray:
+    """The same integers in the smallest type that holds them and their negatives."""
+    largest = _largest(rows)
+    return next((rows.astype(kind) for kind in (np.int16, np.int32) if largest <= np.iinfo(kind).max), rows)
 
 
 def _largest(rows: np.ndarray) -> int:
@@ -145,9 +170,8 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
 
 
-def build_trees(vectors: DataFrame, shard_rows: int, leaf_rows: int) -> DataFrame:
-    """``dims, shard, tree``: one row per shard, with at most a few times ``shard_rows`` vectors."""
-    shards = max(1, -(-vectors.count() // shard_rows))
+def build_trees(vectors: DataFrame, shards: int, leaf_rows: int) -> DataFrame:
+    """``dims, shard, tree``: one row per shard."""
 
     def build(table: pa.Table) -> pa.Table:
         dims, shard = table.column("dims")[0].as_py(), table.column("shard")[0].as_py()
@@ -176,21 +200,19 @@ def _block_hits(k: int, first: bool):
                 row = batch.slice(at, 1)
                 tree: KdTree = pickle.loads(row.column("tree")[0].as_py())
                 block = row.column("queries")[0].values
-                ids = block.field("query_id").to_numpy(zero_copy_only=False)
+                ids = block.field("query_id").to_pylist()
                 queries = _matrix(block.field("query"), row.column("dims")[0].as_py())
                 floors = block.field("floor").to_pylist()
-                bounds = tree.bounds(queries)
+                rows, lines = tree.rows_for(queries)
                 hits: list[tuple[int, int, int]] = []
-                for place, query_id in enumerate(ids.tolist()):
-                    if first:
-                        leaf = int(np.where(tree.leaves, bounds[place], bounds[place].min() - 1).argmax())
-                        found_ids, scores = tree.scores(queries[place], leaf)
-                        near = found_ids != query_id
-                        pairs = zip((-scores[near]).tolist(), found_ids[near].tolist())
-                        found = [(-score, number) for score, number in heapq.nsmallest(k, pairs)]
-                    else:
-                        found = tree.search(query_id, queries[place], bounds[place], k, floors[place])
-                    hits += [(query_id, number, score) for score, number in found]
+                for start in range(0, len(ids), QUERIES_AT_ONCE):
+                    bounds = tree.bounds(queries[start : start + QUERIES_AT_ONCE])
+                    for place, own in enumerate(bounds, start):
+                        if first:
+                            found = tree.best_leaf(ids[place], lines[place], rows, own, k)
+                        else:
+                            found = tree.search(ids[place], lines[place], rows, own.tolist(), k, floors[place])
+                        hits += [(ids[place], number, score) for score, number in found]
                 columns = list(zip(*hits)) or [[], [], []]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(values, pa.int64()) for values in columns], ["query_id", "vec_id", "score"]
@@ -220,23 +242,28 @@ def top_k(
     ``is_query`` is a condition on ``vec_id`` that states the query set.
     """
     vectors = staged(whole_vectors(df, id_column, vector_column, scale), "topk-vectors")
-    trees = staged(build_trees(vectors, shard_rows, leaf_rows), "topk-trees")
+    n_shards = max(1, -(-vectors.count() // shard_rows))
+    trees = staged(build_trees(vectors, n_shards, leaf_rows), "topk-trees")
     queries = vectors.where(is_query).select(
         F.col("vec_id").alias("query_id"), F.col("vector").alias("query"), F.size("vector").alias("dims")
     )
     n_blocks = max(1, -(-queries.count() // block_queries))
     tasks = max(shuffle_partitions(df.sparkSession), 1)
 
+    def numbers(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+
     def searched(asked: DataFrame, first: bool) -> DataFrame:
         blocks = (
             asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)))
             .groupBy("dims", "block")
             .agg(F.collect_list(F.struct("query_id", "query", "floor")).alias("queries"))
         )
-        paired = trees.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-        paired = paired.withColumn("block", F.col("block").cast("bigint")).join(blocks, ["dims", "block"])
-        spread = paired.repartition(tasks, "shard", "block")
-        return spread.mapInArrow(_block_hits(k, first), _HITS)
+        # Both sides are dealt by the pair, so a tree and a block are moved once for it.
+        pair = ["dims", "shard", "block"]
+        dealt = trees.withColumn("block", numbers(n_blocks)).repartition(tasks, *pair)
+        asking = blocks.withColumn("shard", numbers(n_shards)).repartition(tasks, *pair)
+        return dealt.join(asking.hint("merge"), pair).mapInArrow(_block_hits(k, first), _HITS)
 
     floor = F.lit(None).cast("bigint").alias("floor")
     leaves = _best(searched(queries.select("*", floor), True), k)
