@@ -108,7 +108,7 @@ def _arcs(edges: DataFrame, max_offset: float, piece: int, block: int) -> DataFr
     arcs = (
         placed.withColumn("way", way)
         .groupBy(*ring, F.coalesce(start, "last_cut").alias("arc"))
-        .agg(F.min("tolerance").alias("tolerance"), F.array_sort(F.collect_list("way")).alias("way"))
+        .agg(F.min("tolerance").alias("tolerance"), F.sort_array(F.collect_list("way")).alias("way"))
     )
 
     def point(edge: Column, x: str, y: str, seq: Column) -> Column:

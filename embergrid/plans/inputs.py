@@ -6,6 +6,8 @@ valid in Spark and in the checking database, so both sides read the same values.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -270,16 +272,13 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def district_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edge table of polygons that share their borders."""
-    steps = derived(spark, sf_dir, "fx_districts").select(
-        "*", F.explode(F.sequence(F.lit(0), F.lit(DISTRICT_STEPS - 1))).alias("seq")
-    )
-
-    placed = steps.select("*", F.lit(0).alias("ring"))
-    for step, names in (("seq", ("x1", "y1")), ("seq + 1", ("x2", "y2"))):
-        placed = placed.withColumn("t", F.expr(step))
-        placed = placed.withColumns({name: F.expr(text) for name, text in DISTRICT_GRID.items()})
-        placed = placed.withColumns({name: F.expr(text) for name, text in zip(names, DISTRICT_PLACE.values())})
-    return placed.select("geom_id", "ring", "seq", "x1", "y1", "x2", "y2")
+    grid = ", ".join(f"{text} AS {name}" for name, text in DISTRICT_GRID.items())
+    place = ", ".join(re.sub(r"\b(gx|gy)\b", r"at.\1", text) for text in DISTRICT_PLACE.values())
+    steps = f"transform(sequence(0, {DISTRICT_STEPS}), t -> struct({grid}))"
+    ring = f"transform({steps}, at -> array({place}))"
+    # A small table that makes many edges: dealt to all tasks first.
+    districts = derived(spark, sf_dir, "fx_districts").repartition(spark.sparkContext.defaultParallelism, "geom_id")
+    return polygon_edges(districts.selectExpr("geom_id", f"array({ring}) AS rings"))
 
 
 def polygon_geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
