@@ -601,6 +601,13 @@ ORACLE: dict[str, str] = {
         "fx_edges",
     ),
     "fires_in_perimeters": _with(HITS, "fx_fires", "fx_edges"),
+    "top_perimeter_by_order": _with(
+        "SELECT objectid, geom_id FROM (SELECT objectid, geom_id, ROW_NUMBER() OVER (PARTITION BY objectid ORDER BY "
+        "CASE WHEN geom_id % 5 <> 0 THEN geom_id % 7 END DESC NULLS LAST, geom_id) AS place FROM hits) WHERE place = 1",
+        "fx_fires",
+        "fx_edges",
+        hits=HITS,
+    ),
     "top_perimeter_per_fire": _with(
         "SELECT objectid, MIN(geom_id) AS geom_id FROM hits GROUP BY objectid",
         "fx_fires",
