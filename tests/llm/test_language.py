@@ -1,5 +1,11 @@
 from __future__ import annotations
 
+import math
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from embergrid.llm import language_id
@@ -41,6 +47,44 @@ def test_bundle_is_the_sum_of_bound_letters():
     first, second, third = profiles._places
     space, a, b = 0, 1, 2
     want = first[space] * second[a] * third[b] + first[a] * second[b] * third[space]
-    import numpy as np
-
     assert (profiles.bundle(*np.unique(grams, return_counts=True)) == want).all()
+
+
+def plain_profile(text, vectors):
+    """Sum of the bound trigrams of a text by the stated rule, letter by letter."""
+    line, before = [0], False
+    for sign in text:
+        lower = sign.lower()[0]
+        point = ord(lower)
+        if lower.isalpha():
+            line.append(point - 96 if "a" <= lower <= "z" else 27 + point % 37)
+        elif before:
+            line.append(0)
+        before = lower.isalpha()
+    total = np.zeros(vectors.shape[1], np.int64)
+    if any(line):
+        line.append(0)
+        for (a, b, c), n in Counter(zip(line, line[1:], line[2:])).items():
+            total += n * vectors[a] * np.roll(vectors[b], 1) * np.roll(vectors[c], 2)
+    return total
+
+
+def test_every_document_equals_the_plain_rule(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    vectors = np.random.default_rng(language_id.SEED).integers(0, 2, (64, language_id.DIMENSIONS), np.int8).astype(np.int64) * 2 - 1
+    rows = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang").collect()
+    profiles = [plain_profile(row.text or "", vectors) for row in rows]
+    out = [zlib.crc32(str(row.doc_id).encode()) % 4 == 2 for row in rows]
+    learned = {}
+    for row, profile, held_out in zip(rows, profiles, out):
+        if not held_out and row.text is not None and row.lang is not None:
+            learned[row.lang] = learned.get(row.lang, 0) + profile
+    found = {row.doc_id: (row.held_out, row.lang_pred, row.score) for row in language_id.op6(spark, sf_dir).collect()}
+    assert len(found) == len(rows)
+    for row, profile, held_out in zip(rows, profiles, out):
+        scores = {"und": 0.0}
+        if profile.any():
+            length = math.sqrt(int(profile @ profile))
+            scores = {lang: int(sums @ profile) / math.sqrt(int(sums @ sums)) / length for lang, sums in sorted(learned.items())}
+        best = max(scores, key=scores.get)
+        assert found[row.doc_id] == (held_out, best, pytest.approx(min(max(scores[best], 0.0), 1.0), abs=1e-6))
