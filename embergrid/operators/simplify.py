@@ -64,20 +64,54 @@ def _junctions(edges: DataFrame) -> DataFrame:
     )
 
 
-def _ring_facts(edges: DataFrame, max_offset: float) -> DataFrame:
-    """Tolerance, first and last cut of each ring; one without a cut is cut at its smallest vertex.
+def _pieces(edges: DataFrame, piece: int, block: int) -> DataFrame:
+    """Stretches of a ring's edges from one cut, ``start``, up to the next or to the end of their block.
 
-    Moving a border by ``t`` changes the area by at most ``t`` times its length, so a tolerance of half
-    the area by the length leaves each ring half of its area.
+    One shuffle by block serves the cuts and the stretches, and no window holds a long ring.
     """
-    cut = F.when(F.col("cut"), F.col("seq"))
-    area = F.abs(F.sum(F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1"))) / 2
-    length = F.sum(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")))
-    smallest = F.min(F.struct("x1", "y1", "seq")).getField("seq")
-    return edges.groupBy("geom_id", "ring").agg(
-        F.least(F.lit(float(max_offset)), area / length / 2).alias("tolerance"),
-        F.coalesce(F.max(cut), smallest).alias("last_cut"),
-        F.coalesce(F.min(cut), smallest).alias("first_cut"),
+    edges = edges.join(_junctions(edges), ["x1", "y1"], "left").withColumns(
+        {
+            "cut": F.coalesce("cut", F.lit(False)) | _chosen(F.col("x1"), F.col("y1"), piece),
+            "block": F.floor(F.col("seq") / block),
+        }
+    )
+    by = ("geom_id", "ring", "block")
+    upto = Window.partitionBy(*by).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    started = edges.withColumn("start", F.max(F.when(F.col("cut"), F.col("seq"))).over(upto))
+    return started.groupBy(*by, "start").agg(
+        F.sum(F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1")).alias("doubled"),
+        F.sum(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))).alias("length"),
+        F.min(F.struct("x1", "y1", "seq")).alias("smallest"),
+        F.collect_list(F.struct("seq", *COORDINATES)).alias("way"),
+    )
+
+
+def _block_facts(pieces: DataFrame, max_offset: float) -> DataFrame:
+    """Per block the cut before it, and tolerance, first and last cut of its ring.
+
+    A ring without a cut is cut at its smallest vertex. Moving a border by ``t`` changes the area by at
+    most ``t`` times its length, so a tolerance of half the area by the length leaves each ring half of
+    its area.
+    """
+    blocks = pieces.groupBy("geom_id", "ring", "block").agg(
+        F.sum("doubled").alias("doubled"),
+        F.sum("length").alias("length"),
+        F.min("smallest").alias("smallest"),
+        F.min("start").alias("first"),
+        F.max("start").alias("last"),
+    )
+    ring = Window.partitionBy("geom_id", "ring")
+    before = ring.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    area = F.abs(F.sum("doubled").over(ring)) / 2
+    smallest = F.min("smallest").over(ring).getField("seq")
+    return blocks.select(
+        "geom_id",
+        "ring",
+        "block",
+        F.max("last").over(before).alias("carried"),
+        F.least(F.lit(float(max_offset)), area / F.sum("length").over(ring) / 2).alias("tolerance"),
+        F.coalesce(F.max("last").over(ring), smallest).alias("last_cut"),
+        F.coalesce(F.min("first").over(ring), smallest).alias("first_cut"),
     )
 
 
@@ -86,31 +120,26 @@ def _arcs(edges: DataFrame, max_offset: float, piece: int, block: int) -> DataFr
 
     ``points`` are ``x, y, seq`` of vertices in the direction of the smaller end, the same for all rings.
     """
-    edges = edges.join(_junctions(edges), ["x1", "y1"], "left").withColumn(
-        "cut", F.coalesce("cut", F.lit(False)) | _chosen(F.col("x1"), F.col("y1"), piece)
-    )
-    edges = _written(edges, "simplify-edges")
-    edges = lookup_join(edges, _ring_facts(edges, max_offset), ["geom_id", "ring"]).withColumn(
-        "cut", F.col("cut") | (F.col("seq") == F.col("first_cut"))
-    )
-    # The cut before an edge, within blocks of a ring first, so that no window holds a long ring.
+    pieces = _written(_pieces(edges, piece, block), "simplify-pieces")
     ring = ("geom_id", "ring")
-    edges = edges.withColumn("block", F.floor(F.col("seq") / block))
-    cut = F.when(F.col("cut"), F.col("seq"))
-    before = Window.partitionBy(*ring).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = edges.groupBy(*ring, "block").agg(F.max(cut).alias("last"))
-    blocks = blocks.select(*ring, "block", F.max("last").over(before).alias("carried"))
-    upto = Window.partitionBy(*ring, "block").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    placed = lookup_join(edges.withColumn("start", F.max(cut).over(upto)), blocks, [*ring, "block"])
-    start = F.coalesce("start", "carried")
+    placed = lookup_join(pieces, _block_facts(pieces, max_offset), [*ring, "block"])
     # What comes before the first cut ends the arc that the last one starts.
-    way = F.struct(start.isNull().alias("late"), "seq", *COORDINATES)
     arcs = (
-        placed.withColumn("way", way)
-        .groupBy(*ring, F.coalesce(start, "last_cut").alias("arc"))
-        .agg(F.min("tolerance").alias("tolerance"), F.sort_array(F.collect_list("way")).alias("way"))
+        placed.withColumn("arc", F.coalesce("start", "carried", "last_cut"))
+        .groupBy(*ring, "arc")
+        .agg(
+            F.min("tolerance").alias("tolerance"),
+            F.min("first_cut").alias("first_cut"),
+            F.flatten(F.collect_list("way")).alias("way"),
+        )
     )
 
+    def in_order(edge: Column) -> Column:
+        late = F.coalesce(edge["seq"] < F.col("first_cut"), F.lit(True))
+        return F.struct(late.alias("late"), *[edge[name].alias(name) for name in ("seq", *COORDINATES)])
+
+    arcs = arcs.withColumn("way", F.sort_array(F.transform("way", in_order)))
+
     def point(edge: Column, x: str, y: str, seq: Column) -> Column:
         return F.struct(edge[x].alias("x"), edge[y].alias("y"), seq.alias("seq"))
 
@@ -201,8 +230,8 @@ def simplify_edges(
     A kept edge has the ``seq`` of the edge that started at its first vertex. Other columns are left
     out, as are edges without length or with a missing coordinate; a ring with a gap is cut there. Ids
     may be NULL. Arcs end where borders meet and at one of ``piece`` vertices besides, chosen by place,
-    so that a row holds a few times ``piece`` vertices; windows hold ``block`` edges of a ring. Edges and
-    arcs are written to the shared folder before the result is asked for.
+    so that a row holds a few times ``piece`` vertices; windows hold ``block`` edges of a ring. Edges,
+    pieces of arcs and arcs are written to the shared folder before the result is asked for.
     """
     own = edges.select(
         F.col(geom_id).alias("geom_id"),
@@ -211,6 +240,7 @@ def simplify_edges(
         # Adding zero makes one zero of both.
         *[(F.col(name).cast("double") + F.lit(0.0)).alias(name) for name in COORDINATES],
     ).where("x1 <> x2 OR y1 <> y2")
+    own = _written(own, "simplify-edges")
     arcs = _written(_arcs(own, max_offset, piece, block), "simplify-arcs")
     tolerances = arcs.groupBy("key").agg(F.min("tolerance").alias("tolerance"))
     arcs = lookup_join(arcs.drop("tolerance"), tolerances, ["key"]).drop("key")

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from embergrid.operators import simplify
 from embergrid.operators.simplify import kept_vertices, simplify_edges
 
 SCHEMA = "geom_id INT, ring INT, seq INT, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE, note STRING"
@@ -148,3 +149,21 @@ def test_awkward_rows(spark, rings):
     assert empty.columns == ["geom_id", "ring", "seq", "x1", "y1", "x2", "y2"] and empty.count() == 0
     other = spark.createDataFrame(rows, SCHEMA).withColumnRenamed("geom_id", "key").withColumn("n", F.lit(1))
     assert simplify_edges(other, OFFSET, "key").columns[0] == "key"
+
+
+def test_edges_are_shuffled_for_cuts_and_blocks_only(spark, rings):
+    """Whatever a ring's facts take, its edges move to their vertices and to their blocks, no more."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        edges = frame_of(spark, rings).drop("note").localCheckpoint()
+        pieces = simplify._pieces(edges, 9, 7)
+        found = pieces._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    moved = [line for line in found.splitlines() if "Exchange hashpartitioning" in line]
+    assert len([line for line in moved if "seq#" in line or "geom_id#" in line or "x1#" in line]) <= 4
+    assert len([line for line in moved if "block#" in line]) == 1
+    for row in pieces.collect():
+        seqs = [edge.seq for edge in row.way]
+        assert len({seq // 7 for seq in seqs}) == 1 and sorted(seqs) == list(range(min(seqs), max(seqs) + 1))
+        assert row.start is None or row.start == min(seqs)
